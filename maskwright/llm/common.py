@@ -49,6 +49,16 @@ def as_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def buckets_for(rows: int, groups: int = 1) -> int:
+    """Buckets that keep one (group, bucket) near 100,000 rows, 64 at least."""
+    return max(64, rows // (100_000 * groups))
+
+
+def bucketed(df: DataFrame, buckets: int, name: str) -> DataFrame:
+    """``df`` with ``_bucket``, dealt round robin and stored, so that a later job finds the same rows in the same buckets."""
+    return stored(df.withColumn("_bucket", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")), name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_SLICE) -> Iterator[pa.RecordBatch]:
     """Small pieces of each batch, so that few long texts are Python strings at the same time."""
     for batch in batches:

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, topk
+from . import langid, packing, sharding, topk
 from .common import table
 
 
+def op2_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -19,7 +28,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_pivot_topk, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op2_ecoc_language_id, op3_min_slack_packing, op8_pivot_topk, op10_hash_tree_sharding)}
 
 
 TOPK_SQL = """

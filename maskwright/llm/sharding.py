@@ -18,11 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
-
-#: Rows that one (shard, bucket) group holds on average at most, when slots are numbered.
-GROUP_ROWS = 100_000
-MIN_BUCKETS = 64
+from .common import bucketed, buckets_for
 
 
 def topology(shards: int, regions: int = 4, racks: int = 2) -> list[list[list[int]]]:
@@ -77,8 +73,7 @@ def slots(df: DataFrame, shard: str = "shard", out: str = "slot") -> DataFrame:
     nor a repeated key numbers its rows in one task: a row's slot is its number in
     (shard, bucket) plus the sizes of the shard's earlier buckets.
     """
-    buckets = MIN_BUCKETS + df.count() // (GROUP_ROWS * 40)
-    dealt = stored(df.withColumn("_bucket", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")), "slots")
+    dealt = bucketed(df, buckets_for(df.count(), 40), "slots")
     sizes = dealt.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
