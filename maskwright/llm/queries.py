@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, sharding, topk
+from . import langid, packing, sharding, substrings, topk
 from .common import table
 
 
+def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_sentences")
+
+
 def op2_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ecoc_language_id, op3_min_slack_packing, op8_pivot_topk, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op8_pivot_topk, op10_hash_tree_sharding)}
 
 
 TOPK_SQL = """

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -13,9 +14,13 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string"
 
 
+@cache
+def library():
+    return Tokenizer.from_file(PATH)
+
+
 def brute_ids(text):
-    t = Tokenizer.from_file(PATH)
-    return t.encode(text or "", add_special_tokens=False).ids + [1]
+    return library().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check(pieces, texts, capacity):
@@ -41,7 +46,7 @@ def check(pieces, texts, capacity):
 
 
 def test_tokenizer_equals_library():
-    tok, whole = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    tok, whole = packing.WordTokenizer(PATH), library()
     for text in ["", "  ", "it's DON'T we'll x", "a\x1cb c", "a\x85b\xa0c d　e", "É é é ﬁ Ünï b½²", "İstanbul ΣΑΣ 漢字 テスト１２３ 👩‍👩‍👧", "x<|endoftext|>y <|endoftext|>", "***!!'s 'S", "soft­hyphen ªµº ÿŸ", "w" * 3000, "\u0000\u0007 a_b"]:
         assert tok.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
