@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, sharding, substrings, topk
+from . import decontaminate, langid, packing, sharding, substrings, topk
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -32,7 +36,7 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op8_pivot_topk, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op4_bm25_decontamination, op8_pivot_topk, op10_hash_tree_sharding)}
 
 
 TOPK_SQL = """
