@@ -101,7 +101,7 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS, lone: int = LONE_WOR
     kind = documents.schema["doc_id"].dataType.simpleString()
     spans = stored(there.mapInArrow(_spans(min_words, lone), f"hash long, doc_id {kind}, row long, at int, size int"), "spans")
     place = F.struct("doc_id", "row", "at")
-    first = spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("hash", "first")
+    first = stored(spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("hash", "first"), "first")
     later = spans.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
     marks = later.select("row", "at", "size").distinct().groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("_marks"))
     joined = documents.select(*[F.col(f"`{c}`") for c in names], row.alias("_row")).join(marks.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left")
