@@ -37,7 +37,7 @@ MAX_SLACK = 8
 #: Rows whose remainder is cut: up to so many of them are sent to all executors, else they are joined by shuffle.
 BROADCAST_CUTS = 50_000
 #: Entries of a worker's caches of words and of their parts; they start afresh when full.
-WORDS, PARTS = 250_000, 400_000
+WORDS, PARTS = 60_000, 250_000
 
 _PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

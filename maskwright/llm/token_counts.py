@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 MARK = "▁"
-NODES = 400_000
+NODES = 300_000
 #: Longer pre-tokens are scored on their own, outside the trie.
 LONG = 64
 
