@@ -43,11 +43,15 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), F.array(*map(quad, range(3))).alias("points"), F.array(*[(key + j) % 4 for j in range(3)]).alias("category_id"))
 
 
-def model_labels(spark: SparkSession, path: str) -> DataFrame:
-    """label_id, label_name from a model's JSON configuration (its ``id2label`` object)."""
+def labels_of(configs: DataFrame) -> DataFrame:
+    """label_id, label_name from JSON configurations in column ``value`` (their ``id2label`` objects)."""
     names = F.from_json(F.get_json_object("value", "$.id2label"), "map<string,string>")
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(names).alias("label_id", "label_name")).select(F.col("label_id").cast("int").alias("label_id"), "label_name")
+    return configs.select(F.explode(names).alias("label_id", "label_name")).select(F.col("label_id").cast("int").alias("label_id"), "label_name")
+
+
+def model_labels(spark: SparkSession, path: str) -> DataFrame:
+    """The labels of a model's JSON configuration file."""
+    return labels_of(spark.read.text(path, wholetext=True))
 
 
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
