@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import CELLS
 
-IMAGE = W.partitionBy("img")
-
 
 def drop_background(pixels: DataFrame) -> DataFrame:
     return pixels.filter(F.col("k") != 0)
@@ -29,7 +27,7 @@ def clamp_classes(pixels: DataFrame, num_labels: int) -> DataFrame:
 def area_ratio(pixels: DataFrame) -> DataFrame:
     """img, k, n, area of the classes present, background included."""
     n = pixels.groupBy("img", "k").agg(F.count("*").alias("n"))
-    return n.withColumn("area", F.col("n") / F.sum("n").over(IMAGE))
+    return n.withColumn("area", F.col("n") / F.sum("n").over(W.partitionBy("img")))
 
 
 def _class_counts(pixels: DataFrame, classes: Sequence[int], **more: Column) -> DataFrame:
