@@ -92,20 +92,22 @@ def bilinear(image: np.ndarray, h: int, w: int) -> np.ndarray:
 
 def contours(mask: np.ndarray) -> list[np.ndarray]:
     """Lines (r, c) between the pixels of one binary mask at level 0.5; diagonal pixels are joined; closed lines repeat their first point."""
-    m = np.asarray(mask, bool)
+    m = np.asarray(mask, bool).astype(np.int8)
+    codes = m[:-1, :-1] + 2 * m[:-1, 1:] + 4 * m[1:, 1:] + 8 * m[1:, :-1]
+    rows, cols = np.nonzero((codes > 0) & (codes < 15))
     follow: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for r in range(m.shape[0] - 1):
-        for c in range(m.shape[1] - 1):
-            a, b, d, e = m[r, c], m[r, c + 1], m[r + 1, c + 1], m[r + 1, c]
-            code = a + 2 * b + 4 * d + 8 * e
-            if code in (0, 15):
-                continue
-            up, right, down, left = (r, c + 0.5), (r + 0.5, c + 1.0), (r + 1.0, c + 0.5), (r + 0.5, float(c))
-            edges = [p for p, cut in ((up, a != b), (right, b != d), (down, d != e), (left, e != a)) if cut]
-            pairs = [tuple(edges)] if len(edges) == 2 else [(up, right), (down, left)] if code == 5 else [(up, left), (down, right)]
-            for p, q in pairs:
-                follow.setdefault(p, []).append(q)
-                follow.setdefault(q, []).append(p)
+    for r, c, code in zip(rows.tolist(), cols.tolist(), codes[rows, cols].tolist(), strict=True):
+        up, right, down, left = (float(r), c + 0.5), (r + 0.5, c + 1.0), (r + 1.0, c + 0.5), (r + 0.5, float(c))
+        if code == 5:
+            pairs = [(up, right), (down, left)]
+        elif code == 10:
+            pairs = [(up, left), (down, right)]
+        else:
+            a, b, d, e = code & 1, code >> 1 & 1, code >> 2 & 1, code >> 3
+            pairs = [tuple(p for p, cut in ((up, a != b), (right, b != d), (down, d != e), (left, e != a)) if cut)]
+        for p, q in pairs:
+            follow.setdefault(p, []).append(q)
+            follow.setdefault(q, []).append(p)
     lines = []
     ends = sorted(p for p, q in follow.items() if len(q) == 1)
     for start in [*ends, *sorted(follow)]:
