@@ -15,8 +15,14 @@ bucket's leader, the text that shares most buckets with others, and with the
 bands, where texts that agree in more bands stand together (a bucket of up to
 ``NEAREST + 1`` texts gets all its pairs). Texts that are not in the leader's class
 then get a leader of their own, again and again until a round links nothing new.
-Each candidate pair is verified by its exact weighted Jaccard similarity. Verified
-links make components; equal texts are one node throughout.
+
+What that leaves is compared in full: in each bucket that still holds more than one
+class, all pairs of texts of different classes. A bucket is divided into blocks of
+about ``PART`` texts; rounds take pairs of blocks that stand ever farther apart, and
+a bucket leaves when its texts are one class. So in the end any two texts that share
+a bucket are in one class or have been compared, or their total weights rule the
+similarity out. Each candidate pair is verified by its exact weighted Jaccard
+similarity. Verified links make components; equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ BANDS, ROWS = 12, 4
 COUNTERS = 1 << 18
 #: Neighbours in a bucket's order that a text is compared with.
 NEAREST = 3
+#: Texts of a block of a bucket, and by how much each round reaches farther among the blocks.
+PART, REACH = 32, 8
 #: Shingles that are sampled at once.
 CHUNK = 1024
 #: Words whose hashes a worker keeps; it starts afresh when full.
@@ -156,15 +164,19 @@ def _sign(idf: np.ndarray):
         done: set[bytes] = set()  # a text that came before in this task need not be sampled again
         for batch in slices(batches):
             out: list[np.ndarray | None] = []
+            totals: list[float | None] = []
             for key, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if key in done:
                     out.append(None)
+                    totals.append(None)
                     continue
                 if len(done) < 1_000_000:
                     done.add(key)
                 values, times = shingles(text)
-                out.append(bands(values, weights(values, times, idf)) if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                weight = weights(values, times, idf)
+                out.append(bands(values, weight) if len(values) else None)
+                totals.append(float(weight.sum()) if len(values) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(totals, pa.float64())], names=["doc_id", "key", "bands", "total"])
 
     return run
 
@@ -223,7 +235,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame | None:
-    """Verified pairs (a, b), a < b, of the texts that share buckets: rows (band, hash, next, key, weight)."""
+    """Verified pairs (a, b), a < b, of the texts that share buckets: rows (band, hash, next, key, weight, n, total).
+
+    Their components are those of all similar pairs that share a bucket.
+    """
     if buckets.isEmpty():
         return None
     side = lambda n: texts.select(F.col("key").alias(n), F.col("text").alias(f"text_{n}"))
@@ -249,11 +264,36 @@ def _links(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
         apart = led.join(mine, "key", "left").join(theirs, "leader", "left").filter(F.coalesce("_mine", "key") != F.coalesce("_theirs", "leader"))
         led = stored(star(apart.select("band", "hash", "key", "weight")), "led")
         if led.isEmpty():
-            return found
+            break
         more = verified(ordered(led).join(found, ["a", "b"], "left_anti"))
         if more.isEmpty():
-            return found
+            break
         found = found.unionByName(more)
+    rest = buckets.select("band", "hash", "key", "n", "total")
+    start, end, more = 0, 1, None  # the labels are those of all links so far
+    while True:
+        if more is not None:
+            labels = components(found)
+        rest = rest.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        mixed = stored(rest.groupBy("band", "hash").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least != _most").select("band", "hash"), "mixed")
+        rest = stored(rest.join(mixed, ["band", "hash"]), "rest")
+        blocks = F.ceil(F.col("n") / PART)
+        rest = rest.filter(blocks > start)
+        if rest.isEmpty():
+            return found
+        more = verified(_across(rest.withColumn("blocks", blocks), start, end, least))
+        found, more = (found, None) if more.isEmpty() else (found.unionByName(more), more)
+        start, end, rest = end, end * REACH, rest.drop("label")
+
+
+def _across(rest: DataFrame, start: int, end: int, least: float) -> DataFrame:
+    """Pairs (a, b) of one bucket and different labels whose blocks stand ``start`` to ``end`` - 1 places apart, and whose totals allow the similarity."""
+    placed = rest.withColumn("low", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("d", F.explode(F.sequence(F.lit(start).cast("long"), F.least(F.lit(end - 1).cast("long"), F.col("blocks") - 1))))
+    one = placed.filter(F.col("low") + F.col("d") < F.col("blocks")).select("band", "hash", "low", "d", F.col("key").alias("x"), F.col("label").alias("label_x"), F.col("total").alias("total_x"))
+    two = placed.filter(F.col("low") >= F.col("d")).select("band", "hash", (F.col("low") - F.col("d")).alias("low"), "d", F.col("key").alias("y"), F.col("label").alias("label_y"), F.col("total").alias("total_y"))
+    likely = F.least("total_x", "total_y") >= (least - 1e-9) * F.greatest("total_x", "total_y")
+    met = one.join(two, ["band", "hash", "low", "d"]).filter((F.col("label_x") != F.col("label_y")) & likely & ((F.col("d") > 0) | (F.col("x") < F.col("y"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _classes(documents: DataFrame, least: float) -> DataFrame:
@@ -261,9 +301,9 @@ def _classes(documents: DataFrame, least: float) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.filter(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     idf = inverse_frequencies(rows.select("text"))
-    signed = stored(rows.mapInArrow(_sign(idf), f"doc_id {kind}, key binary, bands array<long>"), "signed")
-    texts = stored(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands")), "texts")
-    spread = texts.filter(F.col("bands").isNotNull()).select("key", "bands", F.posexplode("bands").alias("band", "hash"))
+    signed = stored(rows.mapInArrow(_sign(idf), f"doc_id {kind}, key binary, bands array<long>, total double"), "signed")
+    texts = stored(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.max("total").alias("total")), "texts")
+    spread = texts.filter(F.col("bands").isNotNull()).select("key", "total", "bands", F.posexplode("bands").alias("band", "hash"))
     spread = spread.withColumn("next", F.array(*[F.get("bands", (F.col("band") + i) % BANDS) for i in (1, 2, 3)])).drop("bands")
     sizes = stored(spread.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     shared = stored(spread.join(sizes, ["band", "hash"]), "shared")

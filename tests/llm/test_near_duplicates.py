@@ -94,3 +94,30 @@ def test_large_bucket_rounds(spark):
     idf = N.inverse_frequencies(df.select("text"))
     want = brute_classes(rows, idf)
     assert sum(r.class_id == want[r.doc_id] for r in got) >= 78
+
+
+def test_every_pair_of_a_bucket_is_met(spark):
+    # 45 pairs of near copies dealt at random into one bucket of 90; few stand near each other or have the leader
+    rng, texts = random.Random(5), []
+    for s in range(45):
+        words = make(60, 9000 + s)
+        texts += [" ".join(words), edited(words, 1, s)]
+    order = rng.sample(range(90), 90)
+    rows = [(0, 7, [order[i], 0, 0], bytes([i]), i, 90, 1.0 * len(t.split()), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "band int, hash long, next array<long>, key binary, weight long, n long, total double, text string")
+    idf = np.ones(N.COUNTERS, np.float32)
+    found = N._links(df.drop("text"), df.select("key", "text"), idf, 0.8)
+    assert {(r.a[0], r.b[0]) for r in found.collect()} == {(2 * s, 2 * s + 1) for s in range(45)}
+
+
+def test_chains_equal_brute_force(spark):
+    # each text is the one before with some words changed, so that similarities straddle 0.8
+    rows = []
+    for s in range(6):
+        words = make(150, 500 + s)
+        for i in range(25):
+            rows.append((100 * s + i, " ".join(words)))
+            words = edited(words, 3, 100 * s + i).split()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = N.inverse_frequencies(df.select("text"))
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()} == brute_classes(rows, idf)
