@@ -26,7 +26,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences of spans that stand elsewhere first are cut out; ``n_chars`` follows the text."""
-    clean = substrings.dedup(docs)
+    clean = substrings.dedup(docs, both_ends=True)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

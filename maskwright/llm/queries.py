@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_sentences")
+    return substrings.dedup(table(spark, sf_dir, "documents"), both_ends=True).select("doc_id", "text", "removed_sentences")
 
 
 def op2_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 A run begins at every sentence and takes the fewest consecutive sentences, two at
 least, that have ``MIN_WORDS`` words together (one suffices if it alone has
-``LONE_WORDS``). What a run holds depends on the text from its first sentence on,
-so equal passages give equal runs wherever they stand. The hashes of all runs of
-all documents are grouped globally; each run that is not the first of its hash,
-by (doc_id, text hash, place), marks its sentences, and marked sentences go.
+``LONE_WORDS``); with ``both_ends``, another ends at every sentence and takes the
+fewest before it in the same way. Whether sentences are such a run depends on them
+alone, so equal passages give equal runs wherever they stand, and with ``both_ends``
+the first and the last sentence of a repeated passage are both in one. The hashes of
+all runs of all documents are grouped globally; each run that is not the first of its
+hash, by (doc_id, text hash, place), marks its sentences, and marked sentences go.
 """
 
 from __future__ import annotations
@@ -34,27 +36,30 @@ def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text)
 
 
-def runs(pieces: list[str], min_words: int = MIN_WORDS, lone: int = LONE_WORDS) -> Iterator[tuple[int, int, int]]:
+def runs(pieces: list[str], min_words: int = MIN_WORDS, lone: int = LONE_WORDS, both_ends: bool = False) -> Iterator[tuple[int, int, int]]:
     """(first sentence, sentences, signed 64-bit hash) of every run; letter case and all but letters and digits don't count."""
     words = [_WORD.findall(p.lower()) for p in pieces]
     filled = [i for i, w in enumerate(words) if w]
     upto = np.concatenate([[0], np.cumsum([len(words[i]) for i in filled])]).astype(np.int64)
-    ends = np.searchsorted(upto, upto[:-1] + min_words)
     flat = [" ".join(words[i]) for i in filled]
-    for a, end in enumerate(ends.tolist()):
-        if end == a + 1 and upto[a + 1] - upto[a] < lone:
-            end += 1
-        if end <= len(filled):
+    short = (np.diff(upto) < lone).tolist()
+    found = set()
+    for a, end in enumerate(np.searchsorted(upto, upto[:-1] + min_words).tolist()):
+        found.add((a, end + (end == a + 1 and short[a])))
+    for e, a in enumerate((np.searchsorted(upto, upto[1:] - min_words, "right") - 1).tolist() if both_ends else []):
+        found.add((a - (a == e and short[e]), e + 1))
+    for a, end in sorted(found):
+        if a >= 0 and end <= len(filled):
             h = xxhash.xxh64_intdigest("\n".join(flat[a:end]))
             yield filled[a], filled[end - 1] - filled[a] + 1, h - (1 << 64) if h >> 63 else h
 
 
-def _spans(min_words: int, lone: int):
+def _spans(min_words: int, lone: int, both_ends: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             parent, at, size, hashes = [], [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
-                for i, n, h in runs(sentences(text), min_words, lone):
+                for i, n, h in runs(sentences(text), min_words, lone, both_ends):
                     parent.append(row)
                     at.append(i)
                     size.append(n)
@@ -88,7 +93,7 @@ def _clean(names: list[str]):
     return run
 
 
-def dedup(documents: DataFrame, min_words: int = MIN_WORDS, lone: int = LONE_WORDS) -> DataFrame:
+def dedup(documents: DataFrame, min_words: int = MIN_WORDS, lone: int = LONE_WORDS, both_ends: bool = False) -> DataFrame:
     """All rows and columns of ``documents`` with ``text`` cleaned, and ``removed_sentences``.
 
     Null text stays null. A row whose sentences all repeat earlier ones stays with
@@ -99,7 +104,7 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS, lone: int = LONE_WOR
     row = F.xxhash64(F.col("doc_id"), F.col("text"))
     there = documents.filter(F.col("text").isNotNull()).select("doc_id", row.alias("row"), F.col("text").cast("string").alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    spans = stored(there.mapInArrow(_spans(min_words, lone), f"hash long, doc_id {kind}, row long, at int, size int"), "spans")
+    spans = stored(there.mapInArrow(_spans(min_words, lone, both_ends), f"hash long, doc_id {kind}, row long, at int, size int"), "spans")
     place = F.struct("doc_id", "row", "at")
     first = stored(spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("hash", "first"), "first")
     later = spans.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))

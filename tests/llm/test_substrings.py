@@ -59,3 +59,41 @@ def test_edges(spark):
     texts = dict(x[:2] for x in out)
     assert texts[2] == "Other start.\nEnd two." and texts[6] == "" and texts[5] == "Short. Short. Short." and texts[3] is None
     assert S.dedup(df.limit(0)).collect() == []
+
+
+def test_ends_of_passages(spark):
+    # the last sentences have under 25 words together, and the run before closes earlier
+    for sizes in ((30, 22), (10, 20, 16, 8), (40, 3), (12, 12, 12, 12, 1)):
+        passage = " ".join(" ".join(f"w{k}x{i}" for i in range(n)) + "." for k, n in enumerate(sizes))
+        rows = [(1, f"One begins. {passage} It goes on in one way."), (2, f"Two begins. {passage} Here another way is taken.")]
+        got = {r.doc_id: r.text for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), both_ends=True).collect()}
+        assert got == {1: rows[0][1], 2: "Two begins. Here another way is taken."}
+
+
+def test_documents_by_both_ends(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    first, found = {}, []
+    for row in sorted({(r.doc_id, r.text) for r in docs.collect()}):
+        pieces = S.sentences(row[1])
+        words = [re.findall(r"[^\W_]+", p.lower()) for p in pieces]
+        filled = [i for i, w in enumerate(words) if w]
+
+        def fits(a, b):
+            n = sum(len(words[i]) for i in filled[a:b])
+            return n >= 25 and (b - a > 1 or n >= 30)
+
+        spans = set()
+        for i in range(len(filled)):
+            spans |= {(i, b) for b in [next((b for b in range(i + 1, len(filled) + 1) if fits(i, b)), None)] if b}
+            spans |= {(a, i + 1) for a in [next((a for a in range(i, -1, -1) if fits(a, i + 1)), None)] if a is not None}
+        for a, b in sorted(spans):
+            key = tuple(tuple(words[i]) for i in filled[a:b])
+            found.append((key, row, filled[a], filled[b - 1]))
+            first.setdefault(key, (row, filled[a]))
+    gone = defaultdict(set)
+    for key, row, a, b in found:
+        if first[key] != (row, a):
+            gone[row].update(range(a, b + 1))
+    got = {(r.doc_id, r.text): r.removed_sentences for r in S.dedup(docs, both_ends=True).collect()}
+    want = {(r.doc_id, "".join(p for i, p in enumerate(S.sentences(r.text)) if i not in gone[r]).rstrip() if gone[r] else r.text): len(gone[r]) for r in docs.select("doc_id", "text").collect()}
+    assert got == want
