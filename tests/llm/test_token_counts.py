@@ -49,5 +49,20 @@ def test_edges(spark):
     assert [(r.doc_id, r.n_pretokens) for r in got] == [(1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (None, 2)]
     assert all((r.n_tokens == 0) == (r.n_pretokens == 0) for r in got) and got[3].n_tokens == got[4].n_tokens
     assert T.token_counts(df.limit(0), PATH).collect() == []
-    small = T.Trie(SCORES, -9.0, nodes=5)
-    assert [small.count(["abab ba"]), small.count(["ab"]), small.count(["abab ba"])][::2] == [small.count(["abab ba"])] * 2
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("abé漢\x00\U0001f600", min_size=1, max_size=60), min_size=1, max_size=30), st.integers(1, 5), st.integers(1, 6))
+def test_limits_change_nothing(words, at_once, kept):
+    texts = [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)] * 2
+    small = T.Trie(SCORES, -9.0, words=kept, at_once=at_once)
+    whole = T.Trie(SCORES, -9.0).count(texts)
+    assert [small.count([t])[0] for t in texts] == whole
+    assert len(small.terminal) <= kept + 4 and len(small.before) <= kept + 4
+
+
+def test_shared_prefixes_are_scored_once():
+    words = ["ab", "aba", "abab", "b", "ba"]
+    trie = T.Trie(SCORES, -9.0)
+    trie.count([" ".join(words)])
+    assert trie.scored == len({("▁" + w)[:d] for w in words for d in range(1, len(w) + 2)})
