@@ -1,12 +1,17 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of five words (a shorter text is one shingle),
-weighted by how often each occurs times ``ln(1 + N / df)``. Document frequencies
-of all documents are held in ``COUNTERS`` hashed counters, so the table that goes
-to the executors has a fixed size. Consistent weighted sampling draws
-``BANDS x ROWS`` samples from a text, each equal for two texts with the
-probability of their weighted Jaccard similarity; texts that agree in all samples
-of a band share a bucket.
+weighted by how often each occurs times ``ln(1 + 1 / share)``, where ``share`` is the
+share of all documents that hold it, ``LEAST_SHARE`` at least: what fewer documents
+hold counts as rare and weighs the same in a table of any size. Shares come from a
+count-mean sketch over all documents: three rows of counters, of each counter what
+is expected of other shingles taken off, the median of the three. The error is a
+share of the documents that does not grow with the table, well below ``LEAST_SHARE``,
+and the sketch, which goes to the executors, has a fixed size.
+
+Consistent weighted sampling draws ``BANDS x ROWS`` samples from a text, each equal
+for two texts with the probability of their weighted Jaccard similarity; texts that
+agree in all samples of a band share a bucket.
 
 Pairs of a bucket grow with the square of its size, so buckets are spanned by a
 number of candidate pairs that is linear in their texts: each text with the
@@ -27,46 +32,39 @@ similarity. Verified links make components; equal texts are one node throughout.
 
 from __future__ import annotations
 
-import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import discard, slices, stored, unpacked, whole_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 4
-COUNTERS = 1 << 18
+BANDS, ROWS = 16, 4
+#: Rows of the sketch, and counters of a row as a power of two.
+SKETCH_ROWS, SKETCH_BITS = 3, 17
+#: Shingles in fewer of all documents than this share weigh alike.
+LEAST_SHARE = 1 / 512
 #: Neighbours in a bucket's order that a text is compared with.
 NEAREST = 3
 #: Texts of a block of a bucket, and by how much each round reaches farther among the blocks.
 PART, REACH = 32, 8
 #: Shingles that are sampled at once.
 CHUNK = 1024
-#: Words whose hashes a worker keeps; it starts afresh when full.
-WORDS = 100_000
+#: Characters whose words are hashed at once.
+PIECE = 1 << 16
 
-_WORD = re.compile(r"\w+")
-_known: dict[str, int] = {}
 _rng = np.random.default_rng(20)
-_MUL = (_rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_SKETCH_MUL = (_rng.integers(1, 1 << 63, SKETCH_ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def _hash(word: str) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    if len(word) < 64:
-        if len(_known) >= WORDS:
-            _known.clear()
-        _known[word] = h
-    return h
+_BASE = 0xD6E8FEB86659FD93
+#: Whether a code point below 0x250 is of a word.
+_LATIN = np.array([chr(c).isalnum() or c == 95 for c in range(0x250)])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,10 +73,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the odd base modulo 2^64, and their inverses."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, PIECE), base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word (run of letters, digits and underscores, in lower case) of a whole text."""
+    text = text.lower()
+    if text.isascii():
+        x = np.frombuffer(text.encode(), np.uint8)
+        part = _LATIN[x]
+    else:
+        x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        part = _LATIN[np.minimum(x, 0x24F)]
+        far = np.flatnonzero(x >= 0x250)
+        if len(far):
+            kinds, at = np.unique(x[far], return_inverse=True)
+            part[far] = np.array([chr(c).isalnum() for c in kinds.tolist()])[at]
+    out, start, gaps = [], 0, np.flatnonzero(~part) if len(x) > PIECE else None
+    while start < len(x):
+        end = len(x)
+        if end - start > PIECE:  # a piece ends at the last gap within reach, or else at the next one
+            k = int(np.searchsorted(gaps, start + PIECE, "right"))
+            if k and gaps[k - 1] >= start:
+                end = int(gaps[k - 1]) + 1
+            elif k < len(gaps):
+                end = int(gaps[k]) + 1
+        edge = np.diff(part[start:end], prepend=False, append=False)
+        first, last = np.flatnonzero(edge).reshape(-1, 2).T
+        up, down = _powers_to(end - start)
+        c = (x[start:end].astype(np.uint64) + np.uint64(1)) * _C1
+        c ^= c >> np.uint64(29)
+        c *= up[: end - start]
+        total = np.concatenate([[np.uint64(0)], np.cumsum(c, dtype=np.uint64)])
+        out.append(_mix((total[last] - total[first]) * down[first]))
+        start = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the distinct shingles of a whole text, and how often each occurs."""
-    get = _known.get
-    w = np.array([get(x) or _hash(x) for x in _WORD.findall(text.lower())], np.uint64)
+    w = word_hashes(text)
     if not len(w):
         return w, np.zeros(0)
     n = min(SHINGLE, len(w))
@@ -89,37 +130,70 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     return values, times.astype(float)
 
 
-def counters(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(46)).astype(np.int64)
+def counters(values: np.ndarray, row: int) -> np.ndarray:
+    return ((values * _SKETCH_MUL[row]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def weights(values: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return times * idf[counters(values)]
+    """Weights by the counters' inverse frequencies: the median of a shingle's three."""
+    a, b, c = (idf[r][counters(values, r)] for r in range(SKETCH_ROWS))
+    return times * np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
+def _gamma_quantiles(n: int) -> np.ndarray:
+    """The middle of each n-th part of the gamma(2, 1) distribution, by halving."""
+    p, low, high = (np.arange(n) + 0.5) / n, np.zeros(n), np.full(n, 40.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        less = 1 - (1 + mid) * np.exp(-mid) < p
+        low, high = np.where(less, mid, low), np.where(less, high, mid)
+    return low
+
+
+_R = _gamma_quantiles(1 << 12)
+_R, _PER_R, _LN_C = _R.astype(np.float32), (1 / _R).astype(np.float32), np.log(_gamma_quantiles(1 << 16)).astype(np.float32)
+_U1, _U2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+_LOW, _HIGH, _NEXT = ((_rng.integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) << np.uint32(1)) | np.uint32(1) for _ in range(3))
+_ADD = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 
 
 def samples(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """One 64-bit sample (shingle and level) for each draw."""
-    best, out = np.full(len(_MUL), np.inf, np.float32), np.zeros(len(_MUL), np.uint64)
-    unit, draws = np.float32(2.0**-24), np.arange(len(_MUL))
+    """One 64-bit sample (shingle and level) for each draw.
+
+    A draw's r and c of a shingle are gamma(2, 1) and its beta uniform, all three from
+    32-bit hashes of shingle and draw. ``level = floor(ln weight / r + beta)``; the
+    least ``ln c - r (level - beta) - r`` wins.
+    """
+    n = BANDS * ROWS
+    best, out, draws = np.full(n, np.inf, np.float32), np.zeros(n, np.uint64), np.arange(n)
     log_weight = np.log(weight).astype(np.float32)
-    low = np.uint64(0xFFFFFF)
+    low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
     for s in range(0, len(values), CHUNK):
-        z = values[None, s : s + CHUNK] * _MUL[:, None] + _ADD[:, None]
-        z ^= z >> np.uint64(32)
-        z *= _C1
-        z ^= z >> np.uint64(29)
-        r = ((z >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * unit
-        r *= (((z >> np.uint64(16)) & low).astype(np.float32) + np.float32(0.5)) * unit
-        r = -np.log(r)
-        beta = (z & np.uint64(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
-        z *= _C2
-        z ^= z >> np.uint64(32)
-        c = ((z >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * unit
-        c *= (((z >> np.uint64(16)) & low).astype(np.float32) + np.float32(0.5)) * unit
-        level = np.floor(log_weight[None, s : s + CHUNK] / r + beta)
-        a = np.log(-np.log(c)) - r * (level - beta) - r
-        j = a.argmin(1)
-        found, less = a[draws, j], a[draws, j] < best
+        x, y = low[None, s : s + CHUNK] * _LOW, high[None, s : s + CHUNK] * _HIGH
+        x ^= y
+        x += _ADD
+        x ^= x >> np.uint32(16)
+        x *= _U1
+        x ^= x >> np.uint32(13)
+        x *= _U2
+        x ^= x >> np.uint32(16)
+        y = x * _NEXT
+        y ^= y >> np.uint32(15)
+        x >>= np.uint32(20)
+        beta = (y & np.uint32(0xFFFF)).astype(np.float32)
+        beta *= np.float32(2.0**-16)
+        y >>= np.uint32(16)
+        level = _PER_R.take(x)
+        level *= log_weight[None, s : s + CHUNK]
+        level += beta
+        np.floor(level, out=level)
+        beta -= level
+        beta -= np.float32(1)
+        beta *= _R.take(x)
+        beta += _LN_C.take(y)
+        j = beta.argmin(1)
+        found = beta[draws, j]
+        less = found < best
         best = np.where(less, found, best)
         sample = values[s + j] ^ (level[draws, j].astype(np.int64).astype(np.uint64) * _C3)
         out = np.where(less, sample, out)
@@ -143,20 +217,26 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
+    total = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
     for batch in slices(batches):
-        for text in batch.column(0).to_pylist():
-            total[np.unique(counters(shingles(text)[0]))] += 1
+        for r in range(0, batch.num_rows, 64):
+            found = [shingles(t)[0] for t in batch.column(0).slice(r, 64).to_pylist()]
+            values = np.concatenate(found)
+            for row in range(SKETCH_ROWS):
+                total[row] += np.bincount(counters(values, row), minlength=1 << SKETCH_BITS)
     there = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], names=["counter", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total.ravel()[there], pa.int64())], names=["counter", "n"])
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln(1 + N / df) of each counter, over all rows of ``texts``."""
+    """ln(1 + 1 / share) of each counter, over all rows of ``texts``."""
     table = texts.mapInArrow(_frequencies, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    df = np.ones(COUNTERS)
-    df[table.column("counter").to_numpy()] = table.column("n").to_numpy()
-    return np.log1p(max(1, texts.count()) / df).astype(np.float32)
+    n = np.zeros(SKETCH_ROWS << SKETCH_BITS)
+    n[table.column("counter").to_numpy()] = table.column("n").to_numpy()
+    n = n.reshape(SKETCH_ROWS, -1)
+    others = (n.sum(1, keepdims=True) - n) / (n.shape[1] - 1)
+    share = np.maximum((n - others) / (1 - 1 / n.shape[1]), 1) / max(1, texts.count())
+    return np.log1p(1 / np.clip(share, LEAST_SHARE, 1)).astype(np.float32)
 
 
 def _sign(idf: np.ndarray):
@@ -215,8 +295,11 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("key").alias("_k"), F.col("label").alias("_l"))
         step = stored(step.join(jump, F.col("label") == F.col("_k"), "left").select("key", "old", F.least("label", F.coalesce("_l", "label")).alias("label")), "labels")
         moved = step.filter(F.col("old") != F.col("label")).limit(1).count()
+        discard(labels)
         labels = step.select("key", "label")
+        labels.stored_at = step.stored_at
         if not moved:
+            discard(both)
             return labels
 
 
@@ -324,20 +407,23 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     """doc_id, class_id for every row; class_id is the least doc_id of the class.
 
     Equal texts (empty ones too) share a class; texts without a word have no other
-    likeness. A null text is a class of its own row: class_id is its doc_id.
+    likeness. A null text is a class of its own row: class_id is its doc_id. Repeated
+    rows come out as often as they stand there, in one class; very long texts count
+    whole; a table without rows gives none. Columns but doc_id and text play no part.
     """
     alone = documents.filter(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
     return _classes(documents, similarity).select("doc_id", "class_id").unionByName(alone)
 
 
 def distinct_documents(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with its columns unchanged: a row of the least doc_id. Rows of null text all stay."""
+    """One row of each class, with its columns unchanged: a row of the least doc_id. Rows of null text all stay.
+
+    Of rows that repeat both doc_id and text, one stays. An empty table gives no
+    rows. Any further columns, of whatever names, come along.
+    """
     found = stored(_classes(documents, similarity), "classes")
     kept = found.filter((F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key"), F.col("n").alias("_kept_n"))
-    names = [F.col(f"`{c}`") for c in documents.columns]
-    rows = documents.withColumn("_row_key", text_key(F.col("text").cast("string")))
-    rows = rows.join(kept, (F.col("_row_key") == F.col("_kept_key")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    once = rows.filter("_kept_n = 1").select(*names)
-    many = rows.filter("_kept_n > 1").dropDuplicates(["doc_id", "_row_key"]).select(*names)
-    return once.unionByName(many).unionByName(documents.filter(F.col("text").isNull()))
+    rows = whole_rows(documents.filter(F.col("text").isNotNull()), F.col("doc_id").alias("id"), text_key(F.col("text").cast("string")).alias("row_key"))
+    rows = rows.join(kept, (F.col("row_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    once, many = rows.filter("n = 1"), rows.filter("n > 1").dropDuplicates(["doc_id", "key"])
+    return unpacked(once.unionByName(many), documents.columns).unionByName(documents.filter(F.col("text").isNull()))
