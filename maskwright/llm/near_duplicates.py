@@ -21,13 +21,17 @@ bands, where texts that agree in more bands stand together (a bucket of up to
 ``NEAREST + 1`` texts gets all its pairs). Texts that are not in the leader's class
 then get a leader of their own, again and again until a round links nothing new.
 
-What that leaves is compared in full: in each bucket that still holds more than one
-class, all pairs of texts of different classes. A bucket is divided into blocks of
-about ``PART`` texts; rounds take pairs of blocks that stand ever farther apart, and
-a bucket leaves when its texts are one class. So in the end any two texts that share
-a bucket are in one class or have been compared, or their total weights rule the
-similarity out. Each candidate pair is verified by its exact weighted Jaccard
-similarity. Verified links make components; equal texts are one node throughout.
+What that leaves is joined exactly: of the texts of each bucket that still holds more
+than one class, all similar pairs. Two texts of total weights W <= V are similar only
+if the shingles they share weigh at least ``t / (1 + t) (W + V)``. So with shingles
+ordered by document share, the rarest first, one of the shingles that begin the
+lighter text, up to a weight of ``(1 - 2 t / (1 + t)) W``, must be among those that begin
+the heavier one, up to ``(1 - t) V``. Texts that share common passages but are not alike
+begin with rare shingles of their own and so never meet; those alike are of one class
+by then. So in the end any two texts that share a bucket are in one class or have been
+compared, or their weights rule the similarity out. Each candidate pair is verified by
+its exact weighted Jaccard similarity. Verified links make components; equal texts are
+one node throughout.
 """
 
 from __future__ import annotations
@@ -51,8 +55,6 @@ SKETCH_ROWS, SKETCH_BITS = 3, 17
 LEAST_SHARE = 1 / 512
 #: Neighbours in a bucket's order that a text is compared with.
 NEAREST = 3
-#: Texts of a block of a bucket, and by how much each round reaches farther among the blocks.
-PART, REACH = 32, 8
 #: Shingles that are sampled at once.
 CHUNK = 1024
 #: Characters whose words are hashed at once.
@@ -134,10 +136,14 @@ def counters(values: np.ndarray, row: int) -> np.ndarray:
     return ((values * _SKETCH_MUL[row]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def weights(values: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Weights by the counters' inverse frequencies: the median of a shingle's three."""
-    a, b, c = (idf[r][counters(values, r)] for r in range(SKETCH_ROWS))
-    return times * np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+def shares(values: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The share of all documents that hold each shingle: the median of its three counters."""
+    a, b, c = (sketch[r][counters(values, r)] for r in range(SKETCH_ROWS))
+    return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+
+def weights(values: np.ndarray, times: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return times * np.log1p(1 / np.maximum(shares(values, sketch), np.float32(LEAST_SHARE)))
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -228,18 +234,17 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total.ravel()[there], pa.int64())], names=["counter", "n"])
 
 
-def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """ln(1 + 1 / share) of each counter, over all rows of ``texts``."""
+def document_shares(texts: DataFrame) -> np.ndarray:
+    """The sketch over all rows of ``texts``: by row and counter the share of rows, of one row at least."""
     table = texts.mapInArrow(_frequencies, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(SKETCH_ROWS << SKETCH_BITS)
     n[table.column("counter").to_numpy()] = table.column("n").to_numpy()
     n = n.reshape(SKETCH_ROWS, -1)
     others = (n.sum(1, keepdims=True) - n) / (n.shape[1] - 1)
-    share = np.maximum((n - others) / (1 - 1 / n.shape[1]), 1) / max(1, texts.count())
-    return np.log1p(1 / np.clip(share, LEAST_SHARE, 1)).astype(np.float32)
+    return np.clip(np.maximum((n - others) / (1 - 1 / n.shape[1]), 1) / max(1, texts.count()), 0, 1).astype(np.float32)
 
 
-def _sign(idf: np.ndarray):
+def _sign(sketch: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[bytes] = set()  # a text that came before in this task need not be sampled again
         for batch in slices(batches):
@@ -253,7 +258,7 @@ def _sign(idf: np.ndarray):
                 if len(done) < 1_000_000:
                     done.add(key)
                 values, times = shingles(text)
-                weight = weights(values, times, idf)
+                weight = weights(values, times, sketch)
                 out.append(bands(values, weight) if len(values) else None)
                 totals.append(float(weight.sum()) if len(values) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(totals, pa.float64())], names=["doc_id", "key", "bands", "total"])
@@ -261,14 +266,14 @@ def _sign(idf: np.ndarray):
     return run
 
 
-def _verify(idf: np.ndarray, least: float):
+def _verify(sketch: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[bytes, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
         def vector(key: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
             if key not in recent:
                 values, times = shingles(text)
-                recent[key] = values, weights(values, times, idf)
+                recent[key] = values, weights(values, times, sketch)
                 if len(recent) > 64:
                     recent.popitem(last=False)
             return recent[key]
@@ -317,7 +322,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _links(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame | None:
+def _links(buckets: DataFrame, texts: DataFrame, sketch: np.ndarray, least: float) -> DataFrame | None:
     """Verified pairs (a, b), a < b, of the texts that share buckets: rows (band, hash, next, key, weight, n, total).
 
     Their components are those of all similar pairs that share a bucket.
@@ -332,7 +337,7 @@ def _links(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
         return rows.join(tops, ["band", "hash"]).filter(F.col("key") != F.col("top.key")).select("band", "hash", "key", "weight", F.col("top.key").alias("leader"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(idf, least), "a binary, b binary"), "same")
+        return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(sketch, least), "a binary, b binary"), "same")
 
     def ordered(x: DataFrame) -> DataFrame:
         return x.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
@@ -352,39 +357,56 @@ def _links(buckets: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
         if more.isEmpty():
             break
         found = found.unionByName(more)
-    rest = buckets.select("band", "hash", "key", "n", "total")
-    start, end, more = 0, 1, None  # the labels are those of all links so far
-    while True:
-        if more is not None:
-            labels = components(found)
-        rest = rest.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = stored(rest.groupBy("band", "hash").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least != _most").select("band", "hash"), "mixed")
-        rest = stored(rest.join(mixed, ["band", "hash"]), "rest")
-        blocks = F.ceil(F.col("n") / PART)
-        rest = rest.filter(blocks > start)
-        if rest.isEmpty():
-            return found
-        more = verified(_across(rest.withColumn("blocks", blocks), start, end, least))
-        found, more = (found, None) if more.isEmpty() else (found.unionByName(more), more)
-        start, end, rest = end, end * REACH, rest.drop("label")
-
-
-def _across(rest: DataFrame, start: int, end: int, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different labels whose blocks stand ``start`` to ``end`` - 1 places apart, and whose totals allow the similarity."""
-    placed = rest.withColumn("low", F.pmod(F.xxhash64("key"), F.col("blocks"))).withColumn("d", F.explode(F.sequence(F.lit(start).cast("long"), F.least(F.lit(end - 1).cast("long"), F.col("blocks") - 1))))
-    one = placed.filter(F.col("low") + F.col("d") < F.col("blocks")).select("band", "hash", "low", "d", F.col("key").alias("x"), F.col("label").alias("label_x"), F.col("total").alias("total_x"))
-    two = placed.filter(F.col("low") >= F.col("d")).select("band", "hash", (F.col("low") - F.col("d")).alias("low"), "d", F.col("key").alias("y"), F.col("label").alias("label_y"), F.col("total").alias("total_y"))
-    likely = F.least("total_x", "total_y") >= (least - 1e-9) * F.greatest("total_x", "total_y")
-    met = one.join(two, ["band", "hash", "low", "d"]).filter((F.col("label_x") != F.col("label_y")) & likely & ((F.col("d") > 0) | (F.col("x") < F.col("y"))))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    named = buckets.filter(F.col("n") > NEAREST + 1).select("band", "hash", "key", "total").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = stored(named.groupBy("band", "hash").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least != _most").select("band", "hash"), "mixed")
+    if mixed.isEmpty():
+        return found
+    rest = stored(named.join(mixed, ["band", "hash"]).groupBy("key").agg(F.first("total").alias("total"), F.first("label").alias("label")), "rest")
+    more = verified(_alike(rest.join(texts, "key"), sketch, least))
+    return found if more.isEmpty() else found.unionByName(more)
+
+
+def _beginnings(sketch: np.ndarray, least: float):
+    """The rarest shingles of each text: of what it must share one with any text that is no lighter (``lighter``) or no heavier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            parent, found, lighter = [], [], []
+            for row, text in enumerate(batch.column(3).to_pylist()):
+                values, times = shingles(text)
+                weight = weights(values, times, sketch)
+                order = np.lexsort((values, shares(values, sketch)))
+                before = np.cumsum(weight[order]) - weight[order]  # a shingle is taken if those before it don't fill the beginning
+                n = int(np.searchsorted(before, (1 - least) * weight.sum() + 1e-6, "right"))
+                parent.append(np.full(n, row))
+                found.append(values[order[:n]])
+                lighter.append(before[:n] <= (1 - 2 * least / (1 + least)) * weight.sum() + 1e-6)
+            who = pa.array(np.concatenate(parent))
+            columns = [pa.array(np.concatenate(found).view(np.int64)), *[batch.column(i).take(who) for i in range(3)], pa.array(np.concatenate(lighter))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "key", "total", "label", "lighter"])
+
+    return run
+
+
+def _alike(rest: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of unlike labels among the rows (key, total, label, text), with all whose similarity is ``least`` or more."""
+    rows = rest.select("key", "total", "label", "text").mapInArrow(_beginnings(sketch, least), "shingle long, key binary, total double, label binary, lighter boolean")
+    rows = stored(rows, "beginnings")
+    met = stored(rows.groupBy("shingle").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least != _most").select("shingle"), "met")
+    rows = stored(rows.join(met, "shingle"), "meeting")
+    one = rows.filter("lighter").select("shingle", F.col("key").alias("x"), F.col("total").alias("total_x"), F.col("label").alias("label_x"))
+    two = rows.select("shingle", F.col("key").alias("y"), F.col("total").alias("total_y"), F.col("label").alias("label_y"))
+    order = (F.col("total_x") < F.col("total_y")) | (F.col("total_x") == F.col("total_y")) & (F.col("x") < F.col("y"))
+    pairs = one.join(two, "shingle").filter((F.col("label_x") != F.col("label_y")) & order & (F.col("total_x") >= (least - 1e-9) * F.col("total_y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _classes(documents: DataFrame, least: float) -> DataFrame:
     """doc_id, key, class_id, kept_key: for every row its text's key, the class, and the text that stands for the class."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.filter(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    idf = inverse_frequencies(rows.select("text"))
-    signed = stored(rows.mapInArrow(_sign(idf), f"doc_id {kind}, key binary, bands array<long>, total double"), "signed")
+    sketch = document_shares(rows.select("text"))
+    signed = stored(rows.mapInArrow(_sign(sketch), f"doc_id {kind}, key binary, bands array<long>, total double"), "signed")
     texts = stored(signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("bands").alias("bands"), F.max("total").alias("total")), "texts")
     spread = texts.filter(F.col("bands").isNotNull()).select("key", "total", "bands", F.posexplode("bands").alias("band", "hash"))
     spread = spread.withColumn("next", F.array(*[F.get("bands", (F.col("band") + i) % BANDS) for i in (1, 2, 3)])).drop("bands")
@@ -393,7 +415,7 @@ def _classes(documents: DataFrame, least: float) -> DataFrame:
     central = stored(shared.groupBy("key").agg(F.sum("n").alias("weight")), "central")
     wanted = texts.join(central, "key", "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     there = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text").dropDuplicates(["key"])
-    found = _links(shared.join(central, "key"), stored(there, "there"), idf, least)
+    found = _links(shared.join(central, "key"), stored(there, "there"), sketch, least)
     if found is None:
         return signed.join(texts.select("key", F.col("doc_id").alias("class_id")), "key").select("doc_id", "key", "class_id", F.col("key").alias("kept_key"))
     labels = components(found)

@@ -108,8 +108,8 @@ def test_every_pair_of_a_bucket_is_met(spark):
     order = rng.sample(range(90), 90)
     rows = [(0, 7, [order[i], 0, 0], bytes([i]), i, 90, 1.0 * len(t.split()), t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "band int, hash long, next array<long>, key binary, weight long, n long, total double, text string")
-    idf = np.ones((N.SKETCH_ROWS, 1 << N.SKETCH_BITS), np.float32)
-    found = N._links(df.drop("text"), df.select("key", "text"), idf, 0.8)
+    sketch = np.ones((N.SKETCH_ROWS, 1 << N.SKETCH_BITS), np.float32)
+    found = N._links(df.drop("text"), df.select("key", "text"), sketch, 0.8)
     assert {(r.a[0], r.b[0]) for r in found.collect()} == {(2 * s, 2 * s + 1) for s in range(45)}
 
 
@@ -140,9 +140,9 @@ def test_weights_do_not_depend_on_the_size(spark):
         text = lambda i: " ".join(make(40, i)) + (" a line that very many documents share" if i % 5 == 0 else "") + (" and this one is in rather few of all" if i % 256 == 0 else "")
         return spark.createDataFrame([(text(i),) for i in range(n)], "text string")
 
-    idf = [N.inverse_frequencies(table(n)) for n in (1280, 5120)]
+    sketch = [N.document_shares(table(n)) for n in (1280, 5120)]
     for line, share in (("a line that very many", 1 / 5), ("and this one is in", 1 / 256), ("never seen by any document", 0)):
-        got = [float(N.weights(*N.shingles(line), x)[0]) for x in idf]
+        got = [float(N.weights(*N.shingles(line), x)[0]) for x in sketch]
         want = math.log(1 + 1 / max(share, N.LEAST_SHARE))
         assert all(abs(g - want) < 0.03 * want for g in got), (line, got, want)
 
@@ -152,3 +152,26 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(*r, *[7] * 6) for r in rows], "doc_id long, text string, key long, row_key int, id int, n int, row int, `a.b` int, kept_key int")
     got = N.distinct_documents(df)
     assert got.columns == df.columns and {r.key for r in got.collect()} == {0, 3, 4}
+
+
+def test_join_by_rare_shingles_finds_all(spark):
+    # families whose similarities lie around the threshold, beside a passage that all of them share
+    rng, texts, passage = random.Random(3), [], make(60, 1)
+    for s in range(40):
+        words = make(rng.randrange(60, 160), 100 + s)
+        texts += [" ".join(passage + words), *[edited(passage + words, rng.randrange(1, 9), 10 * s + i) for i in range(3)]]
+    df = spark.createDataFrame([(bytes([i // 256, i % 256]), t) for i, t in enumerate(texts)], "key binary, text string")
+    sketch = N.document_shares(df.select("text"))
+    vectors = [(v, N.weights(v, k, sketch)) for v, k in map(N.shingles, texts)]
+    rest = spark.createDataFrame([(bytes([i // 256, i % 256]), float(vectors[i][1].sum()), bytes([i // 256, i % 256]), t) for i, t in enumerate(texts)], "key binary, total double, label binary, text string")
+    got = {(r.a[0] * 256 + r.a[1], r.b[0] * 256 + r.b[1]) for r in N._alike(rest, sketch, 0.8).collect()}
+    want = {(j, i) for i in range(len(texts)) for j in range(i) if N.weighted_jaccard(vectors[j], vectors[i]) >= 0.8}
+    assert want and want <= got and len(got) < 6 * len(texts)
+
+
+def test_large_group_of_texts_that_are_not_alike(spark):
+    # each copy of a short text has edits of its own: they share buckets, but no two are similar
+    words = make(40, 5)
+    rows = [(i, edited(words, 4, i)) for i in range(400)] + [(1000, " ".join(make(50, 6))), (1001, " ".join(make(50, 6)) + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()} == brute_classes(rows)
