@@ -26,7 +26,8 @@ than one class, all similar pairs. Two texts of total weights W <= V are similar
 if the shingles they share weigh at least ``t / (1 + t) (W + V)``. So with shingles
 ordered by document share, the rarest first, one of the shingles that begin the
 lighter text, up to a weight of ``(1 - 2 t / (1 + t)) W``, must be among those that begin
-the heavier one, up to ``(1 - t) V``. Texts that share common passages but are not alike
+the heavier one, up to ``(1 - t) V``; and from the first that they share, what is left
+of either must weigh enough. Texts that share common passages but are not alike
 begin with rare shingles of their own and so never meet; those alike are of one class
 by then. So in the end any two texts that share a bucket are in one class or have been
 compared, or their weights rule the similarity out. Each candidate pair is verified by
@@ -371,7 +372,7 @@ def _beginnings(sketch: np.ndarray, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parent, found, lighter = [], [], []
+            parent, found, lighter, left = [], [], [], []
             for row, text in enumerate(batch.column(3).to_pylist()):
                 values, times = shingles(text)
                 weight = weights(values, times, sketch)
@@ -381,23 +382,25 @@ def _beginnings(sketch: np.ndarray, least: float):
                 parent.append(np.full(n, row))
                 found.append(values[order[:n]])
                 lighter.append(before[:n] <= (1 - 2 * least / (1 + least)) * weight.sum() + 1e-6)
+                left.append(weight.sum() - before[:n])
             who = pa.array(np.concatenate(parent))
-            columns = [pa.array(np.concatenate(found).view(np.int64)), *[batch.column(i).take(who) for i in range(3)], pa.array(np.concatenate(lighter))]
-            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "key", "total", "label", "lighter"])
+            columns = [pa.array(np.concatenate(found).view(np.int64)), *[batch.column(i).take(who) for i in range(3)], pa.array(np.concatenate(lighter)), pa.array(np.concatenate(left))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "key", "total", "label", "lighter", "left"])
 
     return run
 
 
 def _alike(rest: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
     """Pairs (a, b), a < b, of unlike labels among the rows (key, total, label, text), with all whose similarity is ``least`` or more."""
-    rows = rest.select("key", "total", "label", "text").mapInArrow(_beginnings(sketch, least), "shingle long, key binary, total double, label binary, lighter boolean")
+    rows = rest.select("key", "total", "label", "text").mapInArrow(_beginnings(sketch, least), "shingle long, key binary, total double, label binary, lighter boolean, left double")
     rows = stored(rows, "beginnings")
     met = stored(rows.groupBy("shingle").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).filter("_least != _most").select("shingle"), "met")
     rows = stored(rows.join(met, "shingle"), "meeting")
-    one = rows.filter("lighter").select("shingle", F.col("key").alias("x"), F.col("total").alias("total_x"), F.col("label").alias("label_x"))
-    two = rows.select("shingle", F.col("key").alias("y"), F.col("total").alias("total_y"), F.col("label").alias("label_y"))
+    side = lambda df, n: df.select("shingle", F.col("key").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("total", "label", "left")])
     order = (F.col("total_x") < F.col("total_y")) | (F.col("total_x") == F.col("total_y")) & (F.col("x") < F.col("y"))
-    pairs = one.join(two, "shingle").filter((F.col("label_x") != F.col("label_y")) & order & (F.col("total_x") >= (least - 1e-9) * F.col("total_y")))
+    # at the first shingle that two texts share, they share no more than what is left of either
+    enough = F.least("left_x", "left_y") >= F.lit(least / (1 + least)) * (F.col("total_x") + F.col("total_y")) - 1e-6
+    pairs = side(rows.filter("lighter"), "x").join(side(rows, "y"), "shingle").filter((F.col("label_x") != F.col("label_y")) & order & enough)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
