@@ -5,7 +5,9 @@ query. A posting's impact is its BM25 weight divided by the item's score against
 itself, so one threshold holds for all items: an item is retrieved where a
 passage reaches ``THRESHOLD`` of that self-score. What is retrieved is verified:
 of the five-word shingles of the item's question and of its answer, a share of at
-least ``OVERLAP`` each must stand in the document around the passage.
+least ``OVERLAP`` each must stand in the document around the passage. Parts of under
+20 words take shorter shingles (a quarter of their words), so that one changed word
+does not hide a short item.
 
 Passages are 96 words, one every 48. Items of more than 64 words are indexed in
 segments of at most 48, so that a passage can hold a whole segment. An item's
@@ -16,8 +18,10 @@ once: the impacts of its rarer terms by segment, plus all that a segment's commo
 terms could add. Where no segment's bound reaches the threshold, nothing can be
 retrieved and WAND need not run.
 
-The index goes to all executors in blocks of at most ``INDEX_ITEMS`` items; a
-larger benchmark takes several passes, each block with its own statistics.
+The index goes to all executors in blocks of about ``BLOCK_ITEMS`` items, dealt by a
+hash; a larger benchmark takes several passes. Numbers of segments, their mean length
+and the terms' frequencies are those of the whole benchmark in each block, so nothing
+that is found depends on the size of a block.
 """
 
 from __future__ import annotations
@@ -25,17 +29,19 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import slices, stored
 from .substrings import sentences
 
-INDEX_ITEMS = 20_000
+BLOCK_ITEMS = 10_000
 STRIDE = 48
 WHOLE_ITEM = 64
 THRESHOLD = 0.5
@@ -64,31 +70,44 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 def shingles(tokens: list[str]) -> set[tuple[str, ...]]:
-    n = min(SHINGLE, len(tokens))
+    n = min(SHINGLE, max(1, len(tokens) // 4))
     return {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)} if n else set()
 
 
+def segments_of(tokens: list[str]) -> list[list[str]]:
+    pieces = 1 if len(tokens) <= WHOLE_ITEM else -(-len(tokens) // STRIDE)
+    return [tokens[p * len(tokens) // pieces : (p + 1) * len(tokens) // pieces] for p in range(pieces)] if tokens else []
+
+
+@dataclass
+class Statistics:
+    """Of the whole benchmark: segments, their mean length, and in how many of them a term stands."""
+
+    segments: int
+    mean: float
+    df: Mapping[str, int]
+
+
 class Index:
-    """Postings by term, sorted by segment, in blocks with their maxima."""
+    """Postings by term, sorted by segment, in blocks with their maxima; ``of`` are the statistics of the whole benchmark, if the items are a part of it."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], of: Statistics | None = None):
         self.items, self.parts, segments = [], [], []
         for item_id, text in sorted(items, key=lambda x: (str(x[0]), x[1])):
             tokens = words(text)
             if not tokens:
                 continue
-            pieces = 1 if len(tokens) <= WHOLE_ITEM else -(-len(tokens) // STRIDE)
-            for p in range(pieces):
-                segments.append((len(self.items), tokens[p * len(tokens) // pieces : (p + 1) * len(tokens) // pieces]))
+            segments += [(len(self.items), s) for s in segments_of(tokens)]
             self.items.append((item_id, len(tokens)))
             self.parts.append(tuple(map(shingles, question_answer(text))))
         self.segment_item = [i for i, _ in segments]
-        df = Counter(t for _, s in segments for t in set(s))
-        mean = sum(len(s) for _, s in segments) / max(1, len(segments))
-        self.term = {t: i for i, t in enumerate(sorted(df))}
+        here = Counter(t for _, s in segments for t in set(s))
+        of = of or Statistics(len(segments), sum(len(s) for _, s in segments) / max(1, len(segments)), here)
+        n_segments, mean, df = of.segments, of.mean, of.df
+        self.term = {t: i for i, t in enumerate(sorted(here))}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for k, (_, s) in enumerate(segments):
-            impact = {t: np.log(1 + (len(segments) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(s) / mean)) for t, n in Counter(s).items()}
+            impact = {t: np.log(1 + (n_segments - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(s) / mean)) for t, n in Counter(s).items()}
             own = sum(impact.values())
             for t, x in impact.items():
                 lists[self.term[t]].append((k, x / own))
@@ -195,13 +214,29 @@ class Index:
         return [(self.items[i][0], *best[i]) for i in sorted(best)]
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, segments that hold it, 0) and, with a null term, (segments, their words) of each slice."""
+    for batch in slices(batches):
+        parts = [s for text in batch.column(0).to_pylist() for s in segments_of(words(text))]
+        df = Counter(t for s in parts for t in set(s))
+        columns = [pa.array([*df, None], pa.string()), pa.array([*df.values(), len(parts)], pa.int64()), pa.array([0] * len(df) + [sum(map(len, parts))], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "n", "words"])
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """The index, in blocks of bounded size; a block is dealt by a hash of the item."""
+    """The index in blocks; what goes to the driver is a block's items and the frequencies of their terms."""
     items = benchmark.filter(F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    blocks = -(-items.count() // (INDEX_ITEMS // 2)) or 1
+    blocks = -(-items.count() // BLOCK_ITEMS) or 1
+    if blocks == 1:
+        yield Index([(r["item_id"], r["text"]) for r in items.collect()])
+        return
+    found = stored(items.select("text").mapInArrow(_terms, "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "terms")
+    whole = found.filter("term IS NULL").first()
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield Index([(r["item_id"], r["text"]) for r in part.collect()])
+        own = part.select("text").mapInArrow(_terms, "term string, n long, words long").select("term").distinct()
+        df = {r["term"]: r["n"] for r in found.join(own, "term").select("term", "n").collect()}
+        yield Index([(r["item_id"], r["text"]) for r in part.collect()], Statistics(whole["n"], whole["words"] / max(1, whole["n"]), df))
 
 
 def _find(index: Index, threshold: float, overlap: float, item_type: pa.DataType):
@@ -222,14 +257,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     """One row per document and test item that it holds: doc_id, item_id, score, question_overlap, answer_overlap, first_word.
 
     Null or empty texts of either table match nothing; a repeated document row
-    gives its rows again; an empty benchmark gives an empty result.
+    gives its rows again; an empty table of either kind gives an empty result. Very
+    long texts are searched whole, passage by passage. Of passages with equal scores
+    the first one counts. Columns but the ids and texts play no part.
     """
     rows, out = documents.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")), None
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((documents, "doc_id"), (benchmark, "item_id"))]
-    item_type = {"string": pa.string(), "int": pa.int32()}.get(kinds[1], pa.int64())
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     for index in indexes(benchmark):
         found = rows.mapInArrow(_find(index, threshold, overlap, item_type), f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double, first_word long")
-        out = found if out is None else stored(out, "contaminated").unionByName(found)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -243,7 +280,7 @@ def _keep(index: Index, place: int, threshold: float, overlap: float):
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``documents`` that hold no test item, columns unchanged."""
+    """The rows of ``documents`` that hold no test item, columns unchanged, repeated rows too; null and empty texts stay."""
     for index in indexes(benchmark):
         documents = documents.mapInArrow(_keep(index, documents.columns.index("text"), threshold, overlap), documents.schema)
     return documents

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unpacked, whole_rows
 
 #: Hash buckets of n-grams; with the number of languages, the bound of what is collected and sent out.
 BUCKETS = 1 << 15
@@ -55,8 +55,7 @@ def codewords(n: int) -> np.ndarray:
 
 
 def _codes(text: str) -> np.ndarray:
-    """Code points in lower case, everything but letters as one kind of gap."""
-    text = text.lower()
+    """Code points of a text in lower case, everything but letters as one kind of gap."""
     if text.isascii():
         x = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
         return np.where((x >= 97) & (x <= 122), x, 32)
@@ -68,11 +67,13 @@ def _codes(text: str) -> np.ndarray:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the 1-, 2- and 3-grams of a whole text, in pieces; gaps alone don't count."""
-    space = np.array([32], np.uint32)
+    """Buckets of the 1-, 2- and 3-grams of a whole text, a gap at either end, in pieces; of several gaps in a row one counts."""
+    text, gap = text.lower(), np.array([32], np.uint32)
+    before = gap  # the two symbols with which grams of the next piece may begin
     for start in range(0, max(len(text), 1), CHUNK):
-        x = np.concatenate([space, _codes(text[max(0, start - 2) : start + CHUNK]), space])
+        x = np.concatenate([before, _codes(text[start : start + CHUNK]), gap if start + CHUNK >= len(text) else gap[:0]]).astype(np.uint32)
         x = x[np.concatenate([[True], (x[1:] != 32) | (x[:-1] != 32)])]
+        before = x[-2:]
         if len(x) < 3:
             continue
         a, b, c = x[:-2], x[1:-1], x[2:]
@@ -178,15 +179,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous for every document; learnt from those not held out."""
+    """doc_id, held_out, lang_pred, score, ambiguous for every document; learnt from those not held out.
+
+    Repeated rows come out as often as they stand there, and count as often in
+    training; very long texts are read whole, in pieces. Codewords that tie: the first
+    language by name. Without rows, or without labels to learn from, there are no rows
+    or all are ``und``. Further columns play no part.
+    """
     rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", "lang")
     model = fit(rows.filter(~F.col("held_out")).select("text", "lang"))
     return predict(rows.select("doc_id", "held_out", "text"), model)
 
 
 def accepted(documents: DataFrame) -> DataFrame:
-    """The documents whose language is known: not ``und`` and not too close to call. Columns stay as they are."""
+    """The documents whose language is known: not ``und`` (null texts are) and not too close to call. Columns and repeated rows stay as they are."""
     model = fit(documents.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
-    kept = predict(rows, model).filter((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])
+    kept = predict(whole_rows(documents, F.col("text")), model).filter((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
+    return unpacked(kept, documents.columns)

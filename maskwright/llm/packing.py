@@ -16,6 +16,7 @@ within (length, bucket) groups, so neither the driver nor one task sees all rows
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -193,11 +194,13 @@ def place(plan: Plan, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray,
 
 def cut_rows(plan: Plan, histogram: dict[int, int]) -> int:
     """How many tail rows lie across a window's border."""
-    n = 0
+    total = 0
     for length, start in plan.tail_from.items():
-        at = plan.tail_at[length] + np.arange(min(histogram[length] - start, 10 * BROADCAST_CUTS)) * length
-        n += int((at // plan.capacity != (at + length - 1) // plan.capacity).sum())
-    return n
+        rows, at = histogram[length] - start, plan.tail_at[length]
+        period = plan.capacity // math.gcd(plan.capacity, length)  # the places within windows recur
+        cut = (at + np.arange(min(rows, period)) * length) % plan.capacity + length > plan.capacity
+        total += int(cut.sum()) * (rows // period if rows > period else 1) + int(cut[: rows % period].sum() if rows > period else 0)
+    return total
 
 
 def _measure(path: str, capacity: int):
@@ -292,7 +295,9 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text counts as empty: the document is its end id alone. Repeated rows are
-    packed each for itself. An empty table gives no pieces.
+    packed each for itself. An empty table gives no pieces. A very long text fills
+    windows of its own, and its remainder is packed; remainders of equal length go by
+    (doc_id, tokens, checksum). Columns but doc_id and text play no part.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", as_text().alias("text"))
@@ -308,12 +313,13 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     for r in lengths:
         base.append((r["rest"], at))
         at += r["f"]
+    bases = documents.sparkSession.createDataFrame(base, "rest int, base long")  # a row a length
+    groups_before = groups_before.join(F.broadcast(bases), "rest")
     within = W.partitionBy("rest", "_bucket").orderBy("doc_id", "doc_tokens", "rest_crc")
     running = within.rowsBetween(W.unboundedPreceding, 0)
     numbered = dealt.withColumn("rank", F.row_number().over(within) - 1).withColumn("full_before", F.sum("full").over(running) - F.col("full")).join(groups_before, ["rest", "_bucket"])
-    bases = F.create_map(*[F.lit(x) for pair in base for x in pair]) if base else F.create_map(F.lit(0), F.lit(0))
     numbered = numbered.withColumn("rank", (F.col("rank") + F.col("n_before")).cast("long"))
-    numbered = numbered.withColumn("full_before", (F.col("full_before") + F.col("f_before") + bases[F.col("rest")]).cast("long")).select("doc_id", "doc_tokens", "full_crc", "rest", "rest_crc", "rank", "full_before")
+    numbered = numbered.withColumn("full_before", (F.col("full_before") + F.col("f_before") + F.col("base")).cast("long")).select("doc_id", "doc_tokens", "full_crc", "rest", "rest_crc", "rank", "full_before")
     pieces = numbered.mapInArrow(_pieces(plan), _PIECE.format(kind=kind))
     cuts = cut_rows(plan, histogram)
     if not cuts:

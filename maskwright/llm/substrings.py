@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import quoted, slices, stored, whole_rows
 
 MIN_WORDS = 25
 LONE_WORDS = 30
@@ -88,7 +88,7 @@ def _clean(names: list[str]):
                 gone.append(int(out.sum()))
             columns = list(batch.columns[: len(names)])
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=[*names, "removed_sentences"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], names=[*batch.schema.names[: len(names)], "gone"])
 
     return run
 
@@ -98,17 +98,22 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS, lone: int = LONE_WOR
 
     Null text stays null. A row whose sentences all repeat earlier ones stays with
     empty text. Rows that repeat both doc_id and text count as one document: they
-    come out alike. A column of the name ``removed_sentences`` is replaced.
+    come out alike. A column of the name ``removed_sentences`` is replaced; others may
+    have any names. Very long texts are cut whole; of equal runs the least
+    (doc_id, text hash, place) stays. An empty table gives no rows.
     """
     names = [c for c in documents.columns if c != "removed_sentences"]
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
+    row = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
     there = documents.filter(F.col("text").isNotNull()).select("doc_id", row.alias("row"), F.col("text").cast("string").alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     spans = stored(there.mapInArrow(_spans(min_words, lone, both_ends), f"hash long, doc_id {kind}, row long, at int, size int"), "spans")
     place = F.struct("doc_id", "row", "at")
     first = stored(spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("hash", "first"), "first")
     later = spans.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
-    marks = later.select("row", "at", "size").distinct().groupBy("row").agg(F.collect_list(F.struct("at", "size")).alias("_marks"))
-    joined = documents.select(*[F.col(f"`{c}`") for c in names], row.alias("_row")).join(marks.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left")
-    schema = documents.select(*[F.col(f"`{c}`") if c != "text" else F.col("text").cast("string").alias("text") for c in names], F.lit(0).cast("int").alias("removed_sentences")).schema
-    return joined.select(*[F.col(f"`{c}`") for c in names], "_marks").mapInArrow(_clean(names), schema)
+    marks = later.select(F.col("row").alias("marked"), "at", "size").distinct().groupBy("marked").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
+    rest = documents.select(*[F.col(quoted(c)) if c != "text" else F.col("text").cast("string").alias("text") for c in names])
+    packed = whole_rows(rest, row.alias("own")).join(marks.hint("shuffle_hash"), F.col("own") == F.col("marked"), "left")
+    flat = packed.select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)], "marks")
+    kinds = [f"c{i} {rest.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
+    clean = flat.mapInArrow(_clean(names), ", ".join([*kinds, "gone int"]))
+    return clean.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("gone").alias("removed_sentences"))

@@ -60,3 +60,23 @@ def test_edges(spark):
     assert {r.doc_id for r in D.decontaminate(docs, bench).collect()} == {2, 3, 5, 6}
     assert D.contaminated(docs, bench.limit(0)).collect() == [] and D.decontaminate(docs, bench.limit(0)).count() == 6
     assert D.contaminated(docs.limit(0), bench).collect() == []
+
+
+def test_blocks_change_nothing(spark, sf, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(map(tuple, D.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 7)
+    blocks = sorted(map(tuple, D.contaminated(docs, bench).collect()))
+    assert [x[:2] for x in whole] == [x[:2] for x in blocks] and np.allclose([x[2:] for x in whole], [x[2:] for x in blocks])
+
+
+def test_one_changed_word(spark):
+    items = ["Which river crosses the old town of Karam before it meets the sea? The slow Anver does so.", "the quick brown fox of the far hills jumped over nine lazy dogs while seven grey cats looked on from barns near by", "Name the largest moon. It is Teth."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id short, text string")
+    rows = []
+    for i, item in enumerate(items[:2]):
+        w = D.words(item)
+        rows += [(100 * i + k, "before it " * 30 + " ".join([*w[:k], "changed", *w[k + 1 :]]) + " and after" * 20) for k in range(len(w))]
+    rows += [(900, "something else about a river and the old town " * 20), (900, items[2]), (900, items[2])]
+    got = sorted((r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    assert got == sorted([(d, d // 100) for d, _ in rows[:-3]] + [(900, 2)] * 2)

@@ -27,6 +27,17 @@ def test_grams(text):
     assert sorted(np.concatenate(got).tolist() if got else []) == slow_grams(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abéßΣ漢 \n.1x", max_size=40), st.integers(1, 7))
+def test_pieces_give_the_grams_of_the_whole(text, size):
+    whole, L.CHUNK = L.CHUNK, size
+    try:
+        got = [g for g in L.grams(text)]
+    finally:
+        L.CHUNK = whole
+    assert sorted(np.concatenate(got).tolist() if got else []) == slow_grams(text)
+
+
 @pytest.mark.parametrize("n", [2, 4, 5, 12])
 def test_codewords_differ(n):
     code = L.codewords(n)

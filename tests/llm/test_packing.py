@@ -90,17 +90,19 @@ def test_fill_is_best(counts, room):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.integers(1, 63), st.integers(1, 50), max_size=20))
+@given(st.dictionaries(st.integers(1, 63), st.integers(1, 300), max_size=20))
 def test_plan_places_each_once(histogram):
     plan = packing.plan_windows(histogram, 64, 2)
-    seen = defaultdict(list)
+    seen, cuts = defaultdict(list), 0
     for length, n in histogram.items():
         window, offset = packing.place(plan, np.full(n, length), np.arange(n))
         for w, o in zip(window.tolist(), offset.tolist(), strict=True):
             first = min(length, 64 - o)
             seen[w].append((o, first))
             if first < length:
+                cuts += 1
                 seen[w + 1].append((0, length - first))
+    assert cuts == packing.cut_rows(plan, histogram)
     assert sorted(seen) == list(range(plan.windows + plan.tail_windows))
     for w, parts in seen.items():
         at = 0

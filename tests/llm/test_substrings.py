@@ -97,3 +97,10 @@ def test_documents_by_both_ends(spark, sf):
     got = {(r.doc_id, r.text): r.removed_sentences for r in S.dedup(docs, both_ends=True).collect()}
     want = {(r.doc_id, "".join(p for i, p in enumerate(S.sentences(r.text)) if i not in gone[r]).rstrip() if gone[r] else r.text): len(gone[r]) for r in docs.select("doc_id", "text").collect()}
     assert got == want
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "X y. " + PASSAGE, 1, 2, 3, 4), (2, PASSAGE, 1, 2, 3, 4)], "doc_id long, text string, _row int, _marks int, row int, `a.b` int")
+    got = S.dedup(df)
+    assert got.columns == [*df.columns, "removed_sentences"]
+    assert sorted((r.doc_id, r.text, r["a.b"], r.row) for r in got.collect()) == [(1, "X y. " + PASSAGE, 4, 3), (2, "", 4, 3)]

@@ -14,7 +14,7 @@ def brute(rows, k=10, every=100):
     out = []
     for n, (q, v) in enumerate(vecs):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(vecs) if m != n)
+            scored = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(1 << 63)), (1 << 63) - 1), i) for m, (i, w) in enumerate(vecs) if m != n)
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -50,3 +50,11 @@ def test_elimination_is_exact(seed, k):
         K.eliminate(q, q_dist, x[part], K._distances(x[part], pivots, top), np.arange(200)[part], top, best, block=4)
     want = sorted((-(x[i] @ q), i) for i in range(200))[:k]
     assert list(zip((-best.score).tolist(), best.ids.tolist(), strict=True)) == want
+
+
+def test_huge_components(spark):
+    rng = np.random.default_rng(9)
+    for scale in (3e6, 1e12, 1e300):
+        rows = [(i, (rng.normal(size=3) * (scale if i % 3 else 1)).tolist()) for i in range(60)] + [(100, [scale, -scale, 1.5]), (101, [scale, -scale, 0.5]), (102, [scale, -scale, 1.5])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, K.exact_top_k(df).collect())) == brute(rows)
