@@ -20,22 +20,34 @@ def shifted(x: np.ndarray, dr: int, dc: int, fill) -> np.ndarray:
 
 
 def components(values: np.ndarray, offsets=EIGHT) -> np.ndarray:
-    """Label of each pixel: the least flat index (within its image) of the pixels it is connected to by equal values."""
+    """Label of each pixel: the least flat index (within its image) of the pixels it is connected to by equal values.
+
+    Runs of equal values in a row are the nodes, runs that touch in neighbouring rows
+    the edges; least labels are hooked along the edges and shortened until all agree.
+    """
     n, h, w = values.shape
-    start = (np.arange(n) * h * w)[:, None, None]
-    label = np.arange(n * h * w).reshape(n, h, w)
-    bonds = [(d, shifted(values, *d, fill=-1) == values) for d in offsets]
-    while True:
-        new = label.copy()
-        for d, same in bonds:
-            np.minimum(new, np.where(same, shifted(label, *d, fill=np.iinfo(label.dtype).max), new), out=new)
-        flat = new.ravel()
-        for _ in range(2):
-            flat = flat[flat]
-        new = flat.reshape(n, h, w)
-        if (new == label).all():
-            return label - start
-        label = new
+    begins = np.ones((n, h, w), bool)
+    begins[:, :, 1:] = values[:, :, 1:] != values[:, :, :-1]
+    run = (np.cumsum(begins.ravel()) - 1).reshape(n, h, w)
+    one, two = [], []
+    for d in (-1, 0, 1) if (1, 1) in offsets else (0,):
+        a, b = slice(max(0, -d), min(w, w - d)), slice(max(0, d), min(w, w + d))
+        same = values[:, :-1, a] == values[:, 1:, b]
+        one.append(run[:, :-1, a][same])
+        two.append(run[:, 1:, b][same])
+    one, two = np.concatenate(one), np.concatenate(two)
+    label = np.arange(int(run[-1, -1, -1]) + 1 if run.size else 0)
+    while len(one):
+        x, y = label[one], label[two]
+        apart = x != y
+        if not apart.any():
+            break
+        one, two, x, y = one[apart], two[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    first = np.flatnonzero(begins.ravel())
+    return first[label[run]] - (np.arange(n) * h * w)[:, None, None]
 
 
 def dilate(mask: np.ndarray, offsets=DISK2) -> np.ndarray:
@@ -73,7 +85,8 @@ def postprocess_classes(mask: np.ndarray, threshold: float = 0.001) -> np.ndarra
     out = np.zeros_like(mask)
     for k in np.unique(mask):
         if k > 0:
-            out[postprocess(mask == k, threshold) > 0] = k
+            some = np.flatnonzero((mask == k).any((1, 2)))
+            out[some] = np.where(postprocess(mask[some] == k, threshold) > 0, k, out[some])
     return out
 
 
@@ -130,3 +143,68 @@ def longest_contour(mask: np.ndarray) -> np.ndarray:
     h, w = mask.shape
     line = found[0] if found else np.array([[0, 0], [0, w], [h, w], [h, 0]], float)
     return np.flip(np.round(line), axis=1).astype(np.int32)
+
+
+#: The eight neighbours (dr, dc) against the clock, from the right.
+_AROUND = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
+
+
+def external_contours(mask: np.ndarray) -> list[np.ndarray]:
+    """The outer border of each outermost component (8 neighbours) of one binary mask, as pixels (x, y).
+
+    A border begins at the component's first pixel and runs against the clock; of
+    pixels in a straight line the ends stay. Components inside holes of others have no
+    border here. Components come in the order of their first pixels.
+    """
+    m = np.pad(np.asarray(mask, bool), 1)
+    if not m.any():
+        return []
+    label, back = components(m[None].astype(np.int8))[0], components(m[None].astype(np.int8), FOUR)[0]
+    out = []
+    for seed in np.unique(label[m]).tolist():
+        start = divmod(seed, m.shape[1])
+        if back[start[0] - 1, start[1]] != 0:  # what lies above the first pixel is not the outside
+            continue
+        # clockwise from the left for where the border ends
+        last = next((d for d in range(4, -4, -1) if m[start[0] + _AROUND[d % 8][0], start[1] + _AROUND[d % 8][1]]), None)
+        if last is None:
+            out.append(np.array([[start[1] - 1, start[0] - 1]], np.int32))
+            continue
+        end = (start[0] + _AROUND[last % 8][0], start[1] + _AROUND[last % 8][1])
+        line, at, came, before = [], start, last % 8, None
+        while True:
+            step = next(d % 8 for d in range(came + 1, came + 9) if m[at[0] + _AROUND[d % 8][0], at[1] + _AROUND[d % 8][1]])
+            if step != before:
+                line.append((at[1] - 1, at[0] - 1))
+            following = (at[0] + _AROUND[step][0], at[1] + _AROUND[step][1])
+            if following == start and at == end:
+                break
+            at, came, before = following, (step + 4) % 8, step
+        out.append(np.array(line, np.int32))
+    return out
+
+
+def polygon_crossings(points: np.ndarray, height: int, width: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(first row, first column, crossings, whether on an edge) over the box of one polygon (x, y) within the image.
+
+    A pixel's ray to the right crosses an edge if its row is among ``[y1, y2)`` and the
+    edge lies to its right. Whole numbers throughout; a polygon outside gives empty arrays.
+    """
+    x, y = points[:, 0].astype(np.int64), points[:, 1].astype(np.int64)
+    x0, x1, y0, y1 = max(int(x.min()), 0), min(int(x.max()), width - 1), max(int(y.min()), 0), min(int(y.max()), height - 1)
+    shape = (max(0, y1 - y0 + 1), max(0, x1 - x0 + 1))
+    cross, on = np.zeros(shape, np.int32), np.zeros(shape, bool)
+    if not cross.size:
+        return y0, x0, cross, on
+    c = np.arange(x0, x1 + 1)[None]
+    for xa, ya, xb, yb in zip(x.tolist(), y.tolist(), np.roll(x, -1).tolist(), np.roll(y, -1).tolist(), strict=True):
+        low, high = max(min(ya, yb), y0), min(max(ya, yb), y1)
+        if low > high:
+            continue
+        r = np.arange(low, high + 1)[:, None]
+        side = (xb - xa) * (r - ya) - (c - xa) * (yb - ya)
+        rows = slice(low - y0, high - y0 + 1)
+        if ya != yb:
+            cross[rows] += ((side > 0) if yb > ya else (side < 0)) & ((ya > r) != (yb > r))
+        on[rows] |= (side == 0) & (c >= min(xa, xb)) & (c <= max(xa, xb))
+    return y0, x0, cross, on

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import AREA_WORDS, CAPTION, CELLS, ERROR_QUESTION, FAMILIES, LINES, NO_CELL, NO_ERROR, QA, QUALIFIED, REGIONS, TITLE
-from .maskstats import strict_lookup
 
 
 def names_map(names: dict[int, str]) -> Column:
@@ -86,9 +85,5 @@ def attribute_answers(attributes: DataFrame, names: dict[int, str]) -> DataFrame
     return image.select("img", F.posexplode(F.concat(first, rest)).alias("pos", "qa")).select("img", "pos", "qa.question", "qa.answer")
 
 
-def labelled(rows: DataFrame, dim: DataFrame) -> DataFrame:
-    return strict_lookup(rows, dim, "label_id")
-
-
 def join_names(names: Sequence[Column], sep: str) -> Column:
     return F.array_join(F.array(*names), sep)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.labels import CELLS, NO_CELL
+from ..functions.labels import CELLS
 
 #: Masks that one NumPy stack holds at most.
 STACK = 512
@@ -109,11 +109,6 @@ def centre_cell(masks: DataFrame, height: int, width: int, strict: bool = True)
     return out.withColumn("cell_name", F.get(F.array(*map(F.lit, CELLS)), F.col("cell")))
 
 
-def no_cell() -> str:
-    """What an empty mask's centroid cell is called."""
-    return NO_CELL
-
-
 def semantic_merge(results: DataFrame, label2id: dict[str, int], threshold: float = 0.001) -> DataFrame:
     """Model results (img, label, h, w, mask) to one class mask for each image: background dropped, masks post-processed, greatest id wins; an unknown label raises."""
     known = F.create_map(*[F.lit(x) for p in label2id.items() for x in p])
@@ -127,45 +122,69 @@ def semantic_merge(results: DataFrame, label2id: dict[str, int], threshold: floa
     return merged.select("img", "h", "w", most.alias("mask"))
 
 
-def _polygon_rows(instances: bool, threshold: float | None):
+def _instance_rows(ids: np.ndarray, stack: np.ndarray) -> dict[str, list]:
+    out: dict[str, list] = {"img": [], "id": [], "points": []}
+    for one in sorted(set(np.unique(stack).tolist()) - {0, -1}):
+        some = np.flatnonzero((stack == one).any((1, 2)))
+        for i, x in zip(some, kernels.fill_holes(kernels.dilate(stack[some] == one)), strict=True):
+            out["img"].append(ids[i])
+            out["id"].append(int(one))
+            out["points"].append(kernels.longest_contour(x).ravel().tolist())
+    return out
+
+
+def _border_rows(threshold: float, swap: bool):
     def run(ids: np.ndarray, stack: np.ndarray) -> dict[str, list]:
-        out: dict[str, list] = {"img": [], "id": [], "points": []}
-        for one in sorted(set(np.unique(stack).tolist()) - {0, -1}):
+        out: dict[str, list] = {"img": [], "id": [], "ord": [], "points": []}
+        for one in sorted(set(np.unique(stack).tolist()) - {0}):
             some = np.flatnonzero((stack == one).any((1, 2)))
-            m = stack[some] == one
-            m = kernels.fill_holes(kernels.dilate(m)) if instances else kernels.postprocess(m, threshold) > 0
-            for i, x in zip(some, m, strict=True):
-                if instances or x.any():
+            for i, x in zip(some, kernels.postprocess(stack[some] == one, threshold) > 0, strict=True):
+                for k, line in enumerate(kernels.external_contours(x)):
                     out["img"].append(ids[i])
                     out["id"].append(int(one))
-                    out["points"].append(kernels.longest_contour(x).ravel().tolist())
+                    out["ord"].append(k)
+                    out["points"].append((line[:, ::-1] if swap else line).ravel().tolist())
         return out
 
     return run
 
 
 _POLYGON = pa.schema([("img", pa.int64()), ("id", pa.int32()), ("points", pa.list_(pa.int32()))])
+_BORDER = pa.schema([("img", pa.int64()), ("id", pa.int32()), ("ord", pa.int32()), ("points", pa.list_(pa.int32()))])
 
 
 def instance_polygons(masks: DataFrame, inst2class: DataFrame | None = None) -> DataFrame:
-    """img, id, points (flat x, y) for each instance: dilated, small holes filled, longest contour; with (id, class) given, also category_id = class - 1."""
-    out = masks.select("img", "h", "w", "mask").mapInArrow(_each(_polygon_rows(True, None), _POLYGON), "img long, id int, points array<int>")
+    """img, id, points (flat x, y) for each instance: dilated, small holes filled, longest contour.
+
+    With (img, id, class) given, also category_id = class - 1: each image has a map of
+    its own. An instance that the map lacks raises.
+    """
+    out = masks.select("img", "h", "w", "mask").mapInArrow(_each(_instance_rows, _POLYGON), "img long, id int, points array<int>")
     if inst2class is None:
         return out
-    return out.join(F.broadcast(inst2class.select("id", "class")), "id").select("img", "id", "points", (F.col("class") - 1).alias("category_id"))
+    known = out.join(inst2class.select("img", "id", "class"), ["img", "id"], "left")
+    category = F.when(F.col("class").isNull(), F.raise_error(F.concat(F.lit("no class for instance "), F.col("id").cast("string"))).cast("int")).otherwise(F.col("class") - 1)
+    return known.select("img", "id", "points", category.alias("category_id"))
+
+
+def _borders(masks: DataFrame, threshold: float, swap: bool) -> DataFrame:
+    return masks.select("img", "h", "w", "mask").mapInArrow(_each(_border_rows(threshold, swap), _BORDER), "img long, id int, ord int, points array<int>")
 
 
 def semantic_polygons(masks: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """img, id, points for each class that is left after post-processing; the category is the class id itself."""
-    return masks.select("img", "h", "w", "mask").mapInArrow(_each(_polygon_rows(False, threshold), _POLYGON), "img long, id int, points array<int>")
+    """img, id, ord, points (flat x, y): one row for each outer border that is left of a class after post-processing; the category is the class id itself."""
+    return _borders(masks, threshold, False)
+
 
+def result_polygons(results: DataFrame, label2id: dict[str, int], threshold: float = 0.001) -> DataFrame:
+    """Model results (img, label, h, w, mask) to img, category_id = id - 1, ord, points, one row for each outer border; unknown labels and background are skipped.
 
-def result_polygons(results: DataFrame, label2id: dict[str, int], threshold: float = 0.01) -> DataFrame:
-    """Model results (img, label, h, w, mask) to img, category_id = id - 1, points; unknown labels and background are skipped."""
+    Points are flat y, x: the exchanged order that this conversion has (the older one has a threshold of 0.01).
+    """
     known = F.create_map(*[F.lit(x) for p in label2id.items() for x in p])
     rows = results.filter(~F.col("label").isin("背景", "background")).withColumn("id", known[F.col("label")]).filter("id IS NOT NULL")
     rows = rows.withColumn("mask", F.transform("mask", lambda x: F.when(x > 0, F.col("id")).otherwise(0).cast("short")))
-    return semantic_polygons(rows, threshold).select("img", (F.col("id") - 1).alias("category_id"), "points")
+    return _borders(rows, threshold, True).select("img", (F.col("id") - 1).alias("category_id"), "ord", "points")
 
 
 def resize_nearest(masks: DataFrame, height: int, width: int) -> DataFrame:

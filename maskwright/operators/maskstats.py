@@ -43,6 +43,21 @@ def area_all(pixels: DataFrame, classes: Sequence[int], all_id: bool = True) ->
     return rows if all_id else rows.filter("n > 0")
 
 
+def class_statistics(pixels: DataFrame, classes: Sequence[int], height: int, width: int) -> DataFrame:
+    """img, k, area, w, h, area_cell of every class of the vocabulary but background, from one pass over the pixels; 0 where a class is absent."""
+    if min(height, width) < 3:
+        raise ValueError("a mask side is below 3 pixels")
+    cell = F.expr(f"CASE WHEN r DIV {height // 3} < 3 AND c DIV {width // 3} < 3 THEN r DIV {height // 3} * 3 + c DIV {width // 3} END")
+    cells = [F.count(F.when(cell == i, 1)).alias(f"n{i}") for i in range(9)]
+    each = pixels.groupBy("img", "k").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "rc" for n, f in (("least", F.min), ("most", F.max))], *cells)
+    found = F.struct((F.col("most_c") - F.col("least_c") + 1).alias("w"), (F.col("most_r") - F.col("least_r") + 1).alias("h"), first_max(F.array(*[f"n{i}" for i in range(9)])).alias("area_cell"))
+    image = each.groupBy("img").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("n", found.alias("x"))))).alias("of"))
+    wanted = F.array(*[F.lit(k) for k in classes if k != 0])
+    rows = image.select("img", "total", "of", F.explode(wanted).alias("k")).select("img", "total", "k", F.col("of")[F.col("k")].alias("s"))
+    zero = lambda c, none: F.coalesce(F.col(c), F.lit(none))
+    return rows.select("img", "k", (zero("s.n", 0) / F.col("total")).alias("area"), zero("s.x.w", 0).alias("w"), zero("s.x.h", 0).alias("h"), zero("s.x.area_cell", 0).alias("area_cell"))
+
+
 def bounding_box(pixels: DataFrame) -> DataFrame:
     """img, k, x, y, w, h of each class present but background."""
     box = drop_background(pixels).groupBy("img", "k").agg(F.min("c").alias("x"), F.min("r").alias("y"), F.max("c").alias("c1"), F.max("r").alias("r1"))
@@ -102,9 +117,14 @@ def binary_masks(pixels: DataFrame, names: DataFrame) -> DataFrame:
     return strict_lookup(rows, names, "label_id")
 
 
+def if_small(dim: DataFrame, most: int = 10_000) -> DataFrame:
+    """A dimension with a hint to send it to all executors, if it has no more rows than that."""
+    return F.broadcast(dim) if dim.limit(most + 1).count() <= most else dim
+
+
 def strict_lookup(rows: DataFrame, dim: DataFrame, key: str, name: str = "label_name") -> DataFrame:
-    """Joins ``name`` of a small dimension; a key that it lacks raises."""
-    out = rows.join(F.broadcast(dim.select(key, name)), key, "left")
+    """Joins ``name`` of a dimension; a key that it lacks raises."""
+    out = rows.join(if_small(dim.select(key, name)), key, "left")
     return out.withColumn(name, F.when(F.col(name).isNull(), F.raise_error(F.concat(F.lit("unknown key "), F.col(key).cast("string"))).cast("string")).otherwise(F.col(name)))
 
 

@@ -1,54 +1,64 @@
 """Polygons to masks.
 
 The rule: a pixel (c, r) is inside where the ray to its right crosses the edges an
-odd number of times, or where it lies on an edge. Edges are compared in whole
-numbers. Each polygon is expanded over its own bounding box alone.
+odd number of times, or where it lies on an edge. Rows are (img, points, category_id)
+with parallel lists of flat polygons, one row for each image; each image is painted in
+the task that reads it, polygon by polygon over its own bounding box, without a
+shuffle. A row without polygons raises.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
 
-from .rows import pair_up
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.kernels import polygon_crossings
 
-def _edge_test(points: Column, c: Column, r: Column) -> tuple[Column, Column]:
-    """(crossings, whether on an edge) of pixel (c, r)."""
-    n = F.size(points)
-    start = F.struct(F.lit(0).alias("cross"), F.lit(False).alias("on"))
 
-    def step(a, i):
-        p, q = F.get(points, i), F.get(points, (i + 1) % n)
-        side = (q["x"] - p["x"]) * (r - p["y"]) - (c - p["x"]) * (q["y"] - p["y"])
-        spans = (p["y"] > r) != (q["y"] > r)
-        right = F.when(q["y"] > p["y"], side > 0).otherwise(side < 0)
-        on = (side == 0) & c.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
-        return F.struct((a["cross"] + (spans & right).cast("int")).alias("cross"), (a["on"] | on).alias("on"))
+def _painted(height: int, width: int, name: str, paint: Callable[[list[np.ndarray], list[int]], np.ndarray]):
+    """Batches of (img, points, category_id) to the pixels above 0 of what ``paint`` makes of an image's polygons."""
 
-    got = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
-    return got["cross"], got["on"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                parent, rows, columns, values = [], [], [], []
+                for i, (points, kinds) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    if not points:
+                        raise ValueError("an image has no polygons")
+                    mask = paint([np.array(p, np.int64)[: len(p) // 2 * 2].reshape(-1, 2) for p in points], kinds)
+                    r, c = np.nonzero(mask)
+                    parent.append(np.full(len(r), i))
+                    rows.append(r)
+                    columns.append(c)
+                    values.append(mask[r, c])
+                whole = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(parent))), whole(rows), whole(columns), whole(values)], names=["img", "r", "c", name])
 
+    return run
 
-def polygon_pixels(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """img, inst (from 1), category_id, c, r, crossings, on_edge: the pixels of each polygon's bounding box within the image.
 
-    Rows are (img, points, category_id) with parallel lists of flat polygons; a row without polygons raises.
-    """
-    none = F.raise_error(F.lit("an image has no polygons")).cast("array<array<int>>")
-    rows = rows.withColumn("points", F.when(F.size("points") == 0, none).otherwise(F.col("points")))
-    each = rows.select("img", F.posexplode(F.arrays_zip("points", "category_id")).alias("i", "z")).select("img", (F.col("i") + 1).alias("inst"), F.col("z.category_id").alias("category_id"), pair_up(F.col("z.points")).alias("p"))
-    bound = lambda f, axis: f(F.transform("p", lambda x: x[axis]))
-    each = each.withColumns({"x0": F.greatest(bound(F.array_min, "x"), F.lit(0)), "x1": F.least(bound(F.array_max, "x"), F.lit(width - 1)), "y0": F.greatest(bound(F.array_min, "y"), F.lit(0)), "y1": F.least(bound(F.array_max, "y"), F.lit(height - 1))})
-    at = each.filter("x0 <= x1 AND y0 <= y1").withColumn("c", F.explode(F.sequence("x0", "x1"))).withColumn("r", F.explode(F.sequence("y0", "y1")))
-    cross, on = _edge_test(F.col("p"), F.col("c"), F.col("r"))
-    return at.select("img", "inst", "category_id", "c", "r", cross.alias("crossings"), on.alias("on_edge")).filter("crossings > 0 OR on_edge")
+def _paint(rows: DataFrame, height: int, width: int, name: str, paint: Callable[[list[np.ndarray], list[int]], np.ndarray]) -> DataFrame:
+    kind = rows.schema["img"].dataType.simpleString()
+    return rows.select("img", "points", "category_id").mapInArrow(_painted(height, width, name, paint), f"img {kind}, r int, c int, {name} int")
 
 
 def instance_mask(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """img, r, c, inst: the covered pixels; where polygons overlap the highest instance wins."""
-    inside = polygon_pixels(rows, height, width).filter("crossings % 2 = 1 OR on_edge")
-    return inside.groupBy("img", "r", "c").agg(F.max("inst").alias("inst"))
+    """img, r, c, inst (from 1): the covered pixels; where polygons overlap the highest instance wins."""
+
+    def paint(polygons: list[np.ndarray], kinds: list[int]) -> np.ndarray:
+        out = np.zeros((height, width), np.int32)
+        for i, points in enumerate(polygons, 1):
+            r, c, cross, on = polygon_crossings(points, height, width)
+            box = out[r : r + cross.shape[0], c : c + cross.shape[1]]
+            box[(cross % 2 == 1) | on] = i
+        return out
+
+    return _paint(rows, height, width, "inst", paint)
 
 
 def instance_classes(rows: DataFrame, background: bool = True) -> DataFrame:
@@ -64,8 +74,20 @@ def semantic_mask(rows: DataFrame, height: int, width: int, background_as_class0
     vanishes; else as one more than it is.
     """
     add = 0 if background_as_class0 else 1
-    filled = polygon_pixels(rows, height, width).groupBy("img", "category_id", "r", "c").agg(F.sum("crossings").alias("n"), F.max("on_edge").alias("on")).filter("n % 2 = 1 OR on")
-    return filled.groupBy("img", "r", "c").agg((F.max("category_id") + add).alias("k")).filter("k > 0")
+
+    def paint(polygons: list[np.ndarray], kinds: list[int]) -> np.ndarray:
+        out = np.zeros((height, width), np.int32)
+        for kind in sorted(set(kinds)):
+            crossed, on_edge = np.zeros((height, width), np.int32), np.zeros((height, width), bool)
+            for points in [p for p, k in zip(polygons, kinds, strict=True) if k == kind]:
+                r, c, cross, on = polygon_crossings(points, height, width)
+                box = slice(r, r + cross.shape[0]), slice(c, c + cross.shape[1])
+                crossed[box] += cross
+                on_edge[box] |= on
+            out[(crossed % 2 == 1) | on_edge] = max(kind + add, 0)
+        return out
+
+    return _paint(rows, height, width, "k", paint)
 
 
 def group_polygons(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import MARKS
+from .maskstats import if_small
 
 
 def rebase_path(path: Column, dataset_path: str) -> Column:
@@ -78,8 +79,8 @@ def zip_shortest(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def inner_lookup(rows: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Rows with the columns of a small dimension; keys that it lacks are skipped."""
-    return rows.join(F.broadcast(dim), key)
+    """Rows with the columns of a dimension; keys that it lacks are skipped."""
+    return rows.join(if_small(dim), key)
 
 
 def overlay(base: DataFrame, patch: DataFrame, key: str, value: str, trim: str = "") -> DataFrame:
@@ -99,10 +100,20 @@ def segments_to_map(segments: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda x: F.struct(x["id"], x["label_id"])))
 
 
-def newest(files: DataFrame, suffixes: Sequence[str] = (".pt", ".pth")) -> DataFrame:
-    """The newest file of the given kinds (ties: the greater path); an empty one raises."""
-    wanted = files.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")$"))
-    best = wanted.agg(F.max(F.struct("modified", "path", "length")).alias("b")).select("b.path", "b.modified", "b.length").filter("path IS NOT NULL")
+def newest(files: DataFrame, prefix: str, suffixes: Sequence[str] = (".pt", ".pth")) -> DataFrame:
+    """path, modified, length of the checkpoint to load, from (path, modified, length) of files in folders.
+
+    Of the folders whose path begins with ``prefix`` the newest one counts (by its
+    newest file; ties: the greater path), and of its files with one of the suffixes, in
+    just that spelling, the last by name. An empty file raises.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    inside = files.withColumn("folder", folder).filter(F.col("folder").startswith(prefix))
+    last = inside.agg(F.max(F.struct("modified", "folder")).alias("b")).select(F.col("b.folder").alias("folder"))
+    ends = F.lit(False)
+    for s in suffixes:
+        ends = ends | F.col("path").endswith(s)
+    best = inside.join(last, "folder").filter(ends).agg(F.max(F.struct("path", "modified", "length")).alias("b")).select("b.path", "b.modified", "b.length").filter("path IS NOT NULL")
     return best.withColumn("length", F.when(F.col("length") == 0, F.raise_error(F.lit("empty checkpoint")).cast("long")).otherwise(F.col("length")))
 
 
@@ -233,7 +244,7 @@ def channels_first(image: Column, height: int, width: int, channels: int = 3, re
     return F.transform(F.sequence(F.lit(0), F.lit(size * channels - 1)), lambda i: F.get(image, (i % size) * channels + from_channel(i)))
 
 
-def gaussian_noise(values: Column, seed: int, sigma: float = 1.0) -> Column:
-    """Noise by the Box-Muller rule from hashes of place and seed."""
-    unit = lambda i, s: (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(s)), F.lit(1 << 31)).cast("double") + 0.5) / float(1 << 31)
+def gaussian_noise(values: Column, key: Column, seed: int, sigma: float = 1.0) -> Column:
+    """Noise by the Box-Muller rule from hashes of the row's key, the place and the seed."""
+    unit = lambda i, s: (F.pmod(F.xxhash64(key, i, F.lit(seed), F.lit(s)), F.lit(1 << 31)).cast("double") + 0.5) / float(1 << 31)
     return F.transform(values, lambda x, i: x + F.lit(sigma) * F.sqrt(-2 * F.ln(unit(i, 1))) * F.cos(2 * F.pi() * unit(i, 2)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.labels import AREA_WORDS, CAPTION, CELLS, FAMILIES, LINES, MARKS, NO_CELL, QA, REGIONS, TITLE, VOCABULARIES, label_dim
 from ..operators import captions, dense, maskstats, raster, rows
-from ..sources.tables import HEIGHT, WIDTH, labels_of, masks, pixels, polygons, table
+from ..sources.tables import HEIGHT, WIDTH, dealt, labels_of, masks, pixels, polygons, table
 from . import transforms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -278,7 +278,8 @@ def b8_semantic_mask(spark, d):
 
 @query()
 def b9_instance_polygons(spark, d):
-    return dense.instance_polygons(masks(spark, d), spark.range(1, 11).selectExpr("CAST(id AS INT) AS id", "CAST(id AS INT) AS class"))
+    ids = table(spark, d, "part").select(F.col("p_partkey").alias("img"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("id"))
+    return dense.instance_polygons(masks(spark, d), ids.withColumn("class", (F.col("id") + F.col("img") % 3).cast("int")))
 
 
 @query()
@@ -286,6 +287,11 @@ def b10_result_polygons(spark, d):
     return dense.result_polygons(model_results(spark, d), LABEL2ID)
 
 
+@query()
+def b10_result_polygons_one_percent(spark, d):
+    return dense.result_polygons(model_results(spark, d), LABEL2ID, 0.01)
+
+
 @query()
 def b11_semantic_polygons(spark, d):
     return dense.semantic_polygons(masks(spark, d))
@@ -314,7 +320,7 @@ def b13_flips(spark, d):
 
 @query()
 def b13_noise(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", rows.gaussian_noise(F.col("embedding"), 42, 0.1).alias("noisy"))
+    return table(spark, d, "embeddings").select("vec_id", rows.gaussian_noise(F.col("embedding"), F.col("vec_id"), 42, 0.1).alias("noisy"))
 
 
 def _caption_sql(language: str) -> str:
@@ -360,15 +366,13 @@ def e3_error_caption(spark, d):
 
 def _attributes(spark, d):
     """img, k and all attributes of every class: one pass for the counts, one for the components."""
-    px, m = pixels(spark, d), masks(spark, d)
-    found = dense.component_rows(m)
+    found = dense.component_rows(masks(spark, d))
     place = F.struct("first_r", "first_c", (F.col("sum_c") / F.col("n")).cast("int").alias("x"), (F.col("sum_r") / F.col("n")).cast("int").alias("y"))
     comps = found.groupBy("img", "k").agg((F.count("*") + 1).alias("num"), F.min(place).alias("p"))
     centre = F.expr(f"CAST(p.y DIV {H3} * 3 + p.x DIV {W3} AS INT)")
     comps = comps.select("img", "k", "num", F.when(centre <= 8, centre).alias("centre_cell"))
-    all_ = maskstats.area_all(px, list(NAMES))
-    more = maskstats.bounding_box(px).join(maskstats.nine_cell(px, HEIGHT, WIDTH).withColumnRenamed("cell", "area_cell"), ["img", "k"]).join(comps, ["img", "k"])
-    return all_.join(more, ["img", "k"], "left").withColumns({"num": F.coalesce("num", F.lit(1)), "w": F.coalesce("w", F.lit(0)), "h": F.coalesce("h", F.lit(0)), "area_cell": F.coalesce("area_cell", F.lit(0))})
+    both = maskstats.class_statistics(pixels(spark, d), list(NAMES), HEIGHT, WIDTH).join(comps, ["img", "k"], "left")
+    return both.withColumn("num", F.coalesce("num", F.lit(1)))
 
 
 def _qa_sql() -> str:
@@ -408,7 +412,7 @@ ma AS (SELECT doc_id, string_agg(CASE WHEN rk <= q THEN {sql_list(MARKS)}[1 + {_
 
 @query(with_("base AS (SELECT doc_id, text FROM documents)", MARKED) + "SELECT doc_id, md5(text) AS text_md5 FROM ma")
 def e7_insert_marks(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(rows.insert_marks(F.col("text"), F.col("doc_id"))).alias("text_md5"))
+    return dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(rows.insert_marks(F.col("text"), F.col("doc_id"))).alias("text_md5"))
 
 
 DROPPED = "ke AS (SELECT doc_id, quality FROM labels WHERE quality <> 0 UNION ALL SELECT doc_id, quality FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rk, count(*) OVER () AS n FROM labels WHERE quality = 0) WHERE rk > round_even(n * 0.9, 0))"
@@ -421,7 +425,7 @@ def e8_drop_share(spark, d):
 
 @query(with_(DROPPED, "base AS (SELECT doc_id, text FROM documents JOIN ke USING (doc_id))", MARKED) + "SELECT ma.doc_id, quality, md5(text) AS text_md5 FROM ma JOIN ke ON ke.doc_id = ma.doc_id")
 def e9_augment(spark, d):
-    both = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    both = dealt(table(spark, d, "documents").select("doc_id", "text")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
     return rows.augment(both, "text", "doc_id", label="quality").select("doc_id", "quality", F.md5("text").alias("text_md5"))
 
 
@@ -536,12 +540,17 @@ def p10_pairs_swapped(spark, d):
     return each.select("img", (F.col("i") + 1).alias("inst"), F.posexplode(rows.pair_up(F.col("flat"), swap=True)).alias("pos", "p")).select("img", "inst", "pos", "p.x", "p.y")
 
 
-_FILES = [("run/a.pt", 10, 5), ("run/b.pt", 30, 9), ("run/c.txt", 99, 1), ("run/d.PTH", 30, 7)]
+_FILE = "'run' || CAST(o_custkey % 7 AS {0}) || '/' || CAST(o_orderkey % 1000 AS {0}) || CASE o_orderkey % 4 WHEN 0 THEN '.pt' WHEN 1 THEN '.pth' WHEN 2 THEN '.PTH' ELSE '.txt' END"
 
 
-@query("SELECT arg_max(path, (modified, path)) AS path, max(modified) AS modified, arg_max(length, (modified, path)) AS length FROM (VALUES " + ", ".join(f"({quoted(p)}, {m}, {n})" for p, m, n in _FILES) + ") t(path, modified, length) WHERE regexp_matches(lower(path), '(\\.pt|\\.pth)$')")
+@query(
+    "WITH f AS (SELECT " + _FILE.format("VARCHAR") + " AS path, 'run' || CAST(o_custkey % 7 AS VARCHAR) AS folder, o_orderkey * 7919 % 1000003 AS modified, o_orderkey % 50 + 1 AS length FROM orders), "
+    "l AS (SELECT arg_max(folder, (modified, folder)) AS folder FROM f WHERE starts_with(folder, 'run')) "
+    "SELECT path, modified, length FROM f JOIN l USING (folder) WHERE path LIKE '%.pt' OR path LIKE '%.pth' ORDER BY path DESC, modified DESC, length DESC LIMIT 1"
+)
 def s2_newest_checkpoint(spark, d):
-    return rows.newest(spark.createDataFrame(_FILES, "path string, modified int, length int"))
+    files = table(spark, d, "orders").selectExpr(_FILE.format("STRING") + " AS path", "o_orderkey * 7919 % 1000003 AS modified", "o_orderkey % 50 + 1 AS length")
+    return rows.newest(files, "run")
 
 
 @query("SELECT * FROM (VALUES " + _SEG[1:-1] + ") t(label_id, label_name)")

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Compact rows that each grow into much work: dealt out where a small file would make fewer tasks than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _value(r, c, key, size):
     v = F.pmod((r / F.lit(4)).cast("int") * 3 + (c / F.lit(5)).cast("int") * 5 + key * 7 + size, F.lit(17)).cast("int")
     return F.when(v < 11, v).otherwise(F.lit(0))
@@ -19,7 +25,7 @@ def _value(r, c, key, size):
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, r, c, k: one 20 x 23 class mask for each part."""
-    at = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH - 1))).alias("i"))
+    at = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("img"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH - 1))).alias("i"))
     at = at.select("img", "p_size", F.expr(f"CAST(i DIV {WIDTH} AS INT)").alias("r"), (F.col("i") % WIDTH).alias("c"))
     return at.select("img", "r", "c", _value(F.col("r"), F.col("c"), F.col("img"), F.col("p_size")).alias("k"))
 
@@ -28,7 +34,7 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, h, w, mask: the same masks as dense arrays, row by row."""
     cell = lambda i: _value(F.floor(i / F.lit(WIDTH)), i % WIDTH, F.col("p_partkey"), F.col("p_size")).cast("short")
     mask = F.transform(F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH - 1)), cell)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"), mask.alias("mask"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("img"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"), mask.alias("mask"))
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +46,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
         w, h = 4 + (key + j) % 8, 4 + (size + j) % 6
         return F.array(x, y, x + w, y + key % 3, x + w - 1, y + h, x + 1, y + h - 1)
 
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img"), F.array(*map(quad, range(3))).alias("points"), F.array(*[(key + j) % 4 for j in range(3)]).alias("category_id"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("img"), F.array(*map(quad, range(3))).alias("points"), F.array(*[(key + j) % 4 for j in range(3)]).alias("category_id"))
 
 
 def labels_of(configs: DataFrame) -> DataFrame:

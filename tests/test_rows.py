@@ -1,3 +1,4 @@
+import os
 """Edge cases of the row operators, captions and streams."""
 
 import json
@@ -54,11 +55,29 @@ def test_nulls_and_sentinels(spark):
 
 
 def test_checkpoints(spark, tmp_path):
-    (tmp_path / "a.pt").write_bytes(b"x")
-    (tmp_path / "b.txt").write_bytes(b"")
-    assert rows.newest(tables.checkpoints(spark, str(tmp_path))).first().path.endswith("a.pt")
+    for k, (name, size) in enumerate([("run1/z.pt", 3), ("run2/a.pt", 5), ("run2/b.pth", 2), ("run2/d.PTH", 9), ("run2/e.txt", 1), ("other/x.pt", 7)]):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(b"x" * size)
+        os.utime(path, (1000 + k, 1000 + k))
+    files = tables.checkpoints(spark, str(tmp_path))
+    root = files.filter("path LIKE '%run1%'").first().path.split("run1")[0]
+    got = rows.newest(files, root + "run").first()
+    assert got.path.endswith("run2/b.pth") and got.length == 2
+    assert rows.newest(files, root + "none").collect() == []
     with pytest.raises(Exception, match="empty checkpoint"):
-        rows.newest(spark.createDataFrame([("x.pt", 1, 0)], "path string, modified int, length int")).collect()
+        rows.newest(spark.createDataFrame([("run/x.pt", 1, 0)], "path string, modified int, length int"), "run").collect()
+
+
+def test_noise_differs_by_row(spark):
+    df = spark.createDataFrame([(i, [0.0] * 400) for i in range(20)], "id long, x array<double>")
+    got = [r.y for r in df.select(rows.gaussian_noise(F.col("x"), F.col("id"), 1).alias("y")).collect()]
+    assert len({tuple(y) for y in got}) == 20
+    flat = [v for y in got for v in y]
+    mean = sum(flat) / len(flat)
+    assert abs(mean) < 0.05 and abs(sum(v * v for v in flat) / len(flat) - 1) < 0.05
+    again = [r.y for r in df.select(rows.gaussian_noise(F.col("x"), F.col("id"), 1).alias("y")).collect()]
+    assert again == got
 
 
 def test_model_configuration(spark, tmp_path):
