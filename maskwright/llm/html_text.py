@@ -1,15 +1,21 @@
 """Main text of web pages by composite text density.
 
 A page becomes a DOM of block nodes (inline tags count as tags of their block).
-What is never main text - navigation, forms, scripts, hidden parts, and blocks
-whose class or id says advert, sidebar, notice, comments and the like - is left
-out of all counts. Every node's density is its characters per tag, adjusted by
+What is never main text - navigation, forms, scripts, hidden parts - is left out of
+all counts, and so are blocks whose class or id says advert, sidebar, notice, comments
+and the like, unless they hold an article or, on a page without one, most of the text
+outside of links.
+Every node's density is its characters per tag, adjusted by
 links: ``C/T * ln(C/LC * T/LT) / (1 + ln ln(LC*C/(C-LC) + C*LC_body/C_body + e))``
 (C characters, T tags, LC and LT those in links; a zero divisor counts as 1). A
 node's sum is that of its children's densities. The node of the greatest sum is
 the heart of the page; the least density on its path to the body is the
 threshold. The heart is taken with those branches beside its path that reach the
-threshold; inside an ``article`` or ``main`` all of that element is.
+threshold; where the path passes an ``article`` or ``main``, branches within it need
+not, unless links are a third of their characters.
+
+A page is read in time linear in its length, whatever it holds: no regular expression
+runs over an open quote or tag more than once, and open elements are found by kind.
 """
 
 from __future__ import annotations
@@ -42,100 +48,166 @@ CLUTTER = frozenset(
     " comment comments commentlist disqus respond reply replies pagination pager toolbar widget widgets paywall".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TO_QUOTE = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME_WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is never main text, and whether its name alone says so."""
     if tag in NEVER or (tag == "header" and not in_article):
-        return True
+        return True, False
     if not attributes.strip():
-        return False
+        return False, False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True
+        return True, False
     if found.get("role", "").lower() in ROLES:
-        return True
+        return True, False
     names = set(_NAME_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower()))
     if tag in ("html", "body", "main"):
-        return False
+        return False, False
     if tag == "article":
-        return bool(names & {"comment", "comments", "reply", "related", "promo", "ad", "sponsored"})
-    return bool(names & CLUTTER)
+        return bool(names & {"comment", "comments", "reply", "related", "promo", "ad", "sponsored"}), False
+    return False, bool(names & CLUTTER)
+
+
+def _tokens(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag; comments and declarations have no name. What has no end is text, comments last to the end."""
+    at, n, quotes_end, no_more = 0, len(source), True, {"'": False, '"': False}
+    while True:
+        start = source.find("<", at)
+        if start < 0 or start + 1 >= n:
+            return
+        mark = source[start + 1]
+        if mark in "!?":
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if source.startswith(opening, start):
+                    end = source.find(closing, start + len(opening))
+                    at = n if end < 0 else end + len(closing)
+                    break
+            yield start, at, "", "", ""
+            continue
+        m = _TAG.match(source, start)
+        if not m:
+            at = start + 1
+            continue
+        end = m.end()
+        while quotes_end:
+            end = _TO_QUOTE.match(source, end).end()
+            if end >= n or source[end] == ">":
+                break
+            mark = source[end]
+            close = -1 if no_more[mark] else source.find(mark, end + 1)
+            no_more[mark] = close < 0
+            end = max(close, end) + 1
+        if not quotes_end:
+            end = source.find(">", end)
+            if end < 0:
+                return
+        elif end >= n:  # with its quotes this tag never ends, so from here on quotes don't hide the end of a tag
+            quotes_end, at = False, start
+            continue
+        yield start, end + 1, m.group(1), m.group(2).lower(), source[m.end() : end]
+        at = end + 1
+
+
+def density_of(chars: int, tags: int, link_chars: int, link_tags: int, whole: float) -> float:
+    """Composite text density of a node; ``whole`` is the share of the page's characters that are in links."""
+    if not chars:
+        return 0.0
+    inner = math.log(link_chars * chars / max(1, chars - link_chars) + chars * whole + math.e)
+    return chars / (tags or 1) * max(0.0, math.log(chars / (link_chars or 1) * (tags or 1) / (link_tags or 1))) / (1 + math.log(inner))
 
 
 class Page:
     """Nodes in the order of their start tags; node 0 is the root."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop, self.attributes = ["html"], [-1], [False], [""]
+        self.tag, self.parent, self.drop, self.named = ["html"], [-1], [False], [False]
         self.text: list[tuple[int, str]] = []  # (node, raw text or a space), in page order
-        open_nodes, at, n = [0], 0, len(source)
-        articles = 0
-        while at < n:
-            m = _TOKEN.search(source, at)
-            if not m:
-                self.text.append((open_nodes[-1], source[at:]))
-                break
-            if m.start() > at:
-                self.text.append((open_nodes[-1], source[at : m.start()]))
-            at, name = m.end(), m.group(2)
+        stack, where, walls = [0], {"html": [0]}, []  # open nodes; their places in the stack by kind; places of walls
+
+        def close(place: int) -> None:
+            while len(stack) > place:
+                where[self.tag[stack.pop()]].pop()
+            while walls and walls[-1] >= place:
+                walls.pop()
+
+        def last(names) -> int:
+            return max((where[x][-1] for x in names if where.get(x)), default=0)
+
+        at, resume = 0, 0
+        for start, end, slash, name, attributes in _tokens(source):
+            if start < resume:
+                continue
+            if start > at:
+                self.text.append((stack[-1], source[at:start]))
+            at = end
             if not name:
                 continue
-            name = name.lower()
-            if m.group(1):
-                for i in range(len(open_nodes) - 1, 0, -1):
-                    here = self.tag[open_nodes[i]]
-                    if here == name:
-                        articles -= sum(self.tag[x] in ("article", "main") for x in open_nodes[i:])
-                        del open_nodes[i:]
-                        break
-                    if here in WALLS and name in INLINE or here in ("td", "th") and name not in WALLS | {"tr", "tbody", "thead"}:
-                        break
+            if slash:
+                place = last((name,))
+                kept = name in INLINE and walls and walls[-1] > place or name not in WALLS | {"tr", "tbody", "thead", "td", "th"} and last(("td", "th")) > place
+                if place and not kept:
+                    close(place)
                 continue
-            if name in ("html", "body") and any(self.tag[x] == name and x for x in open_nodes):
+            if name in ("html", "body") and last((name,)):
                 continue
-            ends = ENDS.get(name) or ({"p"} if name not in INLINE and name not in VOID | RAW | {"option"} or name == "hr" else set())
-            for i in range(len(open_nodes) - 1, 0, -1):
-                here = self.tag[open_nodes[i]]
-                if here in ends:
-                    del open_nodes[i:]
-                    if name not in ("tr", "tbody", "thead"):
-                        break
-                elif here in WALLS:
+            ends = ENDS.get(name) or ({"p"} if name not in INLINE and name not in VOID | RAW | {"option"} or name == "hr" else ())
+            while (place := last(ends)) > (walls[-1] if walls else 0):
+                close(place)
+                if name not in ("tr", "tbody", "thead"):
                     break
             node = len(self.tag)
             self.tag.append(name)
-            self.parent.append(open_nodes[-1])
-            self.attributes.append(m.group(3))
-            self.drop.append(_unwanted(name, m.group(3), articles > 0))
+            self.parent.append(stack[-1])
+            drop, named = _unwanted(name, attributes, bool(where.get("article") or where.get("main")))
+            self.drop.append(drop)
+            self.named.append(named)
             if name in ("br", "td", "th", "img", "wbr"):
                 self.text.append((node, " " if name != "wbr" else ""))
-            if name in VOID or m.group(3).endswith("/"):
+            if name in VOID or attributes.endswith("/"):
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
-                if name == "textarea" or not end:  # all the rest belongs to what has no end, as it would in a browser
-                    at = end.end() if end else n
-                else:
-                    at = end.end()
+                found = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
+                at = resume = found.end() if found else len(source)  # all the rest belongs to what has no end, as it would in a browser
                 continue
-            articles += name in ("article", "main")
-            open_nodes.append(node)
+            where.setdefault(name, []).append(len(stack))
+            if name in WALLS:
+                walls.append(len(stack))
+            stack.append(node)
+        if at < len(source):
+            self.text.append((stack[-1], source[at:]))
 
-    def main_text(self) -> str:
+    def _left_out(self) -> list[bool]:
+        """Nodes that are no main text, with all that they hold."""
         n = len(self.tag)
-        keeps = [t in ("article", "main") and not d for t, d in zip(self.tag, self.drop, strict=True)]
+        article = [t in ("article", "main") and not d for t, d in zip(self.tag, self.drop, strict=True)]
+        for i in range(n - 1, 0, -1):
+            article[self.parent[i]] = article[self.parent[i]] or article[i]
+        never, linked, plain = [False] * n, [False] * n, [0] * n
+        for i in range(1, n):
+            # a wrapper that is dropped but holds an article is none
+            never[i] = never[self.parent[i]] or self.drop[i] and not (article[i] and self.tag[i] not in ("article", "main"))
+            linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
+        for i, raw in self.text:
+            if not never[i] and not linked[i]:
+                plain[i] += len(raw.strip())
         for i in range(n - 1, 0, -1):
-            keeps[self.parent[i]] = keeps[self.parent[i]] or keeps[i]
-        gone, block = [False] * n, [0] * n
+            plain[self.parent[i]] += plain[i]
+        gone = never
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]] or self.named[i] and not article[i] and (article[0] or plain[i] * 2 <= plain[0])
+        return gone
+
+    def main_text(self) -> str:
+        n, gone = len(self.tag), self._left_out()
+        block = [0] * n
         for i in range(1, n):
-            p = self.parent[i]
-            # a wrapper that is named like clutter but holds an article is none
-            gone[i] = gone[p] or (self.drop[i] and not (keeps[i] and self.tag[i] not in ("article", "main")))
-            block[i] = block[p] if self.tag[i] in INLINE else i
+            block[i] = block[self.parent[i]] if self.tag[i] in INLINE else i
         chars, tags, link_chars, link_tags, linked = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
         for i in range(1, n):
             linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
@@ -156,12 +228,7 @@ class Page:
         whole = link_chars[0] / max(1, chars[0])
         density = {}
         for i in blocks:
-            c, t, lc, lt = chars[i], tags[i] or 1, link_chars[i], link_tags[i] or 1
-            if not c:
-                density[i] = 0.0
-                continue
-            inner = math.log(lc * c / max(1, c - lc) + c * whole + math.e)
-            density[i] = c / t * max(0.0, math.log(c / (lc or 1) * t / lt)) / (1 + math.log(inner))
+            density[i] = density_of(chars[i], tags[i], link_chars[i], link_tags[i], whole)
         sums = dict.fromkeys(blocks, 0.0)
         for i in blocks:
             if i:
@@ -172,15 +239,21 @@ class Page:
         path = [heart]
         while path[-1]:
             path.append(above[path[-1]])
-        around = next((i for i in reversed(path) if self.tag[i] in ("article", "main")), None)
-        if around is not None:
-            taken = {around}
-        else:
-            least = min((density[i] for i in path if i == heart or self.tag[i] not in ("html", "body")), default=0.0)
-            taken = {heart} | {i for i in blocks if i and above[i] in path[1:] and i not in path and density[i] >= least > 0}
+        on_path = set(path)
+        least = min((density[i] for i in path if i == heart or self.tag[i] != "html"), default=0.0)
+        article = next((k for k in range(len(path) - 1, -1, -1) if self.tag[path[k]] in ("article", "main")), -1)
+        eased = set(path[: article + 1])  # branches of these are within the article
+        taken = {heart}
+        for i in blocks:
+            if i and above[i] in on_path and above[i] != heart and i not in on_path and density[i] > 0:
+                if density[i] >= least or above[i] in eased and link_chars[i] * 3 <= chars[i]:
+                    taken.add(i)
+        loose = {i for i in path[1:] if i in eased}  # text that lies between the branches of the article
         inside = [False] * n
         for i in range(n):
             inside[i] = i in taken or (i > 0 and inside[self.parent[i]])
+        for i in range(n):
+            inside[i] = inside[i] or block[i] in loose
         out, now, parts = [], -1, []
 
         def end() -> None:
@@ -213,6 +286,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row; null or empty html has the empty text. Rows are independent of each other."""
+    """page_id, url, text, n_chars of every row; null or empty html has the empty text.
+
+    Rows are independent of each other: repeated ones come out alike, an empty table
+    gives no rows. Very long pages are read whole. Of nodes whose sums tie, the one
+    with most characters is the heart, then the first. Further columns play no part.
+    """
     kinds = [pages.schema[c].dataType.simpleString() for c in ("page_id", "url")]
     return pages.select("page_id", "url", F.col("html").cast("string").alias("html")).mapInArrow(_extract, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+import time
 
 from maskwright.llm import html_text as H
 
@@ -30,3 +33,54 @@ def test_edges(spark):
     assert got[:5] == [(1, "", 0), (2, "", 0), (3, "plain", 5), (4, "<" * 40, 40), (5, "deep", 4)]
     assert got[5][1] == "\n".join("a" * 5000) and got[6] == got[2]
     assert H.extract(df.limit(0)).collect() == []
+
+
+def words(n, seed=0):
+    rng = random.Random(seed)
+    return " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(n)) + "."
+
+
+def test_without_article():
+    # no element and no name says where the text is
+    menu = "<div><ul>" + "".join(f"<li><a href='/{i}'>go to section {i}</a>" for i in range(30)) + "</ul></div>"
+    paras = [words(40, i) for i in range(6)]
+    links = "<div><p><a>more of this</a> and <a>more of that</a></p></div>"
+    page = f"<body>{menu}<div><div>{''.join(f'<p>{p}</p>' for p in paras)}</div>{links}</div><div>(c) us</div></body>"
+    assert H.main_text(page) == "\n".join(paras)
+
+
+def test_densities_decide(monkeypatch):
+    menu = "<div><ul>" + "".join(f"<li><a href='/{i}'>go to section {i}</a>" for i in range(30)) + "</ul></div>"
+    page = f"<body>{menu}<div>{''.join(f'<p>{words(40, i)}</p>' for i in range(6))}</div></body>"
+    right = H.main_text(page)
+    assert "go to" not in right and right.count("\n") == 5
+    monkeypatch.setattr(H, "density_of", lambda *a: 1.0)
+    assert H.main_text(page) != right
+
+
+def test_density_by_hand():
+    # 100 characters of 4 tags, 20 of them in 2 links, on a page with 30 of 200 in links
+    want = 100 / 4 * math.log(100 / 20 * 4 / 2) / (1 + math.log(math.log(20 * 100 / 80 + 100 * 30 / 200 + math.e)))
+    assert math.isclose(H.density_of(100, 4, 20, 2, 30 / 200), want)
+    assert math.isclose(H.density_of(50, 0, 0, 0, 0.0), 50 * math.log(50) / 1)
+    assert H.density_of(0, 3, 0, 1, 0.1) == 0.0
+
+
+def test_names_alone_do_not_hide_the_text():
+    paras = "".join(f"<p>{words(30, i)}</p>" for i in range(5))
+    for name in ("content has-sidebar", "main-menu-page", "social-page"):
+        got = H.main_text(f"<body><nav><a>x</a></nav><div class='{name}'>{paras}</div><div class=sidebar><p>Some side text here.</p></div></body>")
+        assert got.count("\n") == 4 and "side text" not in got
+    assert H.main_text(f"<main><h1>Title here</h1><div><div>{paras}</div><div class='share-buttons'>Share</div><p><a>all of it a link</a></p></div></main>").startswith("Title here\nalpha" if words(30, 0).startswith("alpha") else "Title here\n")
+
+
+def test_linear_time():
+    def seconds(x):
+        start = time.process_time()
+        H.main_text(x)
+        return time.process_time() - start
+
+    for part in ("<a ", '<a "', "<b>", "<a '>", "<p><ul><span>", "<p><h1>", "</b>", "<!", "<td>", "<li><b>", "<script", "<a b=\"'>"):
+        assert seconds(part * (5_000_000 // len(part) // 5)) < 20, part
+    assert seconds("<p><ul>" + "<span>" * 100_000 + "<h1>" * 100_000) < 10
+    assert seconds('<a "' * 100_001 + ">" + '<a "' * 100_000) < 10
