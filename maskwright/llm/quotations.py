@@ -1,14 +1,16 @@
 """Chat formatting by quotation linking (DataFrame functions only).
 
-Lines that begin with ``>`` marks are quotes, one level for each mark. Quoted
-lines and the lines a message has of its own are normalised (letters and digits,
-lower case) and hashed. The first message of a conversation that has a line of
-its own is the original of that line's quotes; so a quote meets one original at
-most, however often a line recurs. A message replies to the original that most
-of its quotes at the outermost matched level come from (ties: the latest), which
-is an earlier message. Threads are found by doubling the reach of the reply
-links, and conversations come thread by thread, each reply after what it answers,
-with quotes and the "... wrote:" lines above them removed.
+Lines that begin with ``>`` marks are quotes, one level for each mark. Lines of one
+level that follow each other make a passage; a blank line ends it. What a message has
+of its own makes passages in the same way. Passages are cut into sentences too, all are
+normalised (letters and digits, lower case) and hashed: so a quote is found however a
+mail program has wrapped it, and also where it quotes one sentence out of a paragraph.
+The first message of a conversation that has a passage or sentence of its own is its
+original; so a quote meets one original at most, however often a text recurs. A message
+replies to the original that most characters of its quotes at the outermost matched
+level come from (ties: the latest), which is an earlier message. Threads are found by
+doubling the reach of the reply links, and conversations come thread by thread, each
+reply after what it answers, with quotes and the "... wrote:" lines above them removed.
 """
 
 from __future__ import annotations
@@ -18,9 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Shorter normalised lines are no evidence of a quotation.
-MIN_CHARS = 12
-
 # fixed values: how mail programs begin the line above a quotation, by language
 WROTE = r"(?i)^.{0,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$"
 
@@ -38,28 +37,43 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _passages(lines: Column) -> Column:
+    """array<struct<level, text>>: neighbouring lines of one level as one text; a line without letters or digits stands alone."""
+    blank = lambda x: normalised(x["text"]) == ""
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.get(lines, i - 1)
+        begins = (i == 0) | (before["level"] != x["level"]) | blank(x) | blank(before)
+        return F.concat(F.when(begins, F.concat(F.lit("\u0001"), x["level"].cast("string"), F.lit("\u0002"))).otherwise(F.lit(" ")), x["text"])
+
+    whole = F.filter(F.split(F.array_join(F.transform(lines, piece), ""), "\u0001", -1), lambda t: t != "")
+    return F.transform(whole, lambda t: F.struct(F.substring_index(t, "\u0002", 1).cast("int").alias("level"), F.substring_index(t, "\u0002", -1).alias("text")))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, lines (level, text) and the text without quotes."""
+    """conv_id, turn, role, lines (level, text), passages (level, text) and the text without quotes."""
     rows = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("raw"))
     split = F.split(F.regexp_replace("raw", "\r\n?", "\n"), "\n", -1)
     lines = F.transform(split, lambda x: F.struct(_level(x).alias("level"), _bare(x).alias("text")))
-    own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~(F.coalesce(F.get(F.col("lines"), i + 1)["level"] > 0, F.lit(False)) & x["text"].rlike(WROTE)))
-    return rows.withColumn("lines", lines).withColumn("text", F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), r"\n{3,}", "\n\n"), F.lit(" \n\t"))).drop("raw")
+    wrote = lambda x, i: (x["level"] == 0) & F.coalesce(F.get(F.col("lines"), i + 1)["level"] > 0, F.lit(False)) & x["text"].rlike(WROTE)
+    own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~wrote(x, i))
+    said = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), F.when(wrote(x, i), F.lit("")).otherwise(F.translate(x["text"], "\u0001\u0002", "  ")).alias("text")))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), r"\n{3,}", "\n\n"), F.lit(" \n\t"))
+    return rows.withColumn("lines", lines).withColumn("text", text).withColumn("said", said).withColumn("passages", _passages(F.col("said"))).drop("raw", "said")
 
 
 def reply_links(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, parent, level, quotes: the message each quoting message replies to."""
-    lines = rows.select("conv_id", "turn", F.explode("lines").alias("line")).select("conv_id", "turn", F.col("line.level").alias("level"), normalised(F.col("line.text")).alias("norm"))
-    lines = lines.filter(F.length("norm") >= MIN_CHARS).select("conv_id", "turn", "level", F.xxhash64("norm").alias("hash"), F.length("norm").alias("size"))
-    quoted = stored(lines.filter("level > 0").distinct(), "quoted")
-    if quoted.isEmpty():
-        return quoted.select("conv_id", "turn", F.col("turn").alias("parent"), "level", F.lit(0).cast("long").alias("quotes"))
+    """conv_id, turn, parent, level, quotes, size: the message each quoting message replies to, how many passages and sentences say so and their characters."""
+    each = rows.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", F.split("p.text", r"(?<=[.!?。！？])\s*(?=\S)").alias("parts"), "p.text")
+    each = each.select("conv_id", "turn", "level", F.explode(F.array_union(F.array("text"), "parts")).alias("text")).select("conv_id", "turn", "level", normalised(F.col("text")).alias("norm"))
+    each = each.filter("norm <> ''").select("conv_id", "turn", "level", F.xxhash64("norm").alias("hash"), F.length("norm").alias("size"))
+    quoted = stored(each.filter("level > 0").distinct(), "quoted")
     wanted = quoted.select("conv_id", "hash", "size").distinct()
-    original = lines.filter("level = 0").groupBy("conv_id", "hash", "size").agg(F.min("turn").alias("parent")).join(wanted, ["conv_id", "hash", "size"], "left_semi")
+    original = each.filter("level = 0").groupBy("conv_id", "hash", "size").agg(F.min("turn").alias("parent")).join(wanted, ["conv_id", "hash", "size"], "left_semi")
     met = quoted.join(stored(original, "original"), ["conv_id", "hash", "size"]).filter("parent < turn")
-    votes = met.groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("quotes"))
-    best = F.max(F.struct((-F.col("level")).alias("near"), F.col("quotes").alias("quotes"), F.col("parent").alias("parent"))).alias("best")
-    return votes.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", "best.parent", (-F.col("best.near")).alias("level"), "best.quotes")
+    votes = met.groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("quotes"), F.sum("size").alias("size"))
+    best = F.max(F.struct((-F.col("level")).alias("near"), F.col("size").alias("size"), F.col("parent").alias("parent"), F.col("quotes").alias("quotes"))).alias("best")
+    return votes.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", "best.parent", (-F.col("best.near")).alias("level"), "best.quotes", "best.size")
 
 
 def threads(links: DataFrame) -> DataFrame:
@@ -82,7 +96,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     ``thread`` is the turn of the thread's first message, ``reply_to`` the turn
     answered (null: none), ``formatted`` the text under its role's tag. Null text
     counts as empty and null role as ``unknown``; rows without conv_id or turn stay,
-    unlinked; rows that repeat (conv_id, turn) are linked alike.
+    unlinked; rows that repeat (conv_id, turn) are linked alike. Very long messages
+    count whole, an empty table gives no rows, further columns play no part.
     """
     rows = parsed(messages)
     linked = threads(reply_links(rows))

@@ -1,3 +1,7 @@
+import random
+import re
+import textwrap
+
 from maskwright.llm import quotations as Q
 
 
@@ -32,3 +36,66 @@ def test_edges(spark):
     assert got == {(1, 0, None, "unknown"), (1, 1, None, "user"), (1, 2, None, "user"), (1, 3, None, "user"), (1, 4, 2, "a"), (None, 5, None, "a"), (1, None, None, "a"), (3, 0, None, "a")}
     assert len(run(spark, rows)) == len(rows)
     assert run(spark, []) == []
+
+
+def norm(text):
+    return re.sub(r"[\W_]+", " ", text.lower()).strip()
+
+
+def brute_parents(rows):
+    """The rule as loops, for rows (conv, turn, text)."""
+
+    def units(text):
+        out, last = [], None
+        for line in text.split("\n"):
+            marks = re.match(r"\s*((?:>\s?)*)", line).group(1)
+            level, bare = marks.count(">"), re.sub(r"^\s*(?:>\s?)*", "", line)
+            if not norm(bare):
+                last = None
+            elif last is not None and last[0] == level:
+                last[1] += " " + bare
+            else:
+                last = [level, bare]
+                out.append(last)
+        return {(level, norm(x)) for level, p in out for x in [p, *re.split(r"(?<=[.!?])\s*(?=\S)", p)] if norm(x)}
+
+    found = {(c, t): units(x) for c, t, x in rows}
+    parents = {}
+    for (c, t), mine in found.items():
+        votes = {}
+        for level, x in mine:
+            first = min((u for (d, u), theirs in found.items() if d == c and (0, x) in theirs), default=t)
+            if level and first < t:
+                votes[level, first] = votes.get((level, first), 0) + len(x)
+        parents[c, t] = max(votes, key=lambda k: (-k[0], votes[k], k[1]))[1] if votes else None
+    return parents
+
+
+def test_generated_quotes_equal_brute_force(spark):
+    rng, rows = random.Random(11), []
+    sentence = lambda: " ".join(rng.choice("old boat river stone lamp under over green seven cold".split()) for _ in range(rng.randrange(2, 12))).capitalize() + rng.choice(".!?")
+    for conv in range(12):
+        said = []
+        for turn in range(15):
+            own = "\n\n".join(" ".join(sentence() for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 3)))
+            body = textwrap.fill(own, rng.choice([20, 60, 300])) if "\n\n" not in own else own
+            quote = ""
+            if turn and rng.random() < 0.8:
+                source = rng.choice(said)
+                lines = [x for x in source.split("\n") if x.strip()]
+                kind = rng.randrange(3)
+                part = rng.choice(lines) if kind == 0 else "\n".join(lines)
+                if kind == 2 and not any(x.startswith(">") for x in lines):  # wrapped anew
+                    part = textwrap.fill(" ".join(lines), 25)
+                quote = "She wrote:\n" + "\n".join("> " + x if not x.startswith(">") else ">" + x for x in part.split("\n")) + "\n"
+            said.append(quote.removeprefix("She wrote:\n") + body)
+            rows.append((conv, turn, quote + body))
+    got = {(r.conv_id, r.turn): r.reply_to for r in run(spark, [(c, t, "user", x) for c, t, x in rows])}
+    want = brute_parents([(c, t, x.removeprefix("She wrote:\n")) for c, t, x in rows])
+    assert got == want and sum(p is not None for p in want.values()) > 60
+
+
+def test_wrapped_anew_and_short(spark):
+    long = "The ridge path is closed in winter. Take the lower road past the mill, and leave before noon. Call me then."
+    rows = [(1, 0, "a", long), (1, 1, "b", "> The ridge path is closed in\n> winter. Take the lower road past\n> the mill, and leave before noon.\n> Call me then.\nFine."), (1, 2, "a", "> Fine.\nGood."), (1, 3, "b", "> Take the lower road past the mill,\n> and leave before noon.\nWhy?"), (1, 4, "a", "one\ntwo\nthree"), (1, 5, "b", "> one two three\nfour")]
+    assert [(r.turn, r.reply_to) for r in sorted(run(spark, rows), key=lambda r: r.turn)] == [(0, None), (1, 0), (2, 1), (3, 0), (4, None), (5, 4)]
