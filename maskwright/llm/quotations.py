@@ -66,7 +66,7 @@ def reply_links(rows: DataFrame) -> DataFrame:
     """conv_id, turn, parent, level, quotes, size: the message each quoting message replies to, how many passages and sentences say so and their characters."""
     each = rows.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", F.split("p.text", r"(?<=[.!?。！？])\s*(?=\S)").alias("parts"), "p.text")
     each = each.select("conv_id", "turn", "level", F.explode(F.array_union(F.array("text"), "parts")).alias("text")).select("conv_id", "turn", "level", normalised(F.col("text")).alias("norm"))
-    each = each.filter("norm <> ''").select("conv_id", "turn", "level", F.xxhash64("norm").alias("hash"), F.length("norm").alias("size"))
+    each = stored(each.filter("norm <> ''").select("conv_id", "turn", "level", F.xxhash64("norm").alias("hash"), F.length("norm").alias("size")), "passages")
     quoted = stored(each.filter("level > 0").distinct(), "quoted")
     wanted = quoted.select("conv_id", "hash", "size").distinct()
     original = each.filter("level = 0").groupBy("conv_id", "hash", "size").agg(F.min("turn").alias("parent")).join(wanted, ["conv_id", "hash", "size"], "left_semi")
@@ -100,7 +100,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     count whole, an empty table gives no rows, further columns play no part.
     """
     rows = parsed(messages)
-    linked = threads(reply_links(rows))
+    quoting = messages.filter(F.col("text").cast("string").rlike(r"(?m)^\s*>")).select("conv_id").distinct()  # elsewhere there is nothing to link
+    linked = threads(reply_links(parsed(messages.join(quoting, "conv_id", "left_semi"))))
     shape = rows.select("conv_id", "turn", "role", "text", F.size(F.filter("lines", lambda x: x["level"] > 0)).alias("quoted_lines"))
     out = shape.join(linked, ["conv_id", "turn"], "left")
     role = F.coalesce("role", F.lit("unknown"))
