@@ -26,7 +26,7 @@ WROTE = r"(?i)^.{0,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$"
 
 def _level(line: Column) -> Column:
     marks = F.regexp_extract(line, r"^\s*((?:>\s?)*)", 1)
-    return F.length(F.regexp_replace(marks, r"[^>]", ""))
+    return F.when(F.contains(line, F.lit(">")), F.length(F.regexp_replace(marks, r"[^>]", ""))).otherwise(0)
 
 
 def _bare(line: Column) -> Column:
@@ -39,7 +39,7 @@ def normalised(text: Column) -> Column:
 
 def _passages(lines: Column) -> Column:
     """array<struct<level, text>>: neighbouring lines of one level as one text; a line without letters or digits stands alone."""
-    blank = lambda x: normalised(x["text"]) == ""
+    blank = lambda x: ~x["text"].rlike(r"[\p{L}\p{N}]")
 
     def piece(x: Column, i: Column) -> Column:
         before = F.get(lines, i - 1)
