@@ -64,8 +64,9 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 def reply_links(rows: DataFrame) -> DataFrame:
     """conv_id, turn, parent, level, quotes, size: the message each quoting message replies to, how many passages and sentences say so and their characters."""
-    each = rows.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", F.split("p.text", r"(?<=[.!?。！？])\s*(?=\S)").alias("parts"), "p.text")
-    each = each.select("conv_id", "turn", "level", F.explode(F.array_union(F.array("text"), "parts")).alias("text")).select("conv_id", "turn", "level", normalised(F.col("text")).alias("norm"))
+    # of a plain explode, a filter on the passages would be inferred and run before the join that thins the messages out
+    each = rows.select("conv_id", "turn", F.explode_outer("passages").alias("p")).select("conv_id", "turn", "p.level", F.split("p.text", r"(?<=[.!?。！？])\s*(?=\S)").alias("parts"), "p.text")
+    each = each.select("conv_id", "turn", "level", F.explode_outer(F.array_union(F.array("text"), "parts")).alias("text")).select("conv_id", "turn", "level", normalised(F.col("text")).alias("norm"))
     each = stored(each.filter("norm <> ''").select("conv_id", "turn", "level", F.xxhash64("norm").alias("hash"), F.length("norm").alias("size")), "passages")
     quoted = stored(each.filter("level > 0").distinct(), "quoted")
     wanted = quoted.select("conv_id", "hash", "size").distinct()
