@@ -372,7 +372,7 @@ def _beginnings(sketch: np.ndarray, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parent, found, lighter, left = [], [], [], []
+            parent, found, lighter, left, total = [], [], [], [], []
             for row, text in enumerate(batch.column(3).to_pylist()):
                 values, times = shingles(text)
                 weight = weights(values, times, sketch)
@@ -383,8 +383,9 @@ def _beginnings(sketch: np.ndarray, least: float):
                 found.append(values[order[:n]])
                 lighter.append(before[:n] <= (1 - 2 * least / (1 + least)) * weight.sum() + 1e-6)
                 left.append(weight.sum() - before[:n])
+                total.append(np.full(n, weight.sum()))
             who = pa.array(np.concatenate(parent))
-            columns = [pa.array(np.concatenate(found).view(np.int64)), *[batch.column(i).take(who) for i in range(3)], pa.array(np.concatenate(lighter)), pa.array(np.concatenate(left))]
+            columns = [pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(who), pa.array(np.concatenate(total)), batch.column(2).take(who), pa.array(np.concatenate(lighter)), pa.array(np.concatenate(left))]
             yield pa.RecordBatch.from_arrays(columns, names=["shingle", "key", "total", "label", "lighter", "left"])
 
     return run
