@@ -15,11 +15,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kernels import polygon_crossings
 
 
-def _painted(height: int, width: int, name: str, paint: Callable[[list[np.ndarray], list[int]], np.ndarray]):
+#: Flat polygons as (x, y) arrays, their categories, height and width to a painted mask.
+Painter = Callable[[list[np.ndarray], list[int], int, int], np.ndarray]
+
+
+def _instances(polygons: list[np.ndarray], kinds: list[int], height: int, width: int) -> np.ndarray:
+    out = np.zeros((height, width), np.int32)
+    for i, points in enumerate(polygons, 1):
+        r, c, cross, on = polygon_crossings(points, height, width)
+        box = out[r : r + cross.shape[0], c : c + cross.shape[1]]
+        box[(cross % 2 == 1) | on] = i
+    return out
+
+
+def _categories(add: int) -> Painter:
+    def paint(polygons: list[np.ndarray], kinds: list[int], height: int, width: int) -> np.ndarray:
+        out = np.zeros((height, width), np.int32)
+        for kind in sorted(set(kinds)):
+            crossed, on_edge = np.zeros((height, width), np.int32), np.zeros((height, width), bool)
+            for points in [p for p, k in zip(polygons, kinds, strict=True) if k == kind]:
+                r, c, cross, on = polygon_crossings(points, height, width)
+                box = slice(r, r + cross.shape[0]), slice(c, c + cross.shape[1])
+                crossed[box] += cross
+                on_edge[box] |= on
+            out[(crossed % 2 == 1) | on_edge] = max(kind + add, 0)
+        return out
+
+    return paint
+
+
+def _mask_of(points: list[list[int]], kinds: list[int], height: int, width: int, paint: Painter) -> np.ndarray:
+    if not points:
+        raise ValueError("an image has no polygons")
+    return paint([np.array(p, np.int64)[: len(p) // 2 * 2].reshape(-1, 2) for p in points], kinds, height, width)
+
+
+def _painted(height: int, width: int, name: str, paint: Painter):
     """Batches of (img, points, category_id) to the pixels above 0 of what ``paint`` makes of an image's polygons."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -28,9 +64,7 @@ def _painted(height: int, width: int, name: str, paint: Callable[[list[np.ndarra
                 part = batch.slice(s, 256)
                 parent, rows, columns, values = [], [], [], []
                 for i, (points, kinds) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    if not points:
-                        raise ValueError("an image has no polygons")
-                    mask = paint([np.array(p, np.int64)[: len(p) // 2 * 2].reshape(-1, 2) for p in points], kinds)
+                    mask = _mask_of(points, kinds, height, width, paint)
                     r, c = np.nonzero(mask)
                     parent.append(np.full(len(r), i))
                     rows.append(r)
@@ -42,23 +76,14 @@ def _painted(height: int, width: int, name: str, paint: Callable[[list[np.ndarra
     return run
 
 
-def _paint(rows: DataFrame, height: int, width: int, name: str, paint: Callable[[list[np.ndarray], list[int]], np.ndarray]) -> DataFrame:
+def _paint(rows: DataFrame, height: int, width: int, name: str, paint: Painter) -> DataFrame:
     kind = rows.schema["img"].dataType.simpleString()
     return rows.select("img", "points", "category_id").mapInArrow(_painted(height, width, name, paint), f"img {kind}, r int, c int, {name} int")
 
 
 def instance_mask(rows: DataFrame, height: int, width: int) -> DataFrame:
     """img, r, c, inst (from 1): the covered pixels; where polygons overlap the highest instance wins."""
-
-    def paint(polygons: list[np.ndarray], kinds: list[int]) -> np.ndarray:
-        out = np.zeros((height, width), np.int32)
-        for i, points in enumerate(polygons, 1):
-            r, c, cross, on = polygon_crossings(points, height, width)
-            box = out[r : r + cross.shape[0], c : c + cross.shape[1]]
-            box[(cross % 2 == 1) | on] = i
-        return out
-
-    return _paint(rows, height, width, "inst", paint)
+    return _paint(rows, height, width, "inst", _instances)
 
 
 def instance_classes(rows: DataFrame, background: bool = True) -> DataFrame:
@@ -73,21 +98,27 @@ def semantic_mask(rows: DataFrame, height: int, width: int, background_as_class0
     With ``background_as_class0`` a category is painted as it is, so category 0
     vanishes; else as one more than it is.
     """
-    add = 0 if background_as_class0 else 1
+    return _paint(rows, height, width, "k", _categories(0 if background_as_class0 else 1))
+
+
+def _masked(names: list[str], paint: Painter):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 64):
+                part = batch.slice(s, 64)
+                given = (part.column(n).to_pylist() for n in ("points", "category_id", "h", "w"))
+                masks = [_mask_of(*x, paint).ravel() for x in zip(*given, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(masks, pa.list_(pa.int32()))], names=[*names, "mask"])
+
+    return run
 
-    def paint(polygons: list[np.ndarray], kinds: list[int]) -> np.ndarray:
-        out = np.zeros((height, width), np.int32)
-        for kind in sorted(set(kinds)):
-            crossed, on_edge = np.zeros((height, width), np.int32), np.zeros((height, width), bool)
-            for points in [p for p, k in zip(polygons, kinds, strict=True) if k == kind]:
-                r, c, cross, on = polygon_crossings(points, height, width)
-                box = slice(r, r + cross.shape[0]), slice(c, c + cross.shape[1])
-                crossed[box] += cross
-                on_edge[box] |= on
-            out[(crossed % 2 == 1) | on_edge] = max(kind + add, 0)
-        return out
 
-    return _paint(rows, height, width, "k", paint)
+def with_mask(rows: DataFrame, semantic: bool = False, background_as_class0: bool = True) -> DataFrame:
+    """All columns of ``rows`` (with h and w) and ``mask``, flat: instances as in ``instance_mask`` or categories as in ``semantic_mask``."""
+    paint = _categories(0 if background_as_class0 else 1) if semantic else _instances
+    names = [c for c in rows.columns if c != "mask"]
+    rows = rows.select(*[F.col(f"`{c}`") for c in names])
+    return rows.mapInArrow(_masked(names, paint), T.StructType([*rows.schema.fields, T.StructField("mask", T.ArrayType(T.IntegerType()))]))
 
 
 def group_polygons(rows: DataFrame) -> DataFrame:

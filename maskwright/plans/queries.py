@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.labels import AREA_WORDS, CAPTION, CELLS, FAMILIES, LINES, MARKS, NO_CELL, QA, REGIONS, TITLE, VOCABULARIES, label_dim
 from ..operators import captions, dense, maskstats, raster, rows
-from ..sources.tables import HEIGHT, WIDTH, dealt, labels_of, masks, pixels, polygons, table
+from ..sources.tables import HEIGHT, WIDTH, dealt, images, labels_of, masks, pixels, polygons, table
 from . import transforms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,11 +120,10 @@ def a8_six_region_by_value(spark, d):
     return maskstats.six_region(pixels(spark, d), HEIGHT, WIDTH, by_class=False)
 
 
-@query(with_(PX) + "SELECT img, sum(k) AS total, sum(k * (r * 23 + c)) AS moment FROM (SELECT img, r, c, max(k) AS k FROM (SELECT * FROM px UNION ALL SELECT img, r, 22 - c, k FROM px) GROUP BY img, r, c) GROUP BY img")
+@query(with_(PX) + "SELECT img, r, c, max(k) AS k FROM (SELECT * FROM px UNION ALL SELECT img, r, 22 - c, k FROM px) GROUP BY img, r, c")
 def a9_merge_max(spark, d):
     px = pixels(spark, d)
-    merged = maskstats.merge_max(px, px.withColumn("c", WIDTH - 1 - F.col("c")))
-    return merged.groupBy("img").agg(F.sum("k").alias("total"), F.sum(F.col("k") * (F.col("r") * WIDTH + F.col("c"))).alias("moment"))
+    return maskstats.merge_max(px, px.withColumn("c", WIDTH - 1 - F.col("c"))).select("img", "r", "c", "k")
 
 
 POLY = """po AS (
@@ -146,10 +145,10 @@ hit AS (
 )
 
 
-@query(with_(POLY) + "SELECT img, category_id, min(inst) - 1 AS ord, count(*) AS n, sum(x) AS xs FROM po GROUP BY img, category_id")
+@query(with_(POLY) + "SELECT img, category_id, min(inst) - 1 AS ord, string_agg(array_to_string([xs[1], ys[1], xs[2], ys[2], xs[3], ys[3], xs[4], ys[4]], ','), ';' ORDER BY inst) AS polygons FROM pt GROUP BY img, category_id")
 def a10_group_polygons(spark, d):
     out = raster.group_polygons(polygons(spark, d))
-    return out.select("img", "category_id", "ord", F.size("polygons").alias("n"), F.aggregate("polygons", F.lit(0), lambda a, p: a + F.get(p, F.lit(0))).alias("xs"))
+    return out.select("img", "category_id", "ord", F.array_join(F.transform("polygons", lambda p: F.array_join(p.cast("array<string>"), ",")), ";").alias("polygons"))
 
 
 @query("SELECT user_id, round(avg(value), 6) AS mean_loss FROM events GROUP BY user_id")
@@ -219,31 +218,69 @@ def b1_components(spark, d):
 _DISK = ", ".join(str(x) for x in kernels.DISK2)
 
 
-@query(with_(PX) + f", di AS (SELECT DISTINCT img, r + dr AS r, c + dc AS c FROM px JOIN (VALUES {_DISK}) o(dr, dc) ON px.k = 1 WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 22) SELECT img, count(*) AS n, sum(r * 23 + c) AS moment FROM di GROUP BY img")
+@query(with_(PX) + f"SELECT DISTINCT img, r + dr AS r, c + dc AS c FROM px JOIN (VALUES {_DISK}) o(dr, dc) ON px.k = 1 WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 22")
 def b2_dilation(spark, d):
-    out = dense.to_pixels(dense.map_masks(masks(spark, d), lambda s: kernels.dilate(s == 1).astype("int16"))).filter("k > 0")
-    return out.groupBy("img").agg(F.count("*").alias("n"), F.sum(F.col("r") * WIDTH + F.col("c")).alias("moment"))
+    return dense.to_pixels(dense.map_masks(masks(spark, d), lambda s: kernels.dilate(s == 1).astype("int16"))).filter("k > 0").drop("k")
 
 
-@query()
+def _parts(of: str, name: str, reach: int) -> str:
+    """Components of the pixels ``of`` (img, k, r, c), as runs of neighbours in a row that touch those of the next, diagonally too if ``reach`` is 1."""
+    return f"""{name}r AS (SELECT img, k, r, min(c) AS a, max(c) AS b FROM (SELECT *, c - row_number() OVER (PARTITION BY img, k, r ORDER BY c) AS g FROM {of}) GROUP BY img, k, r, g),
+{name}e AS (SELECT x.img, x.k, x.r, x.a, y.r AS r2, y.a AS a2 FROM {name}r x JOIN {name}r y ON x.img = y.img AND x.k = y.k AND abs(x.r - y.r) = 1 AND x.a <= y.b + {reach} AND y.a <= x.b + {reach}),
+{name}s AS (SELECT img, k, r * 23 + a AS s, r, a FROM {name}r x WHERE NOT EXISTS (SELECT 1 FROM {name}e e WHERE e.img = x.img AND e.k = x.k AND e.r = x.r AND e.a = x.a AND e.r2 < x.r)
+  UNION SELECT e.img, e.k, s.s, e.r2, e.a2 FROM {name}s s JOIN {name}e e ON e.img = s.img AND e.k = s.k AND e.r = s.r AND e.a = s.a),
+{name}l AS (SELECT img, k, r, a, b, min(s) AS s FROM {name}s JOIN {name}r USING (img, k, r, a) GROUP BY ALL),
+{name}z AS (SELECT *, sum(b - a + 1) OVER (PARTITION BY img, k, s) AS n FROM {name}l)"""
+
+
+def _clean_sql(source: str, threshold: float, value: str) -> str:
+    """Dilation, filled holes and dropped parts of each class of ``source`` (img, k, r, c); of what is left the greatest ``value``."""
+    return with_(
+        PX,
+        f"so AS ({source})",
+        f"di AS (SELECT DISTINCT img, k, r + dr AS r, c + dc AS c FROM so JOIN (VALUES {_DISK}) o(dr, dc) ON true WHERE r + dr BETWEEN 0 AND 19 AND c + dc BETWEEN 0 AND 22)",
+        "cells AS (SELECT img, k, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM (SELECT DISTINCT img, k FROM so), unnest(range(0, 20)) x(r), unnest(range(0, 23)) y(c))",
+        "ou AS (SELECT * FROM cells ANTI JOIN di USING (img, k, r, c))",
+        _parts("ou", "h", 0),
+        "fi AS (SELECT img, k, r, c FROM di UNION SELECT img, k, r, CAST(unnest(range(a, b + 1)) AS INTEGER) FROM hz WHERE n < 10)",
+        _parts("fi", "g", 1),
+        f"le AS (SELECT img, k, r, CAST(unnest(range(a, b + 1)) AS INTEGER) AS c FROM gz WHERE n >= {threshold} * 460)",
+        recursive=True,
+    ) + f"SELECT img, r, c, max({value}) AS k FROM le GROUP BY img, r, c"
+
+
+_ONE = "SELECT * FROM px WHERE k = 1"
+
+
+def _left(out: DataFrame) -> DataFrame:
+    return dense.to_pixels(out).filter("k > 0")
+
+
+@query(_clean_sql(_ONE, 0.001, "255"))
 def b2_binary_postprocess(spark, d):
-    return dense.map_masks(masks(spark, d), lambda s: kernels.postprocess(s == 1))
+    return _left(dense.map_masks(masks(spark, d), lambda s: kernels.postprocess(s == 1)))
 
 
-@query()
+@query(_clean_sql(_ONE, 0.1, "255"))
+def b2_binary_postprocess_tenth(spark, d):
+    return _left(dense.map_masks(masks(spark, d), lambda s: kernels.postprocess(s == 1, 0.1)))
+
+
+@query(_clean_sql(_ONE, 0.01, "255"))
 def b3_postprocess_one_percent(spark, d):
-    return dense.map_masks(masks(spark, d), lambda s: kernels.postprocess(s == 1, 0.01))
+    return _left(dense.map_masks(masks(spark, d), lambda s: kernels.postprocess(s == 1, 0.01)))
 
 
-@query()
+@query(_clean_sql("SELECT * FROM px WHERE k > 0", 0.001, "k"))
 def b4_postprocess_classes(spark, d):
-    return dense.map_masks(masks(spark, d), kernels.postprocess_classes)
+    return _left(dense.map_masks(masks(spark, d), kernels.postprocess_classes))
 
 
-@query(with_(PX, DIM) + "SELECT p.img, d.label_id, d.label_name, count(*) AS pixels, sum(CASE WHEN px.k = d.label_id THEN 1.0 ELSE 0.0 END) AS ones FROM (SELECT DISTINCT img, k FROM px) p JOIN dim d ON d.label_id = p.k JOIN px ON px.img = p.img GROUP BY ALL")
+@query(with_(PX, DIM) + "SELECT p.img, d.label_id, d.label_name, count(*) AS pixels, string_agg(px.r * 23 + px.c, ',' ORDER BY px.r, px.c) FILTER (WHERE px.k = d.label_id) AS ones FROM (SELECT DISTINCT img, k FROM px) p JOIN dim d ON d.label_id = p.k JOIN px ON px.img = p.img GROUP BY ALL")
 def b5_binary_masks(spark, d):
     out = maskstats.binary_masks(pixels(spark, d), label_dim(spark, "qa"))
-    return out.groupBy("img", "label_id", "label_name").agg(F.count("*").alias("pixels"), F.sum("v").alias("ones"))
+    ones = F.sort_array(F.collect_list(F.when(F.col("v") == 1, F.col("r") * WIDTH + F.col("c")))).cast("array<string>")
+    return out.groupBy("img", "label_id", "label_name").agg(F.count("*").alias("pixels"), F.array_join(ones, ",").alias("ones"))
 
 
 def model_results(spark, d):
@@ -253,9 +290,12 @@ def model_results(spark, d):
     return part("云", 1).unionByName(part("模糊", 7)).unionByName(part("背景", 0))
 
 
-@query()
+_RESULT_ID = f"CASE WHEN k = 1 THEN {LABEL2ID['云']} ELSE {LABEL2ID['模糊']} END"
+
+
+@query(_clean_sql("SELECT * FROM px WHERE k IN (1, 7)", 0.001, _RESULT_ID))
 def b6_semantic_merge(spark, d):
-    return dense.semantic_merge(model_results(spark, d), LABEL2ID)
+    return _left(dense.semantic_merge(model_results(spark, d), LABEL2ID))
 
 
 @query(with_(RASTER) + "SELECT img, r, c, max(inst) AS inst FROM hit WHERE n % 2 = 1 OR onit GROUP BY img, r, c")
@@ -297,25 +337,39 @@ def b11_semantic_polygons(spark, d):
     return dense.semantic_polygons(masks(spark, d))
 
 
-@query(with_(PX) + ", t AS (SELECT p.img, a.r AS tr, b.c AS tc, px.k FROM (SELECT DISTINCT img FROM px) p, unnest(range(0, 31)) a(r), unnest(range(0, 17)) b(c), px WHERE px.img = p.img AND px.r = a.r * 20 // 31 AND px.c = b.c * 23 // 17) SELECT img, sum(k) AS total, sum(k * (tr * 17 + tc)) AS moment FROM t GROUP BY img")
+@query(with_(PX) + "SELECT img, CAST(a.r AS INTEGER) AS r, CAST(b.c AS INTEGER) AS c, k FROM unnest(range(0, 31)) a(r), unnest(range(0, 17)) b(c), px WHERE px.r = a.r * 20 // 31 AND px.c = b.c * 23 // 17")
 def b12_resize_nearest(spark, d):
-    out = dense.to_pixels(dense.resize_nearest(masks(spark, d), 31, 17))
-    return out.groupBy("img").agg(F.sum("k").alias("total"), F.sum(F.col("k") * (F.col("r") * 17 + F.col("c"))).alias("moment"))
+    return dense.to_pixels(dense.resize_nearest(masks(spark, d), 31, 17))
 
 
-@query()
+#: For each row and column of 31 x 17 the two source pixels and the weight of the second, from 20 x 23.
+BETWEEN = """ys AS (SELECT CAST(r AS INTEGER) AS tr, CAST(floor(y) AS INTEGER) AS y0, CAST(least(floor(y) + 1, 19) AS INTEGER) AS y1, y - floor(y) AS fy FROM (SELECT r, greatest(0, least(19, (r + 0.5::DOUBLE) * 20 / 31 - 0.5::DOUBLE)) AS y FROM unnest(range(0, 31)) a(r))),
+xs AS (SELECT CAST(c AS INTEGER) AS tc, CAST(floor(x) AS INTEGER) AS x0, CAST(least(floor(x) + 1, 22) AS INTEGER) AS x1, x - floor(x) AS fx FROM (SELECT c, greatest(0, least(22, (c + 0.5::DOUBLE) * 23 / 17 - 0.5::DOUBLE)) AS x FROM unnest(range(0, 17)) b(c)))"""
+
+
+def _blend(value: Callable[[str, str], str]) -> str:
+    """Bilinear value from SQL for a source pixel's value at (row, column)."""
+    return f"(({value('y0', 'x0')}) * (1 - fx) + ({value('y0', 'x1')}) * fx) * (1 - fy) + (({value('y1', 'x0')}) * (1 - fx) + ({value('y1', 'x1')}) * fx) * fy"
+
+
+def _class_at(r: str, c: str) -> str:
+    v = f"((({r}) // 4) * 3 + (({c}) // 5) * 5 + p_partkey * 7 + p_size) % 17"
+    return f"CASE WHEN {v} < 11 THEN {v} ELSE 0 END"
+
+
+@query(with_(BETWEEN) + f"SELECT p_partkey AS img, tr AS r, tc AS c, round({_blend(_class_at)}, 6) AS v FROM part, ys, xs")
 def b12_resize_bilinear(spark, d):
-    return dense.resize_bilinear(masks(spark, d), 31, 17)
+    at = dense.resize_bilinear(masks(spark, d), 31, 17).select("img", "w", F.posexplode("mask").alias("i", "v"))
+    return at.select("img", F.expr("CAST(i DIV w AS INT)").alias("r"), (F.col("i") % F.col("w")).alias("c"), F.round("v", 6).alias("v"))
 
 
 _COIN = "CAST('0x' || substr(md5(concat_ws('|', img, '{}')), 1, 8) AS BIGINT) < 2147483648"
 FLIPPED = f"fl AS (SELECT img, CASE WHEN {_COIN.format('v')} THEN 19 - r ELSE r END AS r, CASE WHEN {_COIN.format('h')} THEN 22 - c ELSE c END AS c, k FROM px)"
 
 
-@query(with_(PX, FLIPPED) + "SELECT img, sum(k * (r * 23 + c)) AS moment FROM fl GROUP BY img")
+@query(with_(PX, FLIPPED) + "SELECT img, r, c, k FROM fl")
 def b13_flips(spark, d):
-    out = transforms.segmentation(pixels(spark, d), HEIGHT, WIDTH, aug=True)
-    return out.groupBy("img").agg(F.sum(F.col("k") * (F.col("r") * WIDTH + F.col("c"))).alias("moment"))
+    return transforms.segmentation(pixels(spark, d), HEIGHT, WIDTH, aug=True).drop("target_size")
 
 
 @query()
@@ -489,9 +543,9 @@ def j6_segments_map(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(rows.segments_to_map(infos)).alias("id", "label_id"))
 
 
-@query(with_(PX) + "SELECT img, count(*) AS n, sum(k) AS total FROM px WHERE k <> 0 GROUP BY img")
+@query(with_(PX) + "SELECT img, r, c, k FROM px WHERE k <> 0")
 def p1_drop_background(spark, d):
-    return maskstats.drop_background(pixels(spark, d)).groupBy("img").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
+    return maskstats.drop_background(pixels(spark, d)).select("img", "r", "c", "k")
 
 
 @query(with_(POLY) + "SELECT img, string_agg(CAST(category_id AS VARCHAR), ',' ORDER BY inst) AS kept, sum(x) AS xs FROM po WHERE category_id IN (1, 3) GROUP BY img")
@@ -579,16 +633,100 @@ def t3_first_arg_max(spark, d):
     return table(spark, d, "embeddings").select("vec_id", maskstats.first_max(F.col("embedding")).alias("at"))
 
 
-@query(with_(PX, FLIPPED) + "SELECT img, CASE WHEN k >= 7 THEN 0 ELSE k END AS k, count(*) AS n, sum(r * 23 + c) AS moment, 20 AS h, 23 AS w FROM fl GROUP BY ALL")
+@query(with_(PX, FLIPPED) + "SELECT img, r, c, CASE WHEN k >= 7 THEN 0 ELSE k END AS k, 20 AS h, 23 AS w FROM fl")
 def u1_segmentation_transform(spark, d):
     out = transforms.segmentation(pixels(spark, d), HEIGHT, WIDTH, 7, aug=True)
-    return out.groupBy("img", "k", F.col("target_size.h").alias("h"), F.col("target_size.w").alias("w")).agg(F.count("*").alias("n"), F.sum(F.col("r") * WIDTH + F.col("c")).alias("moment"))
+    return out.select("img", "r", "c", "k", F.col("target_size.h").alias("h"), F.col("target_size.w").alias("w"))
 
 
-@query(with_(PX, DIM, AREA, FLIPPED, f"ca AS ({_caption_sql('en')})") + "SELECT fl.img, caption, sum(k * (r * 23 + c)) AS moment FROM fl JOIN ca ON ca.img = fl.img GROUP BY fl.img, caption")
+@query(with_(PX, DIM, AREA, FLIPPED, f"ca AS ({_caption_sql('en')})") + "SELECT fl.img, caption, string_agg(k, ',' ORDER BY r, c) AS mask FROM fl JOIN ca ON ca.img = fl.img GROUP BY fl.img, caption")
 def u2_image_to_text_transform(spark, d):
     out = transforms.image_to_text(pixels(spark, d), _captions(spark, d, "en"), HEIGHT, WIDTH, aug=True)
-    return out.groupBy("img", "caption").agg(F.sum(F.col("k") * (F.col("r") * WIDTH + F.col("c"))).alias("moment"))
+    return out.groupBy("img", "caption").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", F.col("k").cast("string").alias("k")))), lambda x: x["k"]), ",").alias("mask"))
+
+
+SIZE = (31, 17)
+
+
+def _byte_at(r: str, c: str) -> str:
+    return f"(({r}) * 7 + ({c}) * 5 + ch * 31 + p_size * 3 + p_partkey * 11) % 256"
+
+
+def _coin_sql(name: str) -> str:
+    return _COIN.format(name).replace("img", "p_partkey")
+
+
+#: Images brought to 31 x 17 and mirrored, as md5 of their bytes in hex: channels first, last, and last with blue first.
+SHOWN = f"""{BETWEEN},
+sh AS (SELECT p_partkey AS img, ch, CASE WHEN {_coin_sql("v")} THEN 30 - tr ELSE tr END AS r, CASE WHEN {_coin_sql("h")} THEN 16 - tc ELSE tc END AS c,
+         printf('%02X', CAST(floor({_blend(_byte_at)} + 0.500001::DOUBLE) AS BIGINT)) AS v FROM part, ys, xs, unnest(range(0, 3)) e(ch)),
+im AS (SELECT img, md5(string_agg(v, '' ORDER BY ch, r, c)) AS first, md5(string_agg(v, '' ORDER BY r, c, ch)) AS last, md5(string_agg(v, '' ORDER BY r, c, -ch)) AS blue FROM sh GROUP BY img)"""
+
+
+def _moved_sql(source: str) -> str:
+    """Masks of the relation ``source`` (img, r, c, k) brought to 31 x 17 by the nearest pixel and mirrored, as lists in a string."""
+    return f"""mo AS (SELECT p_partkey AS img, CASE WHEN {_coin_sql("v")} THEN 30 - tr ELSE tr END AS r, CASE WHEN {_coin_sql("h")} THEN 16 - tc ELSE tc END AS c, coalesce(k, 0) AS k
+  FROM part CROSS JOIN ys CROSS JOIN xs LEFT JOIN {source} s ON s.img = p_partkey AND s.r = tr * 20 // 31 AND s.c = tc * 23 // 17),
+ma AS (SELECT img, string_agg(k, ',' ORDER BY r, c) AS mask FROM mo GROUP BY img)"""
+
+
+def _md5():
+    return F.md5(F.hex("image")).alias("image")
+
+
+def _listed(name: str):
+    return F.array_join(F.col(name).cast("array<string>"), ",").alias(name)
+
+
+@query(with_(PX, SHOWN, "cl AS (SELECT img, r, c, CASE WHEN k >= 7 THEN 0 ELSE k END AS k FROM px)", _moved_sql("cl")) + "SELECT img, first AS image, mask, '31,17' AS target_size FROM im JOIN ma USING (img)")
+def u1_segmentation_images(spark, d):
+    both = images(spark, d).join(masks(spark, d).select("img", "mask"), "img")
+    return transforms.segmentation_images(both, 7, True, SIZE).select("img", _md5(), _listed("mask"), _listed("target_size"))
+
+
+@query(with_(SHOWN) + "SELECT img, last AS image, 'part ' || img AS caption FROM im")
+def u2_image_to_text_images(spark, d):
+    captioned = images(spark, d).withColumn("caption", F.concat(F.lit("part "), F.col("img").cast("string")))
+    return transforms.image_to_text_images(captioned, True, SIZE).select("img", _md5(), "caption")
+
+
+@query(with_(SHOWN) + "SELECT img, first AS image, array_to_string(list_transform(range(1, 5), lambda i: CASE WHEN i = img % 5 THEN 1 ELSE 0 END), '') AS hot FROM im")
+def u3_multi_label_images(spark, d):
+    labelled = images(spark, d).withColumn("labels", F.array((F.col("img") % 5).cast("int")))
+    return transforms.multi_label_images(labelled, 4, True, size=SIZE).select("img", _md5(), F.array_join(F.col("labels").cast("array<string>"), "").alias("hot"))
+
+
+@query(
+    with_(SHOWN, "bo AS (SELECT *, x * 17 / 23::DOUBLE AS x1, y * 31 / 20::DOUBLE AS y1, w * 17 / 23::DOUBLE AS w1, h * 31 / 20::DOUBLE AS h1 FROM (SELECT p_partkey, p_partkey % 9 AS x, p_size % 8 AS y, 3 + p_size % 7 AS w, 2 + p_partkey % 6 AS h FROM part))")
+    + f"SELECT img AS image_id, blue AS image, 1 + img % 4 AS category_id, w * h AS area, round(CASE WHEN {_coin_sql('h')} THEN 17 - x1 - w1 ELSE x1 END, 6) AS x, round(CASE WHEN {_coin_sql('v')} THEN 31 - y1 - h1 ELSE y1 END, 6) AS y, round(w1, 6) AS w, round(h1, 6) AS h FROM im JOIN bo ON p_partkey = img"
+)
+def u4_detection_images(spark, d):
+    x, y, w, h = F.col("img") % 9, F.col("p_size") % 8, 3 + F.col("p_size") % 7, 2 + F.col("img") % 6
+    sized = images(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("img"), "p_size"), "img")
+    boxed = sized.select(F.col("img").alias("image_id"), "h", "w", "image", F.array(1 + F.col("img") % 4).alias("category_id"), F.array(w * h).alias("area"), F.array(F.array(x, y, w, h).cast("array<double>")).alias("bbox"))
+    out = transforms.detection_images(boxed, True, SIZE, noise=0.0).select("image_id", _md5(), F.explode("annotations").alias("a"))
+    return out.select("image_id", "image", "a.category_id", "a.area", *[F.round(F.get("a.bbox", F.lit(i)), 6).alias(n) for i, n in enumerate("xywh")])
+
+
+@query(
+    with_(RASTER, SHOWN, "cv AS (SELECT img, r, c, max(inst) AS k FROM hit WHERE n % 2 = 1 OR onit GROUP BY img, r, c)", _moved_sql("cv"), "ic AS (SELECT img, '0,' || string_agg(category_id + 1, ',' ORDER BY inst) AS classes FROM po GROUP BY img)")
+    + "SELECT img, first AS image, mask, classes FROM im JOIN ma USING (img) JOIN ic USING (img)"
+)
+def u5_panoptic_images(spark, d):
+    both = images(spark, d).join(polygons(spark, d), "img")
+    out = transforms.panoptic_images(both, True, SIZE, noise=0.0)
+    classes = F.array_join(F.transform(F.sequence(F.lit(0), F.size("instance_id_to_semantic_id") - 1), lambda i: F.element_at("instance_id_to_semantic_id", i).cast("string")), ",")
+    return out.select("img", _md5(), _listed("mask"), classes.alias("classes"))
+
+
+@query(
+    with_(RASTER, SHOWN, f"cv AS ({_SEMANTIC.format('category_id IN (1, 3)')})", _moved_sql("cv"), "ic AS (SELECT img, count(DISTINCT category_id) AS classes FROM po WHERE category_id IN (1, 3) GROUP BY img)")
+    + "SELECT img, first AS image, mask, classes FROM im JOIN ma USING (img) JOIN ic USING (img)"
+)
+def u6_semantic_images(spark, d):
+    both = images(spark, d).join(polygons(spark, d), "img")
+    out = transforms.semantic_images(both, True, [1, 3], SIZE, noise=0.0)
+    return out.select("img", _md5(), _listed("mask"), F.size("instance_id_to_semantic_id").cast("long").alias("classes"))
 
 
 @query(with_(RASTER) + "SELECT h.img, h.inst, category_id + 1 AS class, count(*) AS n FROM (SELECT img, r, c, max(inst) AS inst FROM hit WHERE n % 2 = 1 OR onit GROUP BY img, r, c) h JOIN po ON po.img = h.img AND po.inst = h.inst GROUP BY ALL")

@@ -37,6 +37,16 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("img"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"), mask.alias("mask"))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img, h, w, image: 20 x 23 pixels of three channels for each part, as bytes."""
+    def value(i):
+        r, c = F.floor(i / F.lit(WIDTH * 3)), F.floor(i / F.lit(3)) % WIDTH
+        return (r * 7 + c * 5 + i % 3 * 31 + F.col("p_size") * 3 + F.col("p_partkey") * 11) % 256
+
+    bytes_ = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH * 3 - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("img"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"), bytes_.alias("image"))
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, points (flat x, y lists), category_id: three quadrilaterals for each part."""
     key, size = F.col("p_partkey").cast("int"), F.col("p_size").cast("int")
