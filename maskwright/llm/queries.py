@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, near_duplicates, packing, quotations, sharding, substrings, token_counts, topk
+from . import decontaminate, html_text, langid, near_duplicates, packing, quotations, repair, sharding, substrings, token_counts, topk
 from .common import table
 
 
@@ -51,8 +51,12 @@ def op10_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_audit(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op4_bm25_decontamination, op5_trie_token_counts, op6_text_density, op7_quotation_linking, op8_pivot_topk, op9_weighted_minhash, op10_hash_tree_sharding)}
+    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op4_bm25_decontamination, op5_trie_token_counts, op6_text_density, op7_quotation_linking, op8_pivot_topk, op9_weighted_minhash, op10_hash_tree_sharding, op11_structure_repair)}
 
 
 TOPK_SQL = """
@@ -73,5 +77,73 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, by bits."""
+    eight = "list_reduce([xor(crc, byte)] || list_transform(range(8), lambda i: CAST(i AS BIGINT)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte: {eight}), 4294967295)"
+
+
+def _repair_step() -> tuple[str, str, str]:
+    """The options of each state (nothing, system, user, assistant) before a row, and the same with an insert before it."""
+    fits, role = (2, 2, 3, 2), {2: "user", 3: "assistant"}
+    kept = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+    turn = lambda n, cost, edit, name, text: f"{{'c': n{n}.c + {cost}, 'a': '{edit}' || n{n}.a, 'r': list_prepend({name} || ':' || {text}, n{n}.r)}}"
+    options = []
+    for x in range(4):
+        keep = "CASE " + " ".join(f"WHEN ok AND left(role, 1) = '{i}' THEN {turn(to, 'more', 'K', 'role', 'text')}" for i, to in kept[x].items()) + " END"
+        rerole = f"CASE WHEN ok THEN {turn(fits[x], '3 + more', 'R', quoted(role[fits[x]]), 'text')} END"
+        options.append(f"list_sort(list_filter([{{'c': n{x}.c + 4, 'a': 'D' || n{x}.a, 'r': n{x}.r}}, {keep}, {rerole}], lambda o: o IS NOT NULL))[1] AS b{x}")
+    put = lambda to: f"{{'c': {to}.c + 3, 'a': 'I' || {to}.a, 'r': list_prepend('{'user' if to[1] == '2' else 'assistant'}:', {to}.r)}}"
+    least = lambda a, b: f"list_sort([{a}, {put(b)}])[1]"
+    return ", ".join(options), f"{least('b0', 'v2')} AS n0, {least('b1', 'v2')} AS n1, v2 AS n2, {least('b3', 'b2')} AS n3", f"{least('b2', 'b3')} AS v2"
+
+
+def quoted(x: str) -> str:
+    return f"'{x}'"
+
+
+_OPTIONS, _CLOSED, _USER = _repair_step()
+REPAIR_SQL = f"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS hit
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM m WHERE hit <> 0
+), o AS (
+  SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id) AS total,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS t,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen
+  FROM d
+), f AS (
+  SELECT *, fault NOT IN ('blank', 'duplicate') AS ok, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY t) || left(role, 1) AS pair
+  FROM (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                       WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o)
+), g AS (
+  SELECT conv_id, total AS t, {{'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])}} AS n0, {{'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']}} AS n1,
+         {{'c': 3, 'a': 'I', 'r': ['assistant:']}} AS n2, {{'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])}} AS n3
+  FROM (SELECT DISTINCT conv_id, total FROM f)
+  UNION ALL
+  SELECT conv_id, t - 1 AS t, {_CLOSED}
+  FROM (SELECT *, {_USER} FROM (SELECT g.conv_id AS conv_id, g.t AS t, {_OPTIONS} FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id AND g.t = f.t))
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+), r AS (
+  SELECT c.*, g.n0.c AS cost, g.n0.a AS audit, sha256(array_to_string(g.n0.r, chr(10))) AS repaired_sha256
+  FROM c JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id AND g.t = 0
+)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN r ON k.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_pivot_topk": TOPK_SQL}
+    return {"op8_pivot_topk": TOPK_SQL, "op11_structure_repair": REPAIR_SQL}
