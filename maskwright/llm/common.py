@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Rows of text that a Python worker holds as Python strings at once.
 TEXT_SLICE = 256
+#: Bytes of a long text that are cut into words at once.
+TEXT_PART = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,6 +89,18 @@ def bucketed(df: DataFrame, buckets: int, name: str) -> DataFrame:
     return stored(df.withColumn("_bucket", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")), name)
 
 
+def text_parts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about a megabyte, cut at white space, so that few of its words are Python objects at once."""
+    start = 0
+    while len(text) - start > TEXT_PART:
+        gap = _GAP.search(text, start + TEXT_PART)
+        if not gap:
+            break
+        yield text[start : gap.end()]
+        start = gap.end()
+    yield text[start:]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXT_SLICE) -> Iterator[pa.RecordBatch]:
     """Small pieces of each batch, so that few long texts are Python strings at the same time."""
     for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, langid, near_duplicates, packing, quotations, repair, sharding, substrings, token_counts, topk
+from . import collocations, decontaminate, html_text, langid, near_duplicates, packing, quotations, repair, sharding, substrings, token_counts, topk
 from .common import table
 
 
@@ -55,8 +55,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_audit(table(spark, sf_dir, "conversations"))
 
 
+def op12_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op4_bm25_decontamination, op5_trie_token_counts, op6_text_density, op7_quotation_linking, op8_pivot_topk, op9_weighted_minhash, op10_hash_tree_sharding, op11_structure_repair)}
+    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op4_bm25_decontamination, op5_trie_token_counts, op6_text_density, op7_quotation_linking, op8_pivot_topk, op9_weighted_minhash, op10_hash_tree_sharding, op11_structure_repair, op12_phrase_tries)}
 
 
 TOPK_SQL = """
@@ -145,5 +149,36 @@ FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN r ON k.conv_id IS
 """
 
 
+COLLOCATION_SQL = r"""
+WITH p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS words
+  FROM p, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, words, count(*) AS f FROM g GROUP BY lang, k, words HAVING count(*) >= 10
+), c AS (SELECT lang, k, words, f AS a FROM f WHERE k > 1
+), cuts AS (SELECT lang, words, a, unnest(range(1, k)) AS cut FROM c
+), s AS (
+  SELECT u.lang, u.words, a, cut, x.f AS l, y.f AS r, (1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.words = u.words[1 : cut] JOIN f y ON y.lang = u.lang AND y.words = u.words[cut + 1 :]
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([words[1:2], words[2:3]]) AS part FROM c WHERE k = 3) GROUP BY lang, part
+), ranked AS (
+  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, a, l, r, score
+  FROM b LEFT JOIN longer ON longer.lang = b.lang AND longer.part = b.words
+  WHERE len(b.words) = 3 OR most IS NULL OR 100 * most < 50 * a
+), top AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked
+), total AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang)
+SELECT top.lang AS lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM top JOIN total ON total.lang = top.lang WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_pivot_topk": TOPK_SQL, "op11_structure_repair": REPAIR_SQL}
+    return {"op8_pivot_topk": TOPK_SQL, "op11_structure_repair": REPAIR_SQL, "op12_phrase_tries": COLLOCATION_SQL}
