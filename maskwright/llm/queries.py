@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, html_text, langid, near_duplicates, packing, quotations, repair, sharding, substrings, token_counts, topk
+from . import collocations, decontaminate, html_text, langid, near_duplicates, packing, quotations, repair, scoring, sharding, substrings, token_counts, topk
 from .common import table
 
 
@@ -59,8 +59,12 @@ def op12_phrase_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op4_bm25_decontamination, op5_trie_token_counts, op6_text_density, op7_quotation_linking, op8_pivot_topk, op9_weighted_minhash, op10_hash_tree_sharding, op11_structure_repair, op12_phrase_tries)}
+    return {f.__name__: f for f in (op1_sentence_span_dedup, op2_ecoc_language_id, op3_min_slack_packing, op4_bm25_decontamination, op5_trie_token_counts, op6_text_density, op7_quotation_linking, op8_pivot_topk, op9_weighted_minhash, op10_hash_tree_sharding, op11_structure_repair, op12_phrase_tries, op13_backoff_automaton)}
 
 
 TOPK_SQL = """
