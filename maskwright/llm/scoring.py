@@ -36,7 +36,7 @@ from .collocations import merged
 from .common import as_text, slices, stored, text_parts
 
 ORDER = 2
-MU = 50.0
+MU = 200.0
 ADD = 0.1
 #: Tokens of a block, and of a segment.
 BLOCK, SEGMENT = 2_000_000, 1024
