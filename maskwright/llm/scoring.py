@@ -33,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .collocations import merged
-from .common import as_text, slices, stored, text_parts
+from .common import as_text, discard_folder, slices, stored, text_parts
 
 ORDER = 2
 MU = 200.0
 ADD = 0.1
 #: Tokens of a block, and of a segment.
-BLOCK, SEGMENT = 2_000_000, 1024
+BLOCK, SEGMENT = 1_200_000, 1024
 #: Bytes of text for each shard of n-grams, and the fewest shards.
-SHARD_BYTES, SHARDS = 32 << 20, 8
+SHARD_BYTES, SHARDS = 12 << 20, 8
 #: What stands before and after a text; neither can be a word.
 BEGIN, FINISH = b" ", b"\n"
 
@@ -90,8 +90,8 @@ class NGrams:
 
     def requests(self, words: list[bytes], shards: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(order, shard, places of its n-grams, their hashes), in the order of the hashes."""
-        both = np.array([(d & 0xFFFFFFFFFFFFFFFF, d >> 64) for d in map(xxhash.xxh3_128_intdigest, words)], np.uint64).reshape(-1, 2)
-        word = (both[:, 0], both[:, 1])
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+        word = (both[:, 0].copy(), both[:, 1].copy())
         name = word
         for n, keys in enumerate(self.keys):
             if n:
@@ -309,12 +309,13 @@ def scored(documents: DataFrame, order: int = ORDER, mu: float = MU) -> DataFram
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, size // SHARD_BYTES)
     shape = f"block long, level int, shard int, data binary, counts binary, docs array<{kind}>, trains array<boolean>, rows array<long>, sizes array<int>, starts array<int>, texts array<int>"
-    blocks = stored(rows.mapInArrow(_read(order, shards), shape), "blocks")
-    asked = blocks.filter("level >= 0").select("block", "level", "shard", "data", "counts")
+    blocks = stored(rows.mapInArrow(_read(order, shards), shape).withColumn("request", F.col("level") >= 0), "blocks", "request")
+    asked = blocks.filter("request").select("block", "level", "shard", "data", "counts")
     answers = stored(asked.groupBy("shard").applyInArrow(_answer, "block long, level int, shard int, totals binary, n long, v long"), "answers")
     whole = answers.filter("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = whole["n"] or 0, whole["v"] or 0
-    texts = blocks.filter("level = -1").select("block", "data", "counts", "docs", "trains", "rows", "sizes", "starts", "texts")
+    discard_folder(documents.sparkSession, f"{blocks.stored_at}/request=true")  # has been answered
+    texts = blocks.filter("NOT request").select("block", "data", "counts", "docs", "trains", "rows", "sizes", "starts", "texts")
     told = answers.filter("block >= 0").select("block", "level", "shard", "totals")
     parts = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, shards, n, v, mu), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     # a very long text has a part in each of its blocks
