@@ -31,7 +31,7 @@ DEPTH, LEAST, TOP = 3, 10, 2000
 #: A phrase goes where a longer one that holds it has at least so many hundredths of its count.
 INSIDE = 50
 #: Words of a block.
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 #: Bytes of text for each range, ranges at most (more text: each is dealt out by a hash), and documents sampled for their borders.
 RANGE_BYTES, RANGES, SAMPLE = 8 << 20, 4096, 4096
 #: Words sampled of a document.
