@@ -5,8 +5,10 @@ level that follow each other make a passage; a blank line ends it. What a messag
 of its own makes passages in the same way. Passages are cut into sentences too, all are
 normalised (letters and digits, lower case) and hashed: so a quote is found however a
 mail program has wrapped it, and also where it quotes one sentence out of a paragraph.
-The first message of a conversation that has a passage or sentence of its own is its
-original; so a quote meets one original at most, however often a text recurs. A message
+The beginning of a longer sentence is hashed besides, so that a quote that breaks off
+after eight words or more is found. The original is the last earlier message that has
+the passage or sentence of its own; so a quote meets one original at most, however often
+a text recurs. A message
 replies to the original that most characters of its quotes at the outermost matched
 level come from (ties: the latest), which is an earlier message. Threads are found by
 doubling the reach of the reply links, and conversations come thread by thread, each
@@ -16,21 +18,26 @@ reply after what it answers, with quotes and the "... wrote:" lines above them r
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored
 
 # fixed values: how mail programs begin the line above a quotation, by language
 WROTE = r"(?i)^.{0,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$"
+# fixed values: how such a line begins where it has been folded in two
+FOLDED = r"(?i)^\s*(on|am|le|el)\b.{1,200}$"
+#: Words of a sentence's beginning that link a quote cut off in its middle.
+PREFIX = 8
 
 
 def _level(line: Column) -> Column:
-    marks = F.regexp_extract(line, r"^\s*((?:>\s?)*)", 1)
+    marks = F.regexp_extract(line, r"^\s*((?:>\s?)*+)", 1)
     return F.when(F.contains(line, F.lit(">")), F.length(F.regexp_replace(marks, r"[^>]", ""))).otherwise(0)
 
 
 def _bare(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s*(?:>\s?)*", "")
+    return F.regexp_replace(line, r"^\s*(?:>\s?)*+", "")
 
 
 def normalised(text: Column) -> Column:
@@ -55,7 +62,10 @@ def parsed(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("raw"))
     split = F.split(F.regexp_replace("raw", "\r\n?", "\n"), "\n", -1)
     lines = F.transform(split, lambda x: F.struct(_level(x).alias("level"), _bare(x).alias("text")))
-    wrote = lambda x, i: (x["level"] == 0) & F.coalesce(F.get(F.col("lines"), i + 1)["level"] > 0, F.lit(False)) & x["text"].rlike(WROTE)
+    line = lambda i: F.get(F.col("lines"), i)
+    quote_at = lambda i: (line(i)["level"] > 0) | ((line(i)["level"] == 0) & (F.trim(line(i)["text"]) == "") & (line(i + 1)["level"] > 0))  # noqa: E731  a blank line may stand before it
+    ends = lambda i: (line(i)["level"] == 0) & quote_at(i + 1) & line(i)["text"].rlike(WROTE)
+    wrote = lambda x, i: F.coalesce((x["level"] == 0) & (ends(i) | (ends(i + 1) & x["text"].rlike(FOLDED))), F.lit(False))
     own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~wrote(x, i))
     said = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), F.when(wrote(x, i), F.lit("")).otherwise(F.translate(x["text"], "\u0001\u0002", "  ")).alias("text")))
     text = F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda x: x["text"]), "\n"), r"\n{3,}", "\n\n"), F.lit(" \n\t"))
@@ -67,11 +77,14 @@ def reply_links(rows: DataFrame) -> DataFrame:
     # of a plain explode, a filter on the passages would be inferred and run before the join that thins the messages out
     each = rows.select("conv_id", "turn", F.explode_outer("passages").alias("p")).select("conv_id", "turn", "p.level", F.split("p.text", r"(?<=[.!?。！？])\s*(?=\S)").alias("parts"), "p.text")
     each = each.select("conv_id", "turn", "level", F.explode_outer(F.array_union(F.array("text"), "parts")).alias("text")).select("conv_id", "turn", "level", normalised(F.col("text")).alias("norm"))
-    each = stored(each.filter("norm <> ''").select("conv_id", "turn", "level", F.xxhash64("norm").alias("hash"), F.length("norm").alias("size")), "passages")
+    each = each.select("conv_id", "turn", "level", F.explode(F.array_distinct(F.array("norm", F.substring_index("norm", " ", PREFIX)))).alias("norm"))
+    each = stored(each.filter("norm <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "level", F.xxhash64("norm").alias("hash"), F.length("norm").alias("size")), "passages")
+    key = ["conv_id", "hash", "size"]
     quoted = stored(each.filter("level > 0").distinct(), "quoted")
-    wanted = quoted.select("conv_id", "hash", "size").distinct()
-    original = each.filter("level = 0").groupBy("conv_id", "hash", "size").agg(F.min("turn").alias("parent")).join(wanted, ["conv_id", "hash", "size"], "left_semi")
-    met = quoted.join(stored(original, "original"), ["conv_id", "hash", "size"]).filter("parent < turn")
+    holders = each.filter("level = 0").distinct().join(quoted.select(*key).distinct(), key, "left_semi")
+    # of all that have said it before the quoting message, the last
+    before = W.partitionBy(*key).orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    met = quoted.unionByName(holders).withColumn("parent", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before)).filter("level > 0 AND parent IS NOT NULL")
     votes = met.groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("quotes"), F.sum("size").alias("size"))
     best = F.max(F.struct((-F.col("level")).alias("near"), F.col("size").alias("size"), F.col("parent").alias("parent"), F.col("quotes").alias("quotes"))).alias("best")
     return votes.groupBy("conv_id", "turn").agg(best).select("conv_id", "turn", "best.parent", (-F.col("best.near")).alias("level"), "best.quotes", "best.size")
@@ -101,7 +114,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     count whole, an empty table gives no rows, further columns play no part.
     """
     rows = parsed(messages)
-    quoting = messages.filter(F.col("text").cast("string").rlike(r"(?m)^\s*>")).select("conv_id").distinct()  # elsewhere there is nothing to link
+    quoting = messages.filter(F.col("text").cast("string").rlike(r"(?m)^[ \t\x0B\f]*+>")).select("conv_id").distinct()  # elsewhere there is nothing to link
     linked = threads(reply_links(parsed(messages.join(quoting, "conv_id", "left_semi"))))
     shape = rows.select("conv_id", "turn", "role", "text", F.size(F.filter("lines", lambda x: x["level"] > 0)).alias("quoted_lines"))
     out = shape.join(linked, ["conv_id", "turn"], "left")
