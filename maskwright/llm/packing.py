@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_text, bucketed, buckets_for, slices
+from .common import as_text, bucketed, buckets_for, slices, stored
 
 CAPACITY = 2048
 END = 1
@@ -210,14 +210,14 @@ def _measure(path: str, capacity: int):
         tok, end, step = tokenizer(path), np.array([END], "<u4").tobytes(), capacity * 4
         for batch in slices(batches):
             tokens, full, rest, crc = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 ids = tok.ids(text) + end
                 whole = len(ids) // step
                 tokens.append(len(ids) // 4)
                 full.append([zlib.crc32(ids[i * step : (i + 1) * step]) for i in range(whole)])
                 rest.append(len(ids) // 4 - whole * capacity)
                 crc.append(zlib.crc32(ids[whole * step :]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64())], names=["doc_id", "doc_tokens", "full_crc", "rest", "rest_crc"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64())], names=["doc_id", "key", "doc_tokens", "full_crc", "rest", "rest_crc"])
 
     return run
 
@@ -264,8 +264,8 @@ def _crosses(plan: Plan):
             late = np.flatnonzero((rest > 0) & (rank >= starts[rest]))
             window, offset = place(plan, rest[late], rank[late])
             cut = offset + rest[late] > plan.capacity
-            part = batch.select(["doc_id", "doc_tokens", "rest", "rest_crc"]).take(pa.array(late[cut]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(window[cut]), pa.array(offset[cut])], names=["doc_id", "doc_tokens", "rest", "rest_crc", "window", "offset"])
+            part = batch.select(["doc_id", "key", "doc_tokens", "rest"]).take(pa.array(late[cut]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(window[cut]), pa.array(offset[cut])], names=["doc_id", "key", "doc_tokens", "rest", "window", "offset"])
 
     return run
 
@@ -275,18 +275,17 @@ def _cut(path: str, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer(path), np.array([END], "<u4").tobytes()
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        names, last, ids = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], None, b""
         for batch in slices(batches):
             rows = []
             for r in batch.to_pylist():
-                ids, start = tok.ids(r["text"]) + end, r["doc_tokens"] - r["rest"]
-                if len(ids) // 4 != r["doc_tokens"] or zlib.crc32(ids[start * 4 :]) != r["rest_crc"]:
-                    continue  # another document of the same id
-                first = capacity - r["offset"]
-                rows.append((r["row"], r["doc_id"], start, first, zlib.crc32(ids[start * 4 : (start + first) * 4]), r["doc_tokens"], r["window"], r["offset"]))
-                rows.append((r["row"], r["doc_id"], start + first, r["rest"] - first, zlib.crc32(ids[(start + first) * 4 :]), r["doc_tokens"], r["window"] + 1, 0))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field("doc_id").type), *[pa.array(c, pa.int64()) for c in columns[2:]]], names=["row", *names])
+                if r["key"] != last:
+                    ids, last = tok.ids(r["text"]) + end, r["key"]
+                start, first = r["doc_tokens"] - r["rest"], capacity - r["offset"]
+                rows.append((r["doc_id"], start, first, zlib.crc32(ids[start * 4 : (start + first) * 4]), r["doc_tokens"], r["window"], r["offset"]))
+                rows.append((r["doc_id"], start + first, r["rest"] - first, zlib.crc32(ids[(start + first) * 4 :]), r["doc_tokens"], r["window"] + 1, 0))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("doc_id").type), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=names)
 
     return run
 
@@ -297,11 +296,12 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     Null text counts as empty: the document is its end id alone. Repeated rows are
     packed each for itself. An empty table gives no pieces. A very long text fills
     windows of its own, and its remainder is packed; remainders of equal length go by
-    (doc_id, tokens, checksum). Columns but doc_id and text play no part.
+    (doc_id, tokens, checksum). Columns but doc_id and text play no part. What lies across a
+    border is found again by the MD5 of its text, so ids that repeat or are null cost no more.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", as_text().alias("text"))
-    measured = rows.mapInArrow(_measure(path, capacity), f"doc_id {kind}, doc_tokens long, full_crc array<long>, rest int, rest_crc long")
+    rows = documents.select("doc_id", F.unhex(F.md5(as_text().cast("binary"))).alias("key"), as_text().alias("text"))
+    measured = rows.mapInArrow(_measure(path, capacity), f"doc_id {kind}, key binary, doc_tokens long, full_crc array<long>, rest int, rest_crc long")
     dealt = bucketed(measured, buckets_for(documents.count()), "packing").withColumn("full", F.size("full_crc"))
     groups = dealt.groupBy("rest", "_bucket").agg(F.count("*").alias("n"), F.sum("full").alias("f"))
     before = W.partitionBy("rest").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -319,16 +319,16 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     running = within.rowsBetween(W.unboundedPreceding, 0)
     numbered = dealt.withColumn("rank", F.row_number().over(within) - 1).withColumn("full_before", F.sum("full").over(running) - F.col("full")).join(groups_before, ["rest", "_bucket"])
     numbered = numbered.withColumn("rank", (F.col("rank") + F.col("n_before")).cast("long"))
-    numbered = numbered.withColumn("full_before", (F.col("full_before") + F.col("f_before") + F.col("base")).cast("long")).select("doc_id", "doc_tokens", "full_crc", "rest", "rest_crc", "rank", "full_before")
+    numbered = numbered.withColumn("full_before", (F.col("full_before") + F.col("f_before") + F.col("base")).cast("long")).select("doc_id", "key", "doc_tokens", "full_crc", "rest", "rest_crc", "rank", "full_before")
     pieces = numbered.mapInArrow(_pieces(plan), _PIECE.format(kind=kind))
     cuts = cut_rows(plan, histogram)
     if not cuts:
         return pieces
-    crossing = numbered.mapInArrow(_crosses(plan), f"doc_id {kind}, doc_tokens long, rest int, rest_crc long, window long, offset long").withColumn("row", F.col("window"))
-    small = F.broadcast(crossing) if cuts <= BROADCAST_CUTS else crossing
-    again = rows.withColumnRenamed("doc_id", "_id").join(small, F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id")
-    cut = again.mapInArrow(_cut(path, capacity), "row long, " + _PIECE.format(kind=kind)).dropDuplicates(["row", "offset", "sequence_id"]).drop("row")
-    return pieces.unionByName(cut)
+    crossing = stored(numbered.mapInArrow(_crosses(plan), f"doc_id {kind}, key binary, doc_tokens long, rest int, window long, offset long"), "crossing")
+    keys = crossing.select("key").distinct()
+    # each text once, however many rows have it
+    texts = rows.select("key", "text").join(F.broadcast(keys) if cuts <= BROADCAST_CUTS else keys, "key", "left_semi").dropDuplicates(["key"])
+    return pieces.unionByName(crossing.join(texts, "key").mapInArrow(_cut(path, capacity), _PIECE.format(kind=kind)))
 
 
 def padding(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

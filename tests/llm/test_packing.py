@@ -110,3 +110,22 @@ def test_plan_places_each_once(histogram):
             assert o == at
             at += length
         assert at <= 64 and (w >= plan.windows or at >= 62)
+
+
+def test_one_id_for_all_rows_takes_linear_time(spark):
+    """Remainders that are cut are found by their texts, whatever the ids."""
+    words = "one two three four five six seven".split()
+    texts = [" ".join(words[(i * j) % 7] for j in range(i % 61 + 2)) for i in range(20_000)]
+    for one in (5, None):
+        df = spark.createDataFrame([(one, t, "en", "s", 1, "x") for t in texts], DOCS)
+        pieces = packing.pack(df, PATH, 64).collect()
+        assert sum(p.length for p in pieces) == sum(map(len, map(brute_ids, texts)))
+        by_seq = defaultdict(list)
+        for p in pieces:
+            by_seq[p.sequence_id].append((p.offset, p.length))
+        for parts in by_seq.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 64
