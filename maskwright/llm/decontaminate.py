@@ -38,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices, stored
+from .common import slices, stored, unpacked, whole_rows
 from .substrings import sentences
 
 BLOCK_ITEMS = 10_000
+#: Bytes of a block's items, whatever their number.
+BLOCK_BYTES = 16 << 20
 STRIDE = 48
 WHOLE_ITEM = 64
 THRESHOLD = 0.5
@@ -226,7 +228,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """The index in blocks; what goes to the driver is a block's items and the frequencies of their terms."""
     items = benchmark.filter(F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    blocks = -(-items.count() // BLOCK_ITEMS) or 1
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), (size["bytes"] or 0) // BLOCK_BYTES)
     if blocks == 1:
         yield Index([(r["item_id"], r["text"]) for r in items.collect()])
         return
@@ -270,17 +273,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     return out
 
 
-def _keep(index: Index, place: int, threshold: float, overlap: float):
+def _keep(index: Index, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            clean = [not t or not index.matches(t, threshold, overlap) for t in batch.column(place).to_pylist()]
+            clean = [not t or not index.matches(t, threshold, overlap) for t in batch.column(1).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return run
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """The rows of ``documents`` that hold no test item, columns unchanged, repeated rows too; null and empty texts stay."""
+    """The rows of ``documents`` that hold no test item, columns unchanged, repeated rows too; null and empty texts stay. Columns may have any names."""
+    rows = whole_rows(documents, F.col("text").cast("string").alias("text"))
     for index in indexes(benchmark):
-        documents = documents.mapInArrow(_keep(index, documents.columns.index("text"), threshold, overlap), documents.schema)
-    return documents
+        rows = rows.mapInArrow(_keep(index, threshold, overlap), rows.schema)
+    return unpacked(rows, documents.columns)

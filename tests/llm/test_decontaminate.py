@@ -80,3 +80,11 @@ def test_one_changed_word(spark):
     rows += [(900, "something else about a river and the old town " * 20), (900, items[2]), (900, items[2])]
     got = sorted((r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
     assert got == sorted([(d, d // 100) for d, _ in rows[:-3]] + [(900, 2)] * 2)
+
+
+def test_columns_of_any_name(spark):
+    item = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, item, 1, "a"), (2, "clean text", 2, "b"), (3, None, 3, "c")], "doc_id long, text string, `x.y` int, `row` string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = D.decontaminate(df, bench)
+    assert out.columns == df.columns and sorted((r.doc_id, r["x.y"], r["row"]) for r in out.collect()) == [(2, 2, "b"), (3, 3, "c")]
