@@ -12,7 +12,10 @@ node's sum is that of its children's densities. The node of the greatest sum is
 the heart of the page; the least density on its path to the body is the
 threshold. The heart is taken with those branches beside its path that reach the
 threshold; where the path passes an ``article`` or ``main``, branches within it need
-not, unless links are a third of their characters.
+not, unless links are a third of their characters, and beside it only further articles
+count; where ``article`` and ``main`` have three tenths of the text outside of links, the
+heart is in one of them. A branch of several links that have nine tenths of its characters is no content,
+in the heart too.
 
 A page is read in time linear in its length, whatever it holds: no regular expression
 runs over an open quote or tag more than once, and open elements are found by kind.
@@ -37,6 +40,9 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup td th time tt u var wbr".split())
 NEVER = frozenset("head nav aside footer form script style noscript template iframe object embed svg canvas math button select option textarea input dialog menu title link meta audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Further elements that stand within a paragraph.
+WITHIN = FOREIGN | frozenset("option button select object audio video canvas map picture output meter progress datalist slot template".split())
 #: Elements that an opening tag of the same kind ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 #: Beyond these, no implied end is looked for.
@@ -48,6 +54,9 @@ CLUTTER = frozenset(
     " comment comments commentlist disqus respond reply replies pagination pager toolbar widget widgets paywall".split()
 )
 
+#: Of these, the words that say so of a block of links only.
+LINKS = frozenset("related recommended recommendations side".split())
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _TO_QUOTE = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -55,23 +64,23 @@ _NAME_WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is never main text, and whether its name alone says so."""
+def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is never main text, whether its name alone says so, and whether that name holds for links only."""
     if tag in NEVER or (tag == "header" and not in_article):
-        return True, False
+        return True, False, False
     if not attributes.strip():
-        return False, False
+        return False, False, False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return True, False
+        return True, False, False
     if found.get("role", "").lower() in ROLES:
-        return True, False
+        return True, False, False
     names = set(_NAME_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{found.get('class', '')} {found.get('id', '')}").lower()))
     if tag in ("html", "body", "main"):
-        return False, False
+        return False, False, False
     if tag == "article":
-        return bool(names & {"comment", "comments", "reply", "related", "promo", "ad", "sponsored"}), False
-    return False, bool(names & CLUTTER)
+        return bool(names & {"comment", "comments", "reply", "related", "promo", "ad", "sponsored"}), False, False
+    return False, bool(names & CLUTTER), not names & (CLUTTER - LINKS)
 
 
 def _tokens(source: str) -> Iterator[tuple[int, int, str, str, str]]:
@@ -126,7 +135,7 @@ class Page:
     """Nodes in the order of their start tags; node 0 is the root."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.drop, self.named = ["html"], [-1], [False], [False]
+        self.tag, self.parent, self.drop, self.named, self.weak = ["html"], [-1], [False], [False], [False]
         self.text: list[tuple[int, str]] = []  # (node, raw text or a space), in page order
         stack, where, walls = [0], {"html": [0]}, []  # open nodes; their places in the stack by kind; places of walls
 
@@ -156,7 +165,8 @@ class Page:
                 continue
             if name in ("html", "body") and last((name,)):
                 continue
-            ends = ENDS.get(name) or ({"p"} if name not in INLINE and name not in VOID | RAW | {"option"} or name == "hr" else ())
+            foreign = any(where.get(x) for x in FOREIGN)
+            ends = () if foreign else ENDS.get(name) or ({"p"} if name not in INLINE and name not in VOID | RAW | WITHIN or name == "hr" else ())
             while (place := last(ends)) > (walls[-1] if walls else 0):
                 close(place)
                 if name not in ("tr", "tbody", "thead"):
@@ -164,12 +174,13 @@ class Page:
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            drop, named = _unwanted(name, attributes, bool(where.get("article") or where.get("main")))
+            drop, named, weak = _unwanted(name, attributes, bool(where.get("article") or where.get("main")))
             self.drop.append(drop)
             self.named.append(named)
+            self.weak.append(weak)
             if name in ("br", "td", "th", "img", "wbr"):
                 self.text.append((node, " " if name != "wbr" else ""))
-            if name in VOID or attributes.endswith("/"):
+            if name in VOID or attributes.endswith("/") and (foreign or name in FOREIGN):
                 continue
             if name in RAW:
                 found = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
@@ -188,19 +199,21 @@ class Page:
         article = [t in ("article", "main") and not d for t, d in zip(self.tag, self.drop, strict=True)]
         for i in range(n - 1, 0, -1):
             article[self.parent[i]] = article[self.parent[i]] or article[i]
-        never, linked, plain = [False] * n, [False] * n, [0] * n
+        never, linked, plain, links = [False] * n, [False] * n, [0] * n, [0] * n
         for i in range(1, n):
             # a wrapper that is dropped but holds an article is none
             never[i] = never[self.parent[i]] or self.drop[i] and not (article[i] and self.tag[i] not in ("article", "main"))
             linked[i] = self.tag[i] == "a" or linked[self.parent[i]]
         for i, raw in self.text:
-            if not never[i] and not linked[i]:
-                plain[i] += len(raw.strip())
+            if not never[i]:
+                (links if linked[i] else plain)[i] += len(raw.strip())
         for i in range(n - 1, 0, -1):
             plain[self.parent[i]] += plain[i]
+            links[self.parent[i]] += links[i]
         gone = never
         for i in range(1, n):
-            gone[i] = gone[i] or gone[self.parent[i]] or self.named[i] and not article[i] and (article[0] or plain[i] * 2 <= plain[0])
+            clutter = self.named[i] and not article[i] and (article[0] or plain[i] * 2 <= plain[0])
+            gone[i] = gone[i] or gone[self.parent[i]] or clutter and not (self.weak[i] and plain[i] > 2 * links[i])
         return gone
 
     def main_text(self) -> str:
@@ -235,7 +248,12 @@ class Page:
                 sums[above[i]] += density[i]
         for i in blocks:
             sums[i] = sums[i] or density[i]  # a leaf stands for itself
-        heart = max(blocks, key=lambda i: (sums[i], chars[i]))
+        within = [False] * n
+        for i in range(n):
+            within[i] = self.tag[i] in ("article", "main") or i > 0 and within[self.parent[i]]
+        tops = [i for i in blocks if within[i] and not (i and within[self.parent[i]])]
+        told = sum(chars[i] - link_chars[i] for i in tops) * 10 >= 3 * (chars[0] - link_chars[0]) > 0
+        heart = max((i for i in blocks if within[i] or not told), key=lambda i: (sums[i], chars[i]))
         path = [heart]
         while path[-1]:
             path.append(above[path[-1]])
@@ -245,9 +263,14 @@ class Page:
         eased = set(path[: article + 1])  # branches of these are within the article
         taken = {heart}
         for i in blocks:
-            if i and above[i] in on_path and above[i] != heart and i not in on_path and density[i] > 0:
+            if i and above[i] in on_path and above[i] != heart and i not in on_path and density[i] > 0 and (article < 0 or above[i] in eased or self.tag[i] == "article"):
                 if density[i] >= least or above[i] in eased and link_chars[i] * 3 <= chars[i]:
                     taken.add(i)
+        for i in blocks:  # lists of links are no content, wherever they stand
+            if link_tags[i] > 1 and link_chars[i] * 10 >= chars[i] * 9 and i not in on_path:
+                gone[i] = True
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]]
         loose = {i for i in path[1:] if i in eased}  # text that lies between the branches of the article
         inside = [False] * n
         for i in range(n):
@@ -257,7 +280,7 @@ class Page:
         out, now, parts = [], -1, []
 
         def end() -> None:
-            line = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            line = _SPACE.sub(" ", "".join(parts)).strip()
             if line:
                 out.append(line)
             parts.clear()
@@ -267,7 +290,7 @@ class Page:
                 if block[i] != now:
                     end()
                     now = block[i]
-                parts.append(raw)
+                parts.append(html.unescape(raw))
             elif not inside[i] or not gone[i] or self.tag[i] not in INLINE:
                 end()
                 now = -1

@@ -84,3 +84,98 @@ def test_linear_time():
         assert seconds(part * (5_000_000 // len(part) // 5)) < 20, part
     assert seconds("<p><ul>" + "<span>" * 100_000 + "<h1>" * 100_000) < 10
     assert seconds('<a "' * 100_001 + ">" + '<a "' * 100_000) < 10
+
+
+def test_links_alone_are_no_main_text():
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>go to section {i}</a></li>" for i in range(20)) + "</ul>"
+    assert H.main_text(f"<body><div>{menu}</div><div><p>{words(40)}</p></div></body>") == words(40)
+    assert H.main_text(f"<article><p>{words(40)}</p>{menu}<p>{words(9, 1)}</p></article>") == words(40) + "\n" + words(9, 1)
+
+
+def test_comments_without_a_telling_name_beside_the_article():
+    page = f"<body><article><h1>Title</h1><p>{words(30)}</p><p>{words(20, 1)}</p></article><section class=responses><p>{words(25, 2)}</p><p>{words(35, 3)}</p></section></body>"
+    assert H.main_text(page) == f"Title\n{words(30)}\n{words(20, 1)}"
+
+
+def test_names_of_links_keep_text():
+    page = "<main><p>%s</p><div class='related-work'><p>%s</p></div><div class=related><a href=x>one thing</a> <a>two</a></div></main>" % (words(30), words(20, 1))
+    assert H.main_text(page) == words(30) + "\n" + words(20, 1)
+
+
+def test_only_void_elements_close_themselves():
+    assert H.main_text("<article><p>see <a href=/x/>the page</a> there</p><div/>more<p/>end</article>") == "see the page there\nmore\nend"
+    page = H.Page("<p>see <a href=/x/>the page</a> there</p>")
+    assert [raw for i, raw in page.text if page.tag[i] == "a"] == ["the page"]
+    assert H.main_text("<p>a<svg><path/></svg>b<br/>c</p>") == "ab c"
+
+
+def test_references_end_at_tags():
+    assert H.main_text("<p>&am<b>p;lt;</b> &amp;lt; &lt;</p>") == "&amp;lt; &lt; <".replace("&amp;lt;", "&amp;lt;", 1)
+
+
+def by_recursion(tree):
+    """Text of the node with the greatest density sum, its densities computed recursively; ``tree`` is (tag, children or text)."""
+
+    def measure(t, linked=False):
+        tag, inner = t
+        linked = linked or tag == "a"
+        if isinstance(inner, str):
+            return len(inner), 0, len(inner) * linked, 0
+        total = [0, 0, 0, 0]
+        for c in inner:
+            for k, x in enumerate(measure(c, linked)):
+                total[k] += x
+            if c[0] != "#":
+                total[1] += 1
+                total[3] += c[0] == "a"
+        return total
+
+    whole = measure(tree)
+    share = whole[2] / max(1, whole[0])
+    found = []
+
+    def sums(t):
+        blocks = [c for c in t[1] if c[0] in ("div", "p", "section")] if not isinstance(t[1], str) else []
+        own = H.density_of(*measure(t), share)
+        total = sum(H.density_of(*measure(c), share) for c in blocks) or own
+        found.append((total, measure(t)[0], t))
+        for c in blocks:
+            sums(c)
+
+    sums(tree)
+    return max(found, key=lambda x: x[:2])[2]
+
+
+def test_the_heart_of_random_pages():
+    rng, same = random.Random(4), 0
+
+    def grow(depth):
+        kind = rng.choice(["p", "div", "section"]) if depth else "div"
+        if kind == "p" or depth > 3:
+            parts = [("#", words(rng.randrange(1, 30), rng.random()))]
+            if rng.random() < 0.3:
+                parts.append(("a", [("#", words(rng.randrange(1, 8), rng.random()))]))
+            return ("p", parts)
+        return (kind, [grow(depth + 1) for _ in range(rng.randrange(1, 5))])
+
+    def show(t):
+        return t[1] if t[0] == "#" else f"<{t[0]}>" + "".join(map(show, t[1])) + f"</{t[0]}>"
+
+    def plain(t):
+        return t[1] if t[0] == "#" else "".join(map(plain, t[1]))
+
+    for _ in range(150):
+        tree = ("html", [("body", [grow(0) for _ in range(rng.randrange(1, 4))])])
+        got = H.main_text(show(tree)).replace("\n", "")
+        heart = by_recursion(("html", tree[1][0][1]))
+        texts = [plain(t) for t in leaves(heart)]
+        assert all(t in got for t in texts), (show(tree), got)
+        same += len(got) < len(plain(tree))
+    assert same > 20
+
+
+def leaves(t):
+    """Paragraphs below a node that are not mostly links."""
+    if t[0] == "p":
+        return [t]
+    return [x for c in t[1] if c[0] != "#" for x in leaves(c)]
