@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .collocations import merged
-from .common import as_text, discard_folder, slices, stored, text_parts
+from .common import as_text, slices, stored, text_parts
 
 ORDER = 2
 MU = 200.0
@@ -139,36 +139,23 @@ def arrays(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.n
     return room, room >= np.repeat(starts, sizes)
 
 
-def _read(order: int, shards: int):
+_LISTS = {"trains": pa.bool_(), "rows": pa.int64(), "sizes": pa.int32(), "starts": pa.int32(), "texts": pa.int32()}
+
+
+def _read(order: int):
+    """Documents to blocks, a row each: ids, vocabulary, and lists over its texts and segments."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial, row = TaskContext.get().partitionId(), 0, 0
         now, kind = Block(order), pa.int64()
 
-        def rows(made: list[tuple], docs=None, more=None) -> pa.RecordBatch:
-            columns = list(zip(*made, strict=True))
-            lists = [pa.array([x] * len(made), t) for x, t in zip((docs, *(more or [None] * 5)), (pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)]
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
-            return pa.RecordBatch.from_arrays([*arrays, *lists], names=["block", "level", "shard", "data", "counts", "docs", "trains", "rows", "sizes", "starts", "texts"])
-
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             nonlocal now, serial
-            block, serial = (task << 32) | serial, serial + 1
-            ids, sizes, starts = np.concatenate(now.ids), np.array(now.sizes), np.array(now.starts)
-            room, scored = arrays(ids, sizes, starts)
-            words = list(now.words)
-            vocabulary = zstandard.ZstdCompressor(level=1).compress(b" ".join(words[2:]))
-            yield rows([(block, -1, 0, packed(ids), vocabulary)], now.docs, (now.trains, now.rows, now.sizes, now.starts, now.text))
-            grams = NGrams(ids, room, order, len(words))
-            counts = grams.counts(scored & np.repeat(np.array(now.trains)[np.array(now.text)], sizes))
-            asked = []
-            for n, s, places, names in grams.requests(words, shards):
-                asked.append((block, n, s, packed(np.diff(names, prepend=np.uint64(0))), packed(counts[n][places])))
-                if len(asked) == 64:
-                    yield rows(asked)
-                    asked = []
-            if asked:
-                yield rows(asked)
-            now = Block(order)
+            words = zstandard.ZstdCompressor(level=1).compress(b" ".join(list(now.words)[2:]))
+            lists = [pa.array([x], pa.list_(t)) for x, t in zip((now.trains, now.rows, now.sizes, now.starts, now.text), _LISTS.values(), strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) | serial]), pa.array([packed(np.concatenate(now.ids))], pa.binary()), pa.array([words], pa.binary()), pa.array([now.docs], pa.list_(kind)), *lists], names=["block", "ids", "words", "docs", *_LISTS])
+            now, serial = Block(order), serial + 1
+            return out
 
         for batch in slices(batches):
             kind = batch.schema.field(0).type
@@ -181,11 +168,35 @@ def _read(order: int, shards: int):
                     now.add(before, found)
                     before = [*before, *found][1 - order :] if order > 1 else []
                     if now.held >= BLOCK:  # a very long text goes on in the next block
-                        yield from flush()
+                        yield flush()
                         now.begin(doc, not held_out, (task << 32) | row)
                 now.add(before, [FINISH])
         if now.ids:
-            yield from flush()
+            yield flush()
+
+    return run
+
+
+def _opened(row: dict, order: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, NGrams]:
+    """Words, ids, segments' sizes and starts, tokens to score, and n-grams of a block's row."""
+    text = zstandard.ZstdDecompressor().decompress(row["words"])
+    words = [BEGIN, FINISH, *(text.split(b" ") if text else [])]
+    ids, sizes, starts = unpacked(row["ids"]).astype(np.int64), np.array(row["sizes"], np.int64), np.array(row["starts"], np.int64)
+    room, scored = arrays(ids, sizes, starts)
+    return words, ids, sizes, starts, scored, NGrams(ids, room, order, len(words))
+
+
+def _ask(order: int, shards: int):
+    """Blocks to what they ask each shard for: hashes of n-grams, as differences, and their counts in the block's training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            words, _, sizes, _, scored, grams = _opened(row, order)
+            counts = grams.counts(scored & np.repeat(np.array(row["trains"])[np.array(row["texts"])], sizes))
+            made = [(row["block"], n, s, packed(np.diff(names, prepend=np.uint64(0))), packed(counts[n][places])) for n, s, places, names in grams.requests(words, shards)]
+            for i in range(0, len(made), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[i : i + 64], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "level", "shard", "data", "counts"])
 
     return run
 
@@ -270,12 +281,8 @@ class Automaton:
 def _score(order: int, shards: int, n: int, v: int, mu: float):
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
         one = {c: left.column(c)[0].as_py() for c in left.column_names if c != "docs"}
-        ids = unpacked(one["data"]).astype(np.int64)
-        text = zstandard.ZstdDecompressor().decompress(one["counts"])
-        words = [BEGIN, FINISH, *(text.split(b" ") if text else [])]
-        sizes, starts, owner = (np.array(one[c], np.int64) for c in ("sizes", "starts", "texts"))
-        room, scored = arrays(ids, sizes, starts)
-        grams = NGrams(ids, room, order, len(words))
+        words, ids, sizes, starts, scored, grams = _opened(one, order)
+        owner = np.array(one["texts"], np.int64)
         totals = [np.zeros(len(k), np.int64) for k in grams.keys]
         answers = {(lv, s): t for lv, s, t in zip(right.column("level").to_pylist(), right.column("shard").to_pylist(), right.column("totals"), strict=True)}
         for level, shard, places, _ in grams.requests(words, shards):
@@ -308,14 +315,12 @@ def scored(documents: DataFrame, order: int = ORDER, mu: float = MU) -> DataFram
     rows = documents.select("doc_id", held_out.alias("held_out"), as_text().cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(SHARDS, size // SHARD_BYTES)
-    shape = f"block long, level int, shard int, data binary, counts binary, docs array<{kind}>, trains array<boolean>, rows array<long>, sizes array<int>, starts array<int>, texts array<int>"
-    blocks = stored(rows.mapInArrow(_read(order, shards), shape).withColumn("request", F.col("level") >= 0), "blocks", "request")
-    asked = blocks.filter("request").select("block", "level", "shard", "data", "counts")
+    shape = f"block long, ids binary, words binary, docs array<{kind}>, trains array<boolean>, rows array<long>, sizes array<int>, starts array<int>, texts array<int>"
+    texts = stored(rows.mapInArrow(_read(order), shape), "blocks")
+    asked = texts.drop("docs").mapInArrow(_ask(order, shards), "block long, level int, shard int, data binary, counts binary")
     answers = stored(asked.groupBy("shard").applyInArrow(_answer, "block long, level int, shard int, totals binary, n long, v long"), "answers")
     whole = answers.filter("block = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = whole["n"] or 0, whole["v"] or 0
-    discard_folder(documents.sparkSession, f"{blocks.stored_at}/request=true")  # has been answered
-    texts = blocks.filter("NOT request").select("block", "data", "counts", "docs", "trains", "rows", "sizes", "starts", "texts")
     told = answers.filter("block >= 0").select("block", "level", "shard", "totals")
     parts = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, shards, n, v, mu), f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     # a very long text has a part in each of its blocks
