@@ -110,9 +110,9 @@ def centre_cell(masks: DataFrame, height: int, width: int, strict: bool = True)
 
 
 def semantic_merge(results: DataFrame, label2id: dict[str, int], threshold: float = 0.001) -> DataFrame:
-    """Model results (img, label, h, w, mask) to one class mask for each image: background dropped, masks post-processed, greatest id wins; an unknown label raises."""
+    """Model results (img, label, h, w, mask) to one class mask for each image: ``background`` dropped, masks post-processed, greatest id wins; an unknown label raises."""
     known = F.create_map(*[F.lit(x) for p in label2id.items() for x in p])
-    rows = results.filter((F.col("label") != "背景") & (F.col("label") != "background")).withColumn("id", known[F.col("label")])
+    rows = results.filter(F.col("label") != "background").withColumn("id", known[F.col("label")])
     rows = rows.withColumn("id", F.when(F.col("id").isNull(), F.raise_error(F.concat(F.lit("unknown label "), "label")).cast("int")).otherwise(F.col("id")))
     # the id rides in the mask, whose other values are 0
     rows = rows.withColumn("mask", F.transform("mask", lambda x: F.when(x > 0, F.col("id")).otherwise(0).cast("short")))
@@ -177,14 +177,14 @@ def semantic_polygons(masks: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def result_polygons(results: DataFrame, label2id: dict[str, int], threshold: float = 0.001) -> DataFrame:
-    """Model results (img, label, h, w, mask) to img, category_id = id - 1, ord, points, one row for each outer border; unknown labels and background are skipped.
+    """Model results (img, label, h, w, mask) to img, category_id = id - 1, ord, points, one row for each outer border; unknown labels and ``background`` are skipped (a label of id 0 gives -1).
 
     Points are flat y, x: the exchanged order that this conversion has (the older one has a threshold of 0.01).
     """
     known = F.create_map(*[F.lit(x) for p in label2id.items() for x in p])
-    rows = results.filter(~F.col("label").isin("背景", "background")).withColumn("id", known[F.col("label")]).filter("id IS NOT NULL")
-    rows = rows.withColumn("mask", F.transform("mask", lambda x: F.when(x > 0, F.col("id")).otherwise(0).cast("short")))
-    return _borders(rows, threshold, True).select("img", (F.col("id") - 1).alias("category_id"), "ord", "points")
+    rows = results.filter(F.col("label") != "background").withColumn("id", known[F.col("label")]).filter("id IS NOT NULL")
+    rows = rows.withColumn("mask", F.transform("mask", lambda x: F.when(x > 0, F.col("id") + 1).otherwise(0).cast("short")))  # ids from 1, as 0 is no class in a mask
+    return _borders(rows, threshold, True).select("img", (F.col("id") - 2).alias("category_id"), "ord", "points")
 
 
 def resize_nearest(masks: DataFrame, height: int, width: int) -> DataFrame:

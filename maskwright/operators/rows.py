@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -199,17 +200,44 @@ def coco_annotations(image_id: Column, categories: Column, areas: Column, boxes:
     return F.transform(F.arrays_zip(categories.alias("c"), areas.alias("a"), boxes.alias("b")), lambda x: F.struct(image_id.alias("image_id"), x["c"].alias("category_id"), F.lit(0).alias("isCrowd"), x["a"].alias("area"), x["b"].alias("bbox")))
 
 
-def early_stopping(rows: DataFrame, group: str, order: Sequence[str], loss: str, patience: int = 7, delta: float = 0.0) -> DataFrame:
-    """group, best, counter, stopped after a fold over each group's losses in order (one series is one row)."""
-    series = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(loss).alias("_loss")))), lambda x: -x["_loss"])
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("counter"), F.lit(False).alias("stopped"))
+def _fold(patience: int, delta: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, counter, stopped, begun = None, None, 0, False, False
+        for batch in batches:
+            done, schema = [], batch.schema
+            for key, loss in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not begun or key != now:
+                    if begun:
+                        done.append((now, best, counter, stopped))
+                    now, best, counter, stopped, begun = key, None, 0, False, True
+                score = None if loss is None else -loss
+                if best is not None and score is not None and score < best + delta:
+                    counter += 1
+                    stopped = stopped or counter >= patience
+                else:
+                    best, counter = score, 0
+            yield _folded(done, schema)
+        if begun:
+            yield _folded([(now, best, counter, stopped)], schema)
+
+    return run
+
+
+def _folded(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*done, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (schema.field(0).type, pa.float64(), pa.int32(), pa.bool_()), strict=True)], names=["grp", "best", "counter", "stopped"])
 
-    def step(a, score):
-        worse = a["best"].isNotNull() & (score < a["best"] + F.lit(delta))
-        n = F.when(worse, a["counter"] + 1).otherwise(F.lit(0))
-        return F.struct(F.when(worse, a["best"]).otherwise(score).alias("best"), n.alias("counter"), (a["stopped"] | (worse & (n >= patience))).alias("stopped"))
 
-    return rows.groupBy(group).agg(series.alias("_s")).select(group, F.aggregate("_s", start, step).alias("x")).select(group, "x.best", "x.counter", "x.stopped")
+def early_stopping(rows: DataFrame, group: str, order: Sequence[str], loss: str, patience: int = 7, delta: float = 0.0) -> DataFrame:
+    """group, best, counter, stopped after a fold over each group's losses in order.
+
+    Rows sorted by group and order stream through the tasks; a task keeps the state of
+    one series alone, so a series may be of any length. A null loss starts afresh.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+    series = rows.select(F.col(group).alias("grp"), F.col(loss).cast("double").alias("loss"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ranked = series.repartition("grp").sortWithinPartitions("grp", *[f"o{i}" for i in range(len(order))]).select("grp", "loss")
+    return ranked.mapInArrow(_fold(patience, delta), f"grp {kind}, best double, counter int, stopped boolean").withColumnRenamed("grp", group)
 
 
 def mean_loss(rows: DataFrame, group: str, loss: str) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.labels import AREA_WORDS, CAPTION, CELLS, FAMILIES, LINES, MARKS, NO_CELL, QA, REGIONS, TITLE, VOCABULARIES, label_dim
-from ..operators import captions, dense, maskstats, raster, rows
-from ..sources.tables import HEIGHT, WIDTH, dealt, images, labels_of, masks, pixels, polygons, table
+from ..operators import batches, captions, dense, maskstats, prompted, raster, rows
+from ..sources.shapefile import read_shapefiles, write_shapefiles
+from ..sources.shared import new_folder, qualified
+from ..sources.tables import HEIGHT, WIDTH, checkpoints, dealt, images, masks, model_labels, pixels, polygons, table
 from . import transforms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -607,10 +609,121 @@ def s2_newest_checkpoint(spark, d):
     return rows.newest(files, "run")
 
 
-@query("SELECT * FROM (VALUES " + _SEG[1:-1] + ") t(label_id, label_name)")
+@query("SELECT 'run-1' AS folder, CAST(sum(length(s_name) + 1) AS BIGINT) AS length FROM supplier WHERE s_suppkey % 2 = 1")
+def s2_newest_folder(spark, d):
+    """Two folders of files, written one after the other, and the file to load out of the later one."""
+    names, top = table(spark, d, "supplier"), new_folder(spark, "runs")
+    for k in (0, 1):
+        names.filter(F.col("s_suppkey") % 2 == k).select("s_name").coalesce(1).write.text(f"{top}/run-{k}")
+    found = rows.newest(checkpoints(spark, top), qualified(spark, top) + "/run-", (".txt",))
+    return found.select(F.regexp_extract("path", r"/(run-\d)/", 1).alias("folder"), "length")
+
+
+@query("SELECT n_nationkey AS label_id, n_name AS label_name FROM nation")
 def s6_model_labels(spark, d):
-    ids = F.map_from_entries(F.array(*[F.struct(F.lit(str(i)), F.lit(n)) for i, n in VOCABULARIES["segmenter"].items()]))
-    return labels_of(spark.range(1).select(F.to_json(F.struct(ids.alias("id2label"))).alias("value")))
+    """A configuration file for each region, written and read again."""
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name"))))
+    configs = table(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.struct(entries.alias("id2label"))).alias("value"))
+    folder = new_folder(spark, "configs")
+    configs.write.partitionBy("n_regionkey").text(folder)
+    return model_labels(spark, folder)
+
+
+@query(
+    with_(POLY) + "SELECT img, CAST(inst - 1 AS BIGINT) AS ord, CAST(category_id AS BIGINT) AS category_id, CAST(list_min(xs) AS DOUBLE) AS x0, CAST(list_min(ys) AS DOUBLE) AS y0, CAST(list_max(xs) AS DOUBLE) AS x1, CAST(list_max(ys) AS DOUBLE) AS y1, "
+    "abs(list_sum([xs[i] * ys[i % 4 + 1] - xs[i % 4 + 1] * ys[i] for i in [1, 2, 3, 4]]))::DOUBLE AS twice_area, array_to_string(list_sort([xs[i] * 100 + ys[i] for i in [1, 2, 3, 4]]), ',') AS corners FROM pt"
+)
+def s5_shapefiles(spark, d):
+    """Polygons written as shapefiles and read again."""
+    each = polygons(spark, d).select("img", F.posexplode(F.arrays_zip("points", "category_id")).alias("ord", "z")).select("img", "ord", "z.category_id", F.col("z.points").alias("points"))
+    folder = new_folder(spark, "shapes")
+    write_shapefiles(each, folder)
+    back = read_shapefiles(spark, folder, ["img", "ord", "category_id"]).withColumn("p", rows.pair_up(F.col("points")))
+    nth = lambda i: F.get("p", i % F.size("p"))
+    area = F.aggregate(F.transform("p", lambda a, i: a["x"] * nth(i + 1)["y"] - nth(i + 1)["x"] * a["y"]), F.lit(0.0), lambda a, v: a + v)
+    at = lambda c: F.transform("p", lambda v: v[c])
+    corners = F.array_join(F.sort_array(F.transform("p", lambda v: (v["x"] * 100 + v["y"]).cast("int"))), ",")
+    return back.select("img", "ord", "category_id", F.array_min(at("x")).alias("x0"), F.array_min(at("y")).alias("y0"), F.array_max(at("x")).alias("x1"), F.array_max(at("y")).alias("y1"), F.abs(area).alias("twice_area"), corners.alias("corners"))
+
+
+@query(
+    with_(PX) + ", o AS (SELECT p_partkey AS img, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) SELECT pos // 8 AS batch, CAST(count(DISTINCT img) AS INTEGER) AS n, "
+    "md5(string_agg(CAST(k AS VARCHAR), ',' ORDER BY pos, r, c)) AS labels, array_to_string(list_transform(range(0, count(DISTINCT img)), lambda i: '20x23'), ',') AS sizes FROM o JOIN px USING (img) GROUP BY pos // 8"
+)
+def u8_segmentation_batches(spark, d):
+    source = masks(spark, d).select("img", F.col("img").alias("image"), "mask", F.array("h", "w", F.lit(3)).alias("target_size"))
+    out = batches.segmentation_batches(source, ["img"], 8, target_sizes=True)
+    labels = F.md5(F.array_join(F.transform(F.flatten("labels"), lambda x: x.cast("string")), ","))
+    return out.select("batch", "n", labels.alias("labels"), F.array_join(F.transform("target_sizes", lambda x: F.array_join(x, "x")), ",").alias("sizes"))
+
+
+@query(
+    with_(PX) + ", o AS (SELECT p_partkey AS img, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part), i AS (SELECT DISTINCT pos, k, CAST((k + img) % 4 AS INTEGER) AS class FROM o JOIN px USING (img) WHERE k <> 0) "
+    "SELECT pos // 8 AS batch, CAST(pos % 8 AS INTEGER) AS place, string_agg(k, ',' ORDER BY k) AS ids, string_agg(class, ',' ORDER BY k) AS classes FROM i GROUP BY pos"
+)
+def u8_panoptic_batches(spark, d):
+    classes = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda k: F.struct(k, ((k + F.col("img")) % 4).cast("int"))))
+    out = batches.panoptic_batches(masks(spark, d).withColumn("image", F.col("img")).withColumn("classes", classes), ["img"], 8)
+    each = out.select("batch", F.posexplode(F.arrays_zip("mask_labels", "class_labels")).alias("place", "z"))
+    return each.select("batch", "place", F.array_join("z.mask_labels", ",").alias("ids"), F.array_join("z.class_labels", ",").alias("classes"))
+
+
+@query(
+    "WITH o AS (SELECT p_partkey AS img, p_size % 7 + 3 AS h, p_size % 5 + 4 AS w, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) "
+    "SELECT pos // 8 AS batch, CAST(pos % 8 AS INTEGER) AS place, img, h, w, max(h) OVER (PARTITION BY pos // 8) AS to_h, max(w) OVER (PARTITION BY pos // 8) AS to_w, h * w AS area FROM o"
+)
+def u8_detection_batches(spark, d):
+    sized = table(spark, d, "part").select(F.col("p_partkey").alias("img"), F.col("p_partkey").alias("image"), (F.col("p_size") % 7 + 3).alias("h"), (F.col("p_size") % 5 + 4).alias("w"))
+    out = batches.detection_batches(sized.withColumn("labels", F.struct(F.col("img").alias("image_id"), (F.col("h") * F.col("w")).alias("area"))), ["img"], 8)
+    each = out.select("batch", F.posexplode(F.arrays_zip("pixel_values", "pixel_mask", "labels")).alias("place", "z"))
+    return each.select("batch", "place", F.col("z.pixel_values").alias("img"), "z.pixel_mask.h", "z.pixel_mask.w", "z.pixel_mask.to_h", "z.pixel_mask.to_w", "z.labels.area")
+
+
+def _texts_sql(label_pad: str) -> str:
+    return (
+        "WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, list_append(list_transform(string_split(c_mktsegment, ''), lambda x: ascii(x)), 2) AS ids FROM customer), "
+        "m AS (SELECT *, max(len(ids)) OVER (PARTITION BY pos // 16) - len(ids) AS more FROM o), pad AS (SELECT *, list_transform(range(0, more), lambda i: 0) AS zeros FROM m) "
+        "SELECT c_custkey, pos // 16 AS batch, CAST(pos % 16 AS INTEGER) AS place, array_to_string(ids || zeros, ',') AS input_ids, "
+        f"array_to_string(list_transform(ids, lambda i: 1) || zeros, ',') AS attention_mask, array_to_string(ids || list_transform(zeros, lambda i: {label_pad}), ',') AS labels FROM pad"
+    )
+
+
+def _text_rows(spark, d, label_pad):
+    ids = F.transform(F.filter(F.split("c_mktsegment", ""), lambda x: x != ""), lambda x: F.ascii(x))
+    source = table(spark, d, "customer").select("c_custkey", ids.alias("ids"))
+    out = batches.text_batches(source, ["c_custkey"], "ids", 16, pad=0, end=2, label_pad=label_pad)
+    return out.select("c_custkey", "batch", "place", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query(_texts_sql("0"))
+def u10_text_batches(spark, d):
+    return _text_rows(spark, d, None)
+
+
+@query(_texts_sql("-100"))
+def u10_text_batches_ignored_padding(spark, d):
+    return _text_rows(spark, d, -100)
+
+
+def _axis(name: str, to: int, source: int) -> str:
+    at = f"greatest(0, least({source - 1}, (i + 0.5::DOUBLE) * {source} / {to} - 0.5::DOUBLE))"
+    return f"{name}s AS (SELECT CAST(i AS INTEGER) AS t{name}, CAST(floor(v) AS INTEGER) AS {name}0, CAST(least(floor(v) + 1, {source - 1}) AS INTEGER) AS {name}1, v - floor(v) AS f{name} FROM (SELECT i, {at} AS v FROM unnest(range(0, {to})) a(i)))"
+
+
+@query(
+    with_(_axis("y", 9, 4), _axis("x", 7, 4)) + f"SELECT img, r, c, CAST((label + 3 * t) % 10 + 1 AS INTEGER) AS k FROM (SELECT vec_id AS img, label, t, ty AS r, tx AS c, {_blend(lambda r, c: f'CAST(embedding[t * 16 + {r} * 4 + {c} + 1] AS DOUBLE)')} AS v "
+    "FROM embeddings, ys, xs, unnest(range(0, 4)) a(t)) QUALIFY row_number() OVER (PARTITION BY img, r, c ORDER BY v DESC, t) = 1"
+)
+def m6_prompted_masks(spark, d):
+    texts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: captions.names_map(NAMES)[((F.col("label") + 3 * t) % 10 + 1).cast("int")])
+    logits = table(spark, d, "embeddings").select(F.col("vec_id").alias("img"), texts.alias("texts"), F.col("embedding").alias("logits"), F.lit(4).alias("lh"), F.lit(4).alias("lw"), F.lit(9).alias("h"), F.lit(7).alias("w"))
+    return dense.to_pixels(prompted.prompted_masks(logits, LABEL2ID))
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, event_id, event_type FROM events")
+def a13_output_positions(spark, d):
+    """The same outputs as rows with their offsets, for groups of any size."""
+    return batches.numbered(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["ts", "event_id"], "user_id").drop("ts")
 
 
 _PATH = "CASE WHEN doc_id % 3 = 0 THEN './img/' ELSE '.\\img\\' END || doc_id || '.png'"

@@ -66,8 +66,8 @@ def labels_of(configs: DataFrame) -> DataFrame:
 
 
 def model_labels(spark: SparkSession, path: str) -> DataFrame:
-    """The labels of a model's JSON configuration file."""
-    return labels_of(spark.read.text(path, wholetext=True))
+    """The labels of a model's JSON configuration file, or of all files below a folder."""
+    return labels_of(spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True))
 
 
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
