@@ -50,6 +50,21 @@ def stacked(batches: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return batches.groupBy("batch").agg(whole.alias("_w")).select("batch", F.size("_w").alias("n"), *[F.col(f"_w.{n}").alias(n) for n in columns])
 
 
+def classification_batches(rows: DataFrame, order: Sequence[str], size: int, need_labels: bool = True) -> DataFrame:
+    """batch, n, pixel_values[, labels] of rows (image, labels): multi-hot labels as floats."""
+    columns = {"pixel_values": F.col("image")}
+    if need_labels:
+        columns["labels"] = F.transform("labels", lambda x: x.cast("float"))
+    return stacked(batched(rows, order, size), columns)
+
+
+def contrastive_batches(rows: DataFrame, order: Sequence[str], ids: str, size: int, pad: int = 0) -> DataFrame:
+    """batch, n, pixel_values, input_ids, attention_mask, return_loss of rows (image, token ids): pairs whose loss is taken within their batch."""
+    texts = text_batches(rows, order, ids, size, pad, need_labels=False)
+    out = stacked(texts, {"pixel_values": F.col("image"), "input_ids": F.col("input_ids"), "attention_mask": F.col("attention_mask")})
+    return out.withColumn("return_loss", F.lit(True))
+
+
 def segmentation_batches(rows: DataFrame, order: Sequence[str], size: int, target_sizes: bool = False) -> DataFrame:
     """batch, n, pixel_values, labels[, target_sizes] of rows (image, mask[, target_size: height, width, ...])."""
     columns = {"pixel_values": F.col("image"), "labels": F.transform("mask", lambda x: x.cast("short"))}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.labels import AREA_WORDS, CAPTION, CELLS, FAMILIES, LINES, MARKS, NO_CELL, QA, REGIONS, TITLE, VOCABULARIES, label_dim
-from ..operators import batches, captions, dense, maskstats, prompted, raster, rows
+from ..operators import batches, captions, dense, maskstats, prompted, raster, rows, tiles
 from ..sources.shapefile import read_shapefiles, write_shapefiles
 from ..sources.shared import new_folder, qualified
 from ..sources.tables import HEIGHT, WIDTH, checkpoints, dealt, images, masks, model_labels, pixels, polygons, table
@@ -217,6 +217,12 @@ def b1_components(spark, d):
     return dense.component_rows(masks(spark, d))
 
 
+@query(with_(PX, COMP, recursive=True) + "SELECT img, k, CAST(s // 23 AS INTEGER) AS first_r, CAST(s % 23 AS INTEGER) AS first_c, n, sum_r, sum_c FROM co")
+def b1_tiled_components(spark, d):
+    """The same components from tiles of 4 x 5 pixels."""
+    return tiles.tiled_components(tiles.tiles_of(masks(spark, d), 4, 5))
+
+
 _DISK = ", ".join(str(x) for x in kernels.DISK2)
 
 
@@ -646,6 +652,28 @@ def s5_shapefiles(spark, d):
     return back.select("img", "ord", "category_id", F.array_min(at("x")).alias("x0"), F.array_min(at("y")).alias("y0"), F.array_max(at("x")).alias("x1"), F.array_max(at("y")).alias("y1"), F.abs(area).alias("twice_area"), corners.alias("corners"))
 
 
+@query(
+    "WITH o AS (SELECT doc_id, list_transform(range(1, 5), lambda i: CASE WHEN list_contains([quality + 1, toxic * 3], i) THEN 1 ELSE 0 END) AS hot, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM labels) "
+    "SELECT pos // 32 AS batch, CAST(count(*) AS INTEGER) AS n, string_agg(doc_id, ',' ORDER BY pos) AS images, string_agg(array_to_string(hot, ''), ',' ORDER BY pos) AS labels FROM o GROUP BY pos // 32"
+)
+def u7_classification_batches(spark, d):
+    source = table(spark, d, "labels").select("doc_id", F.col("doc_id").alias("image"), F.array(F.col("quality") + 1, F.col("toxic") * 3).alias("labels"))
+    out = batches.classification_batches(transforms.multi_label(source, 4), ["doc_id"], 32)
+    hot = F.transform("labels", lambda x: F.array_join(F.transform(x, lambda v: v.cast("int").cast("string")), ""))
+    return out.select("batch", "n", F.array_join("pixel_values", ",").alias("images"), F.array_join(hot, ",").alias("labels"))
+
+
+@query(
+    "WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, list_transform(string_split(c_mktsegment, ''), lambda x: ascii(x)) AS ids FROM customer), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY pos // 16) AS most FROM o) "
+    "SELECT pos // 16 AS batch, CAST(count(*) AS INTEGER) AS n, string_agg(c_custkey, ',' ORDER BY pos) AS images, string_agg(array_to_string(list_concat(ids, list_transform(range(0, most - len(ids)), lambda i: 0)), ' '), ',' ORDER BY pos) AS input_ids, true AS return_loss FROM m GROUP BY pos // 16"
+)
+def u11_contrastive_batches(spark, d):
+    ids = F.transform(F.filter(F.split("c_mktsegment", ""), lambda x: x != ""), lambda x: F.ascii(x))
+    source = table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("image"), ids.alias("ids"))
+    out = batches.contrastive_batches(source, ["c_custkey"], "ids", 16)
+    return out.select("batch", "n", F.array_join("pixel_values", ",").alias("images"), F.array_join(F.transform("input_ids", lambda x: F.array_join(x, " ")), ",").alias("input_ids"), "return_loss")
+
+
 @query(
     with_(PX) + ", o AS (SELECT p_partkey AS img, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) SELECT pos // 8 AS batch, CAST(count(DISTINCT img) AS INTEGER) AS n, "
     "md5(string_agg(CAST(k AS VARCHAR), ',' ORDER BY pos, r, c)) AS labels, array_to_string(list_transform(range(0, count(DISTINCT img)), lambda i: '20x23'), ',') AS sizes FROM o JOIN px USING (img) GROUP BY pos // 8"
