@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage but the reading of tables can be said in SQL; tests hold each against a brute-force version.
+#: No stage but the reading of tables can be said in SQL; the tests of the operators behind them have brute-force versions (langid: held-out accuracy).
 ORACLE_SQL = None
 
 

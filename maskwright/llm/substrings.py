@@ -36,8 +36,8 @@ def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text)
 
 
-def runs(pieces: list[str], min_words: int = MIN_WORDS, lone: int = LONE_WORDS, both_ends: bool = False) -> Iterator[tuple[int, int, int]]:
-    """(first sentence, sentences, signed 64-bit hash) of every run; letter case and all but letters and digits don't count."""
+def runs(pieces: list[str], min_words: int = MIN_WORDS, lone: int = LONE_WORDS, both_ends: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(first sentence, sentences, 128-bit hash) of every run; letter case and all but letters and digits don't count."""
     words = [_WORD.findall(p.lower()) for p in pieces]
     filled = [i for i, w in enumerate(words) if w]
     upto = np.concatenate([[0], np.cumsum([len(words[i]) for i in filled])]).astype(np.int64)
@@ -50,8 +50,7 @@ def runs(pieces: list[str], min_words: int = MIN_WORDS, lone: int = LONE_WORDS,
         found.add((a - (a == e and short[e]), e + 1))
     for a, end in sorted(found):
         if a >= 0 and end <= len(filled):
-            h = xxhash.xxh64_intdigest("\n".join(flat[a:end]))
-            yield filled[a], filled[end - 1] - filled[a] + 1, h - (1 << 64) if h >> 63 else h
+            yield filled[a], filled[end - 1] - filled[a] + 1, xxhash.xxh3_128_digest("\n".join(flat[a:end]))
 
 
 def _spans(min_words: int, lone: int, both_ends: bool):
@@ -65,7 +64,7 @@ def _spans(min_words: int, lone: int, both_ends: bool):
                     size.append(n)
                     hashes.append(h)
             who = pa.array(parent, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(0).take(who), batch.column(1).take(who), pa.array(at, pa.int32()), pa.array(size, pa.int32())], names=["hash", "doc_id", "row", "at", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), batch.column(0).take(who), batch.column(1).take(who), pa.array(at, pa.int32()), pa.array(size, pa.int32())], names=["hash", "doc_id", "row", "at", "size"])
 
     return run
 
@@ -106,13 +105,13 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS, lone: int = LONE_WOR
     row = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
     there = documents.filter(F.col("text").isNotNull()).select("doc_id", row.alias("row"), F.col("text").cast("string").alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    spans = stored(there.mapInArrow(_spans(min_words, lone, both_ends), f"hash long, doc_id {kind}, row long, at int, size int"), "spans")
+    spans = stored(there.mapInArrow(_spans(min_words, lone, both_ends), f"hash binary, doc_id {kind}, row long, at int, size int"), "spans")
     place = F.struct("doc_id", "row", "at")
     first = stored(spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("hash", "first"), "first")
     later = spans.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
-    marks = later.select(F.col("row").alias("marked"), "at", "size").distinct().groupBy("marked").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
+    marks = later.select(F.col("doc_id").alias("in_doc"), F.col("row").alias("marked"), "at", "size").distinct().groupBy("in_doc", "marked").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
     rest = documents.select(*[F.col(quoted(c)) if c != "text" else F.col("text").cast("string").alias("text") for c in names])
-    packed = whole_rows(rest, row.alias("own")).join(marks.hint("shuffle_hash"), F.col("own") == F.col("marked"), "left")
+    packed = whole_rows(rest, F.col("doc_id").alias("own_id"), row.alias("own")).join(marks.hint("shuffle_hash"), (F.col("own") == F.col("marked")) & F.col("own_id").eqNullSafe(F.col("in_doc")), "left")
     flat = packed.select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)], "marks")
     kinds = [f"c{i} {rest.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
     clean = flat.mapInArrow(_clean(names), ", ".join([*kinds, "gone int"]))
