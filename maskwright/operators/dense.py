@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +63,20 @@ def to_pixels(masks: DataFrame) -> DataFrame:
 
 
 def to_dense(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """Dense masks of a pixel relation; missing pixels are 0. An image is one row, so it is bounded by its size."""
-    cells = F.map_from_entries(F.collect_list(F.struct((F.col("r") * width + F.col("c")).cast("int"), F.col("k").cast("short"))))
-    mask = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("short")))
-    return pixels.groupBy("img").agg(cells.alias("_m")).select("img", F.lit(height).alias("h"), F.lit(width).alias("w"), mask.alias("mask"))
+    """Dense masks of a pixel relation; missing pixels are 0, the greatest of several at one place stays. An image is one row, so it is bounded by its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(1)
+            flat, sizes = cells.flatten(), np.diff(cells.offsets.to_numpy())
+            out = np.zeros((batch.num_rows, height * width), np.int16)
+            np.maximum.at(out, (np.repeat(np.arange(batch.num_rows), sizes), flat.field(0).to_numpy()), flat.field(1).to_numpy())
+            shape = [pa.array(np.full(batch.num_rows, x), pa.int32()) for x in (height, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *shape, pa.array(list(out), pa.list_(pa.int16()))], names=["img", "h", "w", "mask"])
+
+    kind = pixels.schema["img"].dataType.simpleString()
+    cells = F.struct((F.col("r") * width + F.col("c")).cast("int").alias("i"), F.col("k").cast("short").alias("k"))
+    return pixels.groupBy("img").agg(F.collect_list(cells).alias("cells")).mapInArrow(run, f"img {kind}, h int, w int, mask array<short>")
 
 
 def _component_rows(ids: np.ndarray, stack: np.ndarray) -> dict[str, list]:
@@ -187,6 +197,21 @@ def result_polygons(results: DataFrame, label2id: dict[str, int], threshold: flo
     return _borders(rows, threshold, True).select("img", (F.col("id") - 2).alias("category_id"), "ord", "points")
 
 
+def walked(polygons: DataFrame, keys: Sequence[str], swapped: bool = False) -> DataFrame:
+    """``keys``, r, c: the pixels on the closed lines of flat polygons x, y (y, x if ``swapped``), each once for its keys.
+
+    Lines are straight or diagonal, as borders are. A null or empty polygon has no pixel.
+    """
+    n = F.expr("size(points) DIV 2")
+    at = lambda i, odd: F.get("points", 2 * (i % n) + odd)
+    x, y = (1, 0) if swapped else (0, 1)
+    line = lambda i: F.struct(at(i, y).alias("r"), at(i, x).alias("c"), (at(i + 1, y) - at(i, y)).alias("dr"), (at(i + 1, x) - at(i, x)).alias("dc"))
+    lines = polygons.filter("size(points) > 1").select(*keys, F.explode(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), line)).alias("l"))
+    steps = F.sequence(F.lit(0), F.greatest(F.abs("l.dr"), F.abs("l.dc")))
+    place = [(F.col(f"l.{a}") + F.signum(f"l.d{a}").cast("int") * F.col("t")).alias(a) for a in "rc"]
+    return lines.select(*keys, "l", F.explode(steps).alias("t")).select(*keys, *place).distinct()
+
+
 def resize_nearest(masks: DataFrame, height: int, width: int) -> DataFrame:
     """Index arithmetic alone: the pixel whose area holds the target's upper left corner."""
 

@@ -231,18 +231,18 @@ def b2_dilation(spark, d):
     return dense.to_pixels(dense.map_masks(masks(spark, d), lambda s: kernels.dilate(s == 1).astype("int16"))).filter("k > 0").drop("k")
 
 
-def _parts(of: str, name: str, reach: int) -> str:
-    """Components of the pixels ``of`` (img, k, r, c), as runs of neighbours in a row that touch those of the next, diagonally too if ``reach`` is 1."""
+def _parts(of: str, name: str, reach: int, width: int = 23) -> str:
+    """Components of the pixels ``of`` (img, k, r, c; rows of ``width``), as runs of neighbours in a row that touch those of the next, diagonally too if ``reach`` is 1."""
     return f"""{name}r AS (SELECT img, k, r, min(c) AS a, max(c) AS b FROM (SELECT *, c - row_number() OVER (PARTITION BY img, k, r ORDER BY c) AS g FROM {of}) GROUP BY img, k, r, g),
 {name}e AS (SELECT x.img, x.k, x.r, x.a, y.r AS r2, y.a AS a2 FROM {name}r x JOIN {name}r y ON x.img = y.img AND x.k = y.k AND abs(x.r - y.r) = 1 AND x.a <= y.b + {reach} AND y.a <= x.b + {reach}),
-{name}s AS (SELECT img, k, r * 23 + a AS s, r, a FROM {name}r x WHERE NOT EXISTS (SELECT 1 FROM {name}e e WHERE e.img = x.img AND e.k = x.k AND e.r = x.r AND e.a = x.a AND e.r2 < x.r)
+{name}s AS (SELECT img, k, r * {width} + a AS s, r, a FROM {name}r x WHERE NOT EXISTS (SELECT 1 FROM {name}e e WHERE e.img = x.img AND e.k = x.k AND e.r = x.r AND e.a = x.a AND e.r2 < x.r)
   UNION SELECT e.img, e.k, s.s, e.r2, e.a2 FROM {name}s s JOIN {name}e e ON e.img = s.img AND e.k = s.k AND e.r = s.r AND e.a = s.a),
 {name}l AS (SELECT img, k, r, a, b, min(s) AS s FROM {name}s JOIN {name}r USING (img, k, r, a) GROUP BY ALL),
 {name}z AS (SELECT *, sum(b - a + 1) OVER (PARTITION BY img, k, s) AS n FROM {name}l)"""
 
 
-def _clean_sql(source: str, threshold: float, value: str) -> str:
-    """Dilation, filled holes and dropped parts of each class of ``source`` (img, k, r, c); of what is left the greatest ``value``."""
+def _left_sql(source: str, threshold: float, *more: str) -> str:
+    """Pixels ``le`` (img, k, r, c) that dilation, filled holes and dropped parts leave of each class of ``source`` (img, k, r, c), and CTEs on them."""
     return with_(
         PX,
         f"so AS ({source})",
@@ -253,8 +253,29 @@ def _clean_sql(source: str, threshold: float, value: str) -> str:
         "fi AS (SELECT img, k, r, c FROM di UNION SELECT img, k, r, CAST(unnest(range(a, b + 1)) AS INTEGER) FROM hz WHERE n < 10)",
         _parts("fi", "g", 1),
         f"le AS (SELECT img, k, r, CAST(unnest(range(a, b + 1)) AS INTEGER) AS c FROM gz WHERE n >= {threshold} * 460)",
+        *more,
         recursive=True,
-    ) + f"SELECT img, r, c, max({value}) AS k FROM le GROUP BY img, r, c"
+    )
+
+
+def _clean_sql(source: str, threshold: float, value: str) -> str:
+    """Of what is left of each class, the greatest ``value``."""
+    return _left_sql(source, threshold) + f"SELECT img, r, c, max({value}) AS k FROM le GROUP BY img, r, c"
+
+
+def _border_sql(source: str, threshold: float, value: str, name: str) -> str:
+    """Pixels left of each class with a side on what lies around all of it: on a grid one wider all around, the outside is the part with the corner."""
+    return (
+        _left_sql(
+            source,
+            threshold,
+            "pad AS (SELECT img, k, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM (SELECT DISTINCT img, k FROM le), unnest(range(0, 22)) x(r), unnest(range(0, 25)) y(c))",
+            "un AS (SELECT * FROM pad ANTI JOIN (SELECT img, k, r + 1 AS r, c + 1 AS c FROM le) USING (img, k, r, c))",
+            _parts("un", "u", 0, 25),
+            "ar AS (SELECT img, k, r - 1 AS r, CAST(unnest(range(a, b + 1)) AS INTEGER) - 1 AS c FROM uz WHERE s = 0)",
+        )
+        + f"SELECT img, {value} AS {name}, r, c FROM (SELECT DISTINCT le.* FROM le JOIN ar ON ar.img = le.img AND ar.k = le.k AND abs(ar.r - le.r) + abs(ar.c - le.c) = 1)"
+    )
 
 
 _ONE = "SELECT * FROM px WHERE k = 1"
@@ -345,6 +366,27 @@ def b11_semantic_polygons(spark, d):
     return dense.semantic_polygons(masks(spark, d))
 
 
+#: The label of the background is no ``background`` and so has a category.
+_RESULT_CATEGORY = f"CASE WHEN k = 0 THEN {LABEL2ID['背景']} ELSE {_RESULT_ID} END - 1"
+
+
+@query(_border_sql("SELECT * FROM px WHERE k IN (0, 1, 7)", 0.001, _RESULT_CATEGORY, "category_id"))
+def b10_border_pixels(spark, d):
+    """The result polygons of ``b10_result_polygons``, walked along their lines."""
+    return dense.walked(dense.result_polygons(model_results(spark, d), LABEL2ID), ["img", "category_id"], swapped=True)
+
+
+@query(_border_sql("SELECT * FROM px WHERE k IN (0, 1, 7)", 0.01, _RESULT_CATEGORY, "category_id"))
+def b10_border_pixels_one_percent(spark, d):
+    return dense.walked(dense.result_polygons(model_results(spark, d), LABEL2ID, 0.01), ["img", "category_id"], swapped=True)
+
+
+@query(_border_sql("SELECT * FROM px WHERE k > 0", 0.0, "k", "id"))
+def b11_border_pixels(spark, d):
+    """The class polygons of ``b11_semantic_polygons``, walked along their lines."""
+    return dense.walked(dense.semantic_polygons(masks(spark, d)), ["img", "id"])
+
+
 @query(with_(PX) + "SELECT img, CAST(a.r AS INTEGER) AS r, CAST(b.c AS INTEGER) AS c, k FROM unnest(range(0, 31)) a(r), unnest(range(0, 17)) b(c), px WHERE px.r = a.r * 20 // 31 AND px.c = b.c * 23 // 17")
 def b12_resize_nearest(spark, d):
     return dense.to_pixels(dense.resize_nearest(masks(spark, d), 31, 17))
