@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.labels import CELLS
+from .maskstats import strict_lookup
 
 #: Masks that one NumPy stack holds at most.
 STACK = 512
@@ -28,6 +29,11 @@ def stacks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield part, np.stack([flat[offsets[i] : offsets[i + 1]].reshape(shape) for i in part])
 
 
+def given(masks: DataFrame) -> DataFrame:
+    """img, h, w, mask of the rows that have a mask and its sides: those with a null there are left out by every operator here."""
+    return masks.select("img", "h", "w", "mask").filter("mask IS NOT NULL AND h IS NOT NULL AND w IS NOT NULL")
+
+
 def _each(fn: Callable[[np.ndarray, np.ndarray], dict[str, list]], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,7 +59,14 @@ _MASK_SQL = "img long, h int, w int, mask array<short>"
 
 def map_masks(masks: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Each mask through a kernel over stacks."""
-    return masks.select("img", "h", "w", "mask").mapInArrow(_each(_masks(fn), _MASK), _MASK_SQL)
+    return given(masks).mapInArrow(_each(_masks(fn), _MASK), _MASK_SQL)
+
+
+def binary_masks(masks: DataFrame, names: DataFrame) -> DataFrame:
+    """img, label_id, label_name, h, w, mask (0 or 1 as floats): a mask for each class present, background included, without a shuffle; an unknown class raises."""
+    each = given(masks).withColumn("label_id", F.explode(F.array_distinct("mask")))
+    each = each.withColumn("mask", F.transform("mask", lambda x: (x == F.col("label_id")).cast("float"))).withColumn("label_id", F.col("label_id").cast("int"))
+    return strict_lookup(each, names, "label_id").select("img", "label_id", "label_name", "h", "w", "mask")
 
 
 def to_pixels(masks: DataFrame) -> DataFrame:
@@ -96,7 +109,7 @@ _COMPONENT = pa.schema([("img", pa.int64()), ("k", pa.int32()), ("first_r", pa.i
 
 def component_rows(masks: DataFrame) -> DataFrame:
     """img, k, first_r, first_c, n, sum_r, sum_c: one row for each 8-connected component of a foreground class."""
-    return masks.select("img", "h", "w", "mask").mapInArrow(_each(_component_rows, _COMPONENT), "img long, k int, first_r int, first_c int, n long, sum_r long, sum_c long")
+    return given(masks).mapInArrow(_each(_component_rows, _COMPONENT), "img long, k int, first_r int, first_c int, n long, sum_r long, sum_c long")
 
 
 def component_counts(masks: DataFrame) -> DataFrame:
@@ -169,7 +182,7 @@ def instance_polygons(masks: DataFrame, inst2class: DataFrame | None = None) ->
     With (img, id, class) given, also category_id = class - 1: each image has a map of
     its own. An instance that the map lacks raises.
     """
-    out = masks.select("img", "h", "w", "mask").mapInArrow(_each(_instance_rows, _POLYGON), "img long, id int, points array<int>")
+    out = given(masks).mapInArrow(_each(_instance_rows, _POLYGON), "img long, id int, points array<int>")
     if inst2class is None:
         return out
     known = out.join(inst2class.select("img", "id", "class"), ["img", "id"], "left")
@@ -178,7 +191,7 @@ def instance_polygons(masks: DataFrame, inst2class: DataFrame | None = None) ->
 
 
 def _borders(masks: DataFrame, threshold: float, swap: bool) -> DataFrame:
-    return masks.select("img", "h", "w", "mask").mapInArrow(_each(_border_rows(threshold, swap), _BORDER), "img long, id int, ord int, points array<int>")
+    return given(masks).mapInArrow(_each(_border_rows(threshold, swap), _BORDER), "img long, id int, ord int, points array<int>")
 
 
 def semantic_polygons(masks: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -232,4 +245,4 @@ def resize_bilinear(images: DataFrame, height: int, width: int) -> DataFrame:
         out = kernels.bilinear(stack.astype(float), height, width)
         return {"img": ids, "h": np.full(len(ids), height), "w": np.full(len(ids), width), "mask": list(out.reshape(len(ids), -1))}
 
-    return images.select("img", "h", "w", "mask").mapInArrow(_each(run, _IMAGE), "img long, h int, w int, mask array<double>")
+    return given(images).mapInArrow(_each(run, _IMAGE), "img long, h int, w int, mask array<double>")

@@ -1,4 +1,4 @@
-"""Statistics of class masks over the pixel relation (img, r, c, k).
+"""Statistics of class masks over the pixel relation (img, r, c, k), or over runs (img, r, c0, c1, k) of equal pixels in its stead.
 
 Counts of one image shrink to a row a class in the task that expands the image,
 so each of these takes one small shuffle on the image.
@@ -15,6 +15,23 @@ from pyspark.sql import functions as F
 from ..functions.labels import CELLS
 
 
+def _span(rows: DataFrame) -> tuple[Column, Column]:
+    """First and last column of a row of pixels or runs."""
+    return (F.col("c0"), F.col("c1")) if "c0" in rows.columns else (F.col("c"), F.col("c"))
+
+
+def _pixels(rows: DataFrame) -> Column:
+    first, last = _span(rows)
+    return last - first + 1
+
+
+def _within(rows: DataFrame, start: int, end: int | None = None) -> Column:
+    """How many pixels of a row lie in the columns from ``start`` on, before ``end``."""
+    first, last = _span(rows)
+    last = last if end is None else F.least(last, F.lit(end - 1))
+    return F.greatest(F.lit(0), last - F.greatest(first, F.lit(start)) + 1)
+
+
 def drop_background(pixels: DataFrame) -> DataFrame:
     return pixels.filter(F.col("k") != 0)
 
@@ -26,13 +43,13 @@ def clamp_classes(pixels: DataFrame, num_labels: int) -> DataFrame:
 
 def area_ratio(pixels: DataFrame) -> DataFrame:
     """img, k, n, area of the classes present, background included."""
-    n = pixels.groupBy("img", "k").agg(F.count("*").alias("n"))
+    n = pixels.groupBy("img", "k").agg(F.sum(_pixels(pixels)).alias("n"))
     return n.withColumn("area", F.col("n") / F.sum("n").over(W.partitionBy("img")))
 
 
 def _class_counts(pixels: DataFrame, classes: Sequence[int], **more: Column) -> DataFrame:
-    per = [F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in classes]
-    return pixels.groupBy("img").agg(F.count("*").alias("total"), *per, *[c.alias(n) for n, c in more.items()])
+    per = [F.sum(F.when(F.col("k") == k, _pixels(pixels)).otherwise(0)).alias(f"n{k}") for k in classes]
+    return pixels.groupBy("img").agg(F.sum(_pixels(pixels)).alias("total"), *per, *[c.alias(n) for n, c in more.items()])
 
 
 def area_all(pixels: DataFrame, classes: Sequence[int], all_id: bool = True) -> DataFrame:
@@ -43,13 +60,19 @@ def area_all(pixels: DataFrame, classes: Sequence[int], all_id: bool = True) ->
     return rows if all_id else rows.filter("n > 0")
 
 
+def _cells(rows: DataFrame, height: int, width: int) -> list[Column]:
+    """Pixels in each of the nine cells, n0 to n8."""
+    row, w = F.expr(f"r DIV {height // 3}"), width // 3
+    return [F.sum(F.when(row == i // 3, _within(rows, i % 3 * w, (i % 3 + 1) * w)).otherwise(0)).alias(f"n{i}") for i in range(9)]
+
+
 def class_statistics(pixels: DataFrame, classes: Sequence[int], height: int, width: int) -> DataFrame:
     """img, k, area, w, h, area_cell of every class of the vocabulary but background, from one pass over the pixels; 0 where a class is absent."""
     if min(height, width) < 3:
         raise ValueError("a mask side is below 3 pixels")
-    cell = F.expr(f"CASE WHEN r DIV {height // 3} < 3 AND c DIV {width // 3} < 3 THEN r DIV {height // 3} * 3 + c DIV {width // 3} END")
-    cells = [F.count(F.when(cell == i, 1)).alias(f"n{i}") for i in range(9)]
-    each = pixels.groupBy("img", "k").agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in "rc" for n, f in (("least", F.min), ("most", F.max))], *cells)
+    first, last = _span(pixels)
+    extent = [F.min("r").alias("least_r"), F.max("r").alias("most_r"), F.min(first).alias("least_c"), F.max(last).alias("most_c")]
+    each = pixels.groupBy("img", "k").agg(F.sum(_pixels(pixels)).alias("n"), *extent, *_cells(pixels, height, width))
     found = F.struct((F.col("most_c") - F.col("least_c") + 1).alias("w"), (F.col("most_r") - F.col("least_r") + 1).alias("h"), first_max(F.array(*[f"n{i}" for i in range(9)])).alias("area_cell"))
     image = each.groupBy("img").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("n", found.alias("x"))))).alias("of"))
     wanted = F.array(*[F.lit(k) for k in classes if k != 0])
@@ -60,8 +83,9 @@ def class_statistics(pixels: DataFrame, classes: Sequence[int], height: int, wid
 
 def bounding_box(pixels: DataFrame) -> DataFrame:
     """img, k, x, y, w, h of each class present but background."""
-    box = drop_background(pixels).groupBy("img", "k").agg(F.min("c").alias("x"), F.min("r").alias("y"), F.max("c").alias("c1"), F.max("r").alias("r1"))
-    return box.select("img", "k", "x", "y", (F.col("c1") - F.col("x") + 1).alias("w"), (F.col("r1") - F.col("y") + 1).alias("h"))
+    first, last = _span(pixels)
+    box = drop_background(pixels).groupBy("img", "k").agg(F.min(first).alias("x"), F.min("r").alias("y"), F.max(last).alias("x1"), F.max("r").alias("y1"))
+    return box.select("img", "k", "x", "y", (F.col("x1") - F.col("x") + 1).alias("w"), (F.col("y1") - F.col("y") + 1).alias("h"))
 
 
 def first_max(values: Column) -> Column:
@@ -75,9 +99,7 @@ def nine_cell(pixels: DataFrame, height: int, width: int, return_num: int = 1) -
         raise ValueError("a mask side is below 3 pixels")
     if return_num not in (1, 2):
         raise ValueError("return_num is 1 or 2")
-    row, col = F.expr(f"r DIV {height // 3}"), F.expr(f"c DIV {width // 3}")
-    cell = F.when((row < 3) & (col < 3), row * 3 + col)
-    n = drop_background(pixels).withColumn("cell", cell).groupBy("img", "k").agg(*[F.count(F.when(F.col("cell") == i, 1)).alias(f"n{i}") for i in range(9)])
+    n = drop_background(pixels).groupBy("img", "k").agg(*_cells(pixels, height, width))
     out = n.select("img", "k", F.array(*[f"n{i}" for i in range(9)]).alias("cells")).withColumn("cell", first_max(F.col("cells")))
     if return_num == 2:
         rest = F.transform("cells", lambda x, i: F.when(i == F.col("cell"), F.lit(0)).otherwise(x))
@@ -95,10 +117,13 @@ def six_region(pixels: DataFrame, height: int, width: int, by_class: bool = True
     Without ``by_class``, class ids are summed as values over the whole mask.
     """
     h, w = height // 3, width // 3
-    inside = [F.col("c") < w, F.col("c") >= 2 * w, (F.col("c") >= w) & (F.col("c") < 2 * w), F.col("r") < h, F.col("r") >= 2 * h, (F.col("r") >= h) & (F.col("r") < 2 * h)]
+    length = _pixels(pixels)
+    rows_in = lambda x: F.when(x, length).otherwise(0)
+    r = F.col("r")
+    inside = [_within(pixels, 0, w), _within(pixels, 2 * w), _within(pixels, w, 2 * w), rows_in(r < h), rows_in(r >= 2 * h), rows_in((r >= h) & (r < 2 * h))]
     value, keys = (F.lit(1), ["img", "k"]) if by_class else (F.col("k"), ["img"])
     rows = drop_background(pixels) if by_class else pixels
-    sums = rows.groupBy(*keys).agg(*[F.sum(F.when(x, value).otherwise(0)).alias(f"s{i}") for i, x in enumerate(inside)])
+    sums = rows.groupBy(*keys).agg(*[F.sum(x * value).alias(f"s{i}") for i, x in enumerate(inside)])
     return sums.select(*keys, first_max(F.array(*[f"s{i}" for i in range(6)])).alias("region"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kernels import polygon_crossings
+from .runs import stretches, to_pixels
 
 
 #: Flat polygons as (x, y) arrays, their categories, height and width to a painted mask.
@@ -56,44 +57,48 @@ def _mask_of(points: list[list[int]], kinds: list[int], height: int, width: int,
 
 
 def _painted(height: int, width: int, name: str, paint: Painter):
-    """Batches of (img, points, category_id) to the pixels above 0 of what ``paint`` makes of an image's polygons."""
+    """Batches of (img, points, category_id) to the runs above 0 of what ``paint`` makes of an image's polygons."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
-                parent, rows, columns, values = [], [], [], []
+                parent, found = [], []
                 for i, (points, kinds) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     mask = _mask_of(points, kinds, height, width, paint)
-                    r, c = np.nonzero(mask)
-                    parent.append(np.full(len(r), i))
-                    rows.append(r)
-                    columns.append(c)
-                    values.append(mask[r, c])
-                whole = lambda x: pa.array(np.concatenate(x).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(parent))), whole(rows), whole(columns), whole(values)], names=["img", "r", "c", name])
+                    _, *line = stretches(mask[None])
+                    line = np.stack(line)[:, line[-1] > 0]
+                    parent.append(np.full(line.shape[1], i))
+                    found.append(line)
+                owner = part.column(0).take(pa.array(np.concatenate(parent)))
+                yield pa.RecordBatch.from_arrays([owner, *map(pa.array, np.concatenate(found, axis=1).astype(np.int32))], names=["img", "r", "c0", "c1", name])
 
     return run
 
 
 def _paint(rows: DataFrame, height: int, width: int, name: str, paint: Painter) -> DataFrame:
     kind = rows.schema["img"].dataType.simpleString()
-    return rows.select("img", "points", "category_id").mapInArrow(_painted(height, width, name, paint), f"img {kind}, r int, c int, {name} int")
+    return rows.select("img", "points", "category_id").mapInArrow(_painted(height, width, name, paint), f"img {kind}, r int, c0 int, c1 int, {name} int")
 
 
-def instance_mask(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """img, r, c, inst (from 1): the covered pixels; where polygons overlap the highest instance wins."""
+def instance_runs(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """img, r, c0, c1, inst (from 1): the covered pixels as runs; where polygons overlap the highest instance wins."""
     return _paint(rows, height, width, "inst", _instances)
 
 
+def instance_mask(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """img, r, c, inst: ``instance_runs`` pixel by pixel."""
+    return to_pixels(instance_runs(rows, height, width), "inst")
+
+
 def instance_classes(rows: DataFrame, background: bool = True) -> DataFrame:
     """img, inst, class = category + 1; with 0 -> 0 for the background."""
     each = rows.select("img", F.posexplode("category_id").alias("i", "category_id")).select("img", (F.col("i") + 1).alias("inst"), (F.col("category_id") + 1).alias("class"))
     return each.unionByName(rows.select("img", F.lit(0).alias("inst"), F.lit(0).alias("class"))) if background else each
 
 
-def semantic_mask(rows: DataFrame, height: int, width: int, background_as_class0: bool = True) -> DataFrame:
-    """img, r, c, k: the polygons of a category are filled together, so that their overlaps cancel; the highest category wins.
+def semantic_runs(rows: DataFrame, height: int, width: int, background_as_class0: bool = True) -> DataFrame:
+    """img, r, c0, c1, k: the polygons of a category are filled together, so that their overlaps cancel; the highest category wins.
 
     With ``background_as_class0`` a category is painted as it is, so category 0
     vanishes; else as one more than it is.
@@ -101,6 +106,11 @@ def semantic_mask(rows: DataFrame, height: int, width: int, background_as_class0
     return _paint(rows, height, width, "k", _categories(0 if background_as_class0 else 1))
 
 
+def semantic_mask(rows: DataFrame, height: int, width: int, background_as_class0: bool = True) -> DataFrame:
+    """img, r, c, k: ``semantic_runs`` pixel by pixel."""
+    return to_pixels(semantic_runs(rows, height, width, background_as_class0))
+
+
 def _masked(names: list[str], paint: Painter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

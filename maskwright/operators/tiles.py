@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..sources.shared import stored
-from .dense import stacks
+from .dense import given, stacks
 
 #: Bits of a first pixel's column in a component's name.
 COLUMN_BITS = 31
@@ -38,7 +38,7 @@ def tiles_of(masks: DataFrame, height: int, width: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *numbers, pa.array(list(part.reshape(n, -1)), pa.list_(pa.int16()))], names=["img", "r0", "c0", "h", "w", "mask"])
 
     kind = masks.schema["img"].dataType.simpleString()
-    return masks.select("img", "h", "w", "mask").mapInArrow(run, f"img {kind}, r0 int, c0 int, h int, w int, mask array<short>")
+    return given(masks).mapInArrow(run, f"img {kind}, r0 int, c0 int, h int, w int, mask array<short>")
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

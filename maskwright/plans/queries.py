@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.labels import AREA_WORDS, CAPTION, CELLS, FAMILIES, LINES, MARKS, NO_CELL, QA, REGIONS, TITLE, VOCABULARIES, label_dim
-from ..operators import batches, captions, dense, maskstats, prompted, raster, rows, tiles
+from ..operators import batches, captions, dense, maskstats, prompted, raster, rows, runs, tiles
 from ..sources.shapefile import read_shapefiles, write_shapefiles
 from ..sources.shared import new_folder, qualified
 from ..sources.tables import HEIGHT, WIDTH, checkpoints, dealt, images, masks, model_labels, pixels, polygons, table
@@ -69,14 +69,19 @@ def with_(*ctes: str, recursive: bool = False) -> str:
     return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(ctes) + "\n"
 
 
+def _runs(spark, d):
+    """The masks as runs of equal pixels."""
+    return runs.runs_of(masks(spark, d))
+
+
 @query(with_(PX, AREA) + "SELECT img, k, n, area FROM ar")
 def a1_area_ratio(spark, d):
-    return maskstats.area_ratio(pixels(spark, d))
+    return maskstats.area_ratio(_runs(spark, d))
 
 
 @query(with_(PX, DIM, AREA, ALL) + "SELECT img, k, n, area FROM al")
 def a2_area_all_classes(spark, d):
-    return maskstats.area_all(pixels(spark, d), list(NAMES))
+    return maskstats.area_all(_runs(spark, d), list(NAMES))
 
 
 @query(with_(PX, COMP, recursive=True) + "SELECT img, k, count(*) + 1 AS num FROM co GROUP BY img, k")
@@ -86,7 +91,7 @@ def a3_component_count(spark, d):
 
 @query(with_(PX, BOX) + "SELECT img, k, x, y, w, h FROM bx")
 def a4_bounding_box(spark, d):
-    return maskstats.bounding_box(pixels(spark, d))
+    return maskstats.bounding_box(_runs(spark, d))
 
 
 @query(with_(PX, COMP, CENTRE, recursive=True) + "SELECT img, k, x, y FROM cx")
@@ -96,12 +101,12 @@ def a5_first_centroid(spark, d):
 
 @query(with_(PX, CELL) + f"SELECT img, k, cell, {sql_list(CELLS)}[cell + 1] AS cell_name FROM ce")
 def a6_nine_cell(spark, d):
-    return maskstats.nine_cell(pixels(spark, d), HEIGHT, WIDTH).withColumn("cell_name", maskstats.cell_name(F.col("cell")))
+    return maskstats.nine_cell(_runs(spark, d), HEIGHT, WIDTH).withColumn("cell_name", maskstats.cell_name(F.col("cell")))
 
 
 @query(with_(PX, CELL) + "SELECT img, k, cell, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS cell2 FROM (SELECT *, list_transform(l, lambda x, i: CASE WHEN i = cell + 1 THEN 0 ELSE x END) AS m FROM ce)")
 def a6_nine_cell_two(spark, d):
-    return maskstats.nine_cell(pixels(spark, d), HEIGHT, WIDTH, 2)
+    return maskstats.nine_cell(_runs(spark, d), HEIGHT, WIDTH, 2)
 
 
 _CENTRE_CELL = f"CASE WHEN y // {H3} * 3 + x // {W3} <= 8 THEN y // {H3} * 3 + x // {W3} END"
@@ -114,18 +119,18 @@ def a7_centre_cell(spark, d):
 
 @query(with_(PX, REGION) + "SELECT img, k, region FROM re")
 def a8_six_region(spark, d):
-    return maskstats.six_region(pixels(spark, d), HEIGHT, WIDTH)
+    return maskstats.six_region(_runs(spark, d), HEIGHT, WIDTH)
 
 
 @query(with_(PX) + "SELECT img, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS region FROM (SELECT img, [" + ", ".join(f"sum(CASE WHEN {x} THEN k ELSE 0 END)" for x in _SIX) + "] AS l FROM px GROUP BY img)")
 def a8_six_region_by_value(spark, d):
-    return maskstats.six_region(pixels(spark, d), HEIGHT, WIDTH, by_class=False)
+    return maskstats.six_region(_runs(spark, d), HEIGHT, WIDTH, by_class=False)
 
 
 @query(with_(PX) + "SELECT img, r, c, max(k) AS k FROM (SELECT * FROM px UNION ALL SELECT img, r, 22 - c, k FROM px) GROUP BY img, r, c")
 def a9_merge_max(spark, d):
-    px = pixels(spark, d)
-    return maskstats.merge_max(px, px.withColumn("c", WIDTH - 1 - F.col("c"))).select("img", "r", "c", "k")
+    own = _runs(spark, d)
+    return runs.to_pixels(runs.merge_max(own, own.withColumns({"c0": WIDTH - 1 - F.col("c1"), "c1": WIDTH - 1 - F.col("c0")})))
 
 
 POLY = """po AS (
@@ -307,9 +312,9 @@ def b4_postprocess_classes(spark, d):
 
 @query(with_(PX, DIM) + "SELECT p.img, d.label_id, d.label_name, count(*) AS pixels, string_agg(px.r * 23 + px.c, ',' ORDER BY px.r, px.c) FILTER (WHERE px.k = d.label_id) AS ones FROM (SELECT DISTINCT img, k FROM px) p JOIN dim d ON d.label_id = p.k JOIN px ON px.img = p.img GROUP BY ALL")
 def b5_binary_masks(spark, d):
-    out = maskstats.binary_masks(pixels(spark, d), label_dim(spark, "qa"))
-    ones = F.sort_array(F.collect_list(F.when(F.col("v") == 1, F.col("r") * WIDTH + F.col("c")))).cast("array<string>")
-    return out.groupBy("img", "label_id", "label_name").agg(F.count("*").alias("pixels"), F.array_join(ones, ",").alias("ones"))
+    out = dense.binary_masks(masks(spark, d), label_dim(spark, "qa"))
+    ones = F.filter(F.sequence(F.lit(0), F.size("mask") - 1), lambda i: F.get("mask", i) == 1)
+    return out.select("img", "label_id", "label_name", F.size("mask").cast("long").alias("pixels"), F.array_join(ones.cast("array<string>"), ",").alias("ones"))
 
 
 def model_results(spark, d):
@@ -434,7 +439,7 @@ def _caption_sql(language: str) -> str:
 
 
 def _captions(spark, d, language="zh"):
-    return captions.id_captions(maskstats.area_ratio(pixels(spark, d)), NAMES, language)
+    return captions.id_captions(maskstats.area_ratio(_runs(spark, d)), NAMES, language)
 
 
 @query(with_(PX, DIM, AREA) + _caption_sql("zh"))
@@ -475,7 +480,7 @@ def _attributes(spark, d):
     comps = found.groupBy("img", "k").agg((F.count("*") + 1).alias("num"), F.min(place).alias("p"))
     centre = F.expr(f"CAST(p.y DIV {H3} * 3 + p.x DIV {W3} AS INT)")
     comps = comps.select("img", "k", "num", F.when(centre <= 8, centre).alias("centre_cell"))
-    both = maskstats.class_statistics(pixels(spark, d), list(NAMES), HEIGHT, WIDTH).join(comps, ["img", "k"], "left")
+    both = maskstats.class_statistics(_runs(spark, d), list(NAMES), HEIGHT, WIDTH).join(comps, ["img", "k"], "left")
     return both.withColumn("num", F.coalesce("num", F.lit(1)))
 
 
@@ -505,7 +510,7 @@ def e5_mask_to_qa(spark, d):
 
 @query(with_(PX, REGION) + f"SELECT img, k, {quoted(TITLE[0] + '拼接错误' + TITLE[1])} || {sql_list(REGIONS)}[region + 1] || {quoted(TITLE[2])} || {sql_list(LINES)}[region + 1] || {quoted(TITLE[3])} AS title FROM re")
 def e6_region_title(spark, d):
-    return maskstats.six_region(pixels(spark, d), HEIGHT, WIDTH).select("img", "k", captions.region_title(F.col("region")).alias("title"))
+    return maskstats.six_region(_runs(spark, d), HEIGHT, WIDTH).select("img", "k", captions.region_title(F.col("region")).alias("title"))
 
 
 _RANK = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
@@ -541,7 +546,7 @@ def e10_question_prefix(spark, d):
 
 @query(with_(PX, BOX, AREA) + "SELECT bx.img AS image_id, bx.k AS category_id, 0 AS \"isCrowd\", area, x, y, w, h FROM bx JOIN ar ON ar.img = bx.img AND ar.k = bx.k")
 def e11_coco_annotations(spark, d):
-    px = pixels(spark, d)
+    px = _runs(spark, d)
     each = maskstats.bounding_box(px).join(maskstats.area_ratio(px), ["img", "k"])
     lists = each.groupBy(F.col("img").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("k", "area", F.array("x", "y", "w", "h").alias("bbox")))).alias("z"))
     lists = lists.select("image_id", *[F.col(f"z.{n}").alias(c) for n, c in (("k", "category_id"), ("area", "area"), ("bbox", "bbox"))])
@@ -556,7 +561,7 @@ def e12_logits_to_ids(spark, d):
 
 @query(with_(PX, DIM) + "SELECT img, label_name, n FROM (SELECT img, k, count(*) AS n FROM px GROUP BY img, k) JOIN dim ON label_id = k")
 def j1_strict_lookup(spark, d):
-    n = maskstats.area_ratio(pixels(spark, d)).select("img", F.col("k").alias("label_id"), "n")
+    n = maskstats.area_ratio(_runs(spark, d)).select("img", F.col("k").alias("label_id"), "n")
     return maskstats.strict_lookup(n, label_dim(spark, "qa"), "label_id").select("img", "label_name", "n")
 
 
@@ -565,7 +570,7 @@ _SEG = "(" + ", ".join(f"({i}, {quoted(n)})" for i, n in VOCABULARIES["segmenter
 
 @query(with_(PX) + f"SELECT img, label_name, n FROM (SELECT img, k, count(*) AS n FROM px GROUP BY img, k) JOIN (VALUES {_SEG[1:-1]}) t(label_id, label_name) ON label_id = k")
 def j2_lookup_known(spark, d):
-    n = maskstats.area_ratio(pixels(spark, d)).select("img", F.col("k").alias("label_id"), "n")
+    n = maskstats.area_ratio(_runs(spark, d)).select("img", F.col("k").alias("label_id"), "n")
     return rows.inner_lookup(n, label_dim(spark, "segmenter").select("label_id", "label_name"), "label_id").select("img", "label_name", "n")
 
 
@@ -943,7 +948,7 @@ def w1_early_stopping_delta(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """img, k, area, cell_name, box and caption of each class of each image."""
-    px = pixels(spark, d)
+    px = _runs(spark, d)
     area = maskstats.area_ratio(px)
     cells = maskstats.nine_cell(px, HEIGHT, WIDTH).withColumn("cell_name", maskstats.cell_name(F.col("cell")))
     out = area.join(maskstats.bounding_box(px), ["img", "k"]).join(cells, ["img", "k"]).join(captions.id_captions(area, NAMES), "img")
