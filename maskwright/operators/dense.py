@@ -37,7 +37,8 @@ def given(masks: DataFrame) -> DataFrame:
 def _each(fn: Callable[[np.ndarray, np.ndarray], dict[str, list]], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("img").to_numpy(zero_copy_only=False)
+            column = batch.column("img")  # nulls have no place among whole numbers
+            ids = np.array(column.to_pylist(), object) if column.null_count else column.to_numpy(zero_copy_only=False)
             for rows, stack in stacks(batch):
                 got = fn(ids[rows], stack)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in schema], schema=schema)

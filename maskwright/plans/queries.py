@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.labels import AREA_WORDS, CAPTION, CELLS, FAMILIES, LINES, MARKS, NO_CELL, QA, REGIONS, TITLE, VOCABULARIES, label_dim
-from ..operators import batches, captions, dense, maskstats, prompted, raster, rows, runs, tiles
+from ..operators import batches, captions, dense, maskstats, prompted, raster, rows, run_shapes, runs, tiles
 from ..sources.shapefile import read_shapefiles, write_shapefiles
 from ..sources.shared import new_folder, qualified
 from ..sources.tables import HEIGHT, WIDTH, checkpoints, dealt, images, masks, model_labels, pixels, polygons, table
@@ -228,6 +228,12 @@ def b1_tiled_components(spark, d):
     return tiles.tiled_components(tiles.tiles_of(masks(spark, d), 4, 5))
 
 
+@query(ORACLE["b1_components"])
+def b1_run_components(spark, d):
+    """The same components from runs, row by row of an image."""
+    return run_shapes.run_components(_runs(spark, d))
+
+
 _DISK = ", ".join(str(x) for x in kernels.DISK2)
 
 
@@ -317,6 +323,23 @@ def b5_binary_masks(spark, d):
     return out.select("img", "label_id", "label_name", F.size("mask").cast("long").alias("pixels"), F.array_join(ones.cast("array<string>"), ",").alias("ones"))
 
 
+def _clean_runs(spark, d, threshold, *classes):
+    own = _runs(spark, d)
+    out = run_shapes.postprocessed(own.filter(F.col("k").isin(*classes)) if classes else own, masks(spark, d).select("img", "h", "w"), threshold)
+    return runs.to_pixels(out)
+
+
+@query(_clean_sql(_ONE, 0.1, "1"))
+def b2_postprocess_runs(spark, d):
+    """Clean-up of one class where an image may be larger than a row, without its 255."""
+    return _clean_runs(spark, d, 0.1, 1)
+
+
+@query(_clean_sql("SELECT * FROM px WHERE k > 0", 0.001, "k"))
+def b4_postprocess_runs(spark, d):
+    return _clean_runs(spark, d, 0.001)
+
+
 def model_results(spark, d):
     """Three results for each image: a class, another class, the background."""
     m = masks(spark, d)
