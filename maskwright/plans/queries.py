@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.labels import AREA_WORDS, CAPTION, CELLS, FAMILIES, LINES, MARKS, NO_CELL, QA, REGIONS, TITLE, VOCABULARIES, label_dim
-from ..operators import batches, captions, dense, maskstats, prompted, raster, rows, run_shapes, runs, tiles
+from ..operators import batches, captions, decoding, dense, maskstats, prompted, raster, rows, run_shapes, runs, tiles
 from ..sources.shapefile import read_shapefiles, write_shapefiles
 from ..sources.shared import new_folder, qualified
 from ..sources.tables import HEIGHT, WIDTH, checkpoints, dealt, images, masks, model_labels, pixels, polygons, table
@@ -818,6 +818,38 @@ def m6_prompted_masks(spark, d):
     return dense.to_pixels(prompted.prompted_masks(logits, LABEL2ID))
 
 
+def _beam_sql(beams: int, most: int, ngram: int) -> str:
+    """The search unrolled, a few relations for each token: continuations (co), the best of them (ra), those that end (en), those that go on (li)."""
+    logp = "v - m - ln(sum(exp(v - m)) OVER (PARTITION BY vec_id, a))"
+    out = [
+        "raw AS MATERIALIZED (SELECT vec_id, CAST(i // 8 AS INTEGER) AS a, CAST(i % 8 AS INTEGER) AS b, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, unnest(range(0, 64)) t(i))",
+        "top AS MATERIALIZED (SELECT *, max(v) OVER (PARTITION BY vec_id, a) AS m FROM raw)",
+        f"tr AS MATERIALIZED (SELECT vec_id, a, b, round(({logp}) * 16777216) / 16777216 AS lp FROM top)",
+        "li1 AS MATERIALIZED (SELECT DISTINCT vec_id, CAST(0 AS BIGINT) AS beam, [0] AS toks, 0.0::DOUBLE AS s FROM tr)",
+    ]
+    ended = []
+    for n in range(1, most):
+        grams = ", ".join(f"toks[{i}:{i + ngram - 1}]" for i in range(1, n - ngram + 2))
+        again = f"list_contains([{grams}], list_append(toks[{n - ngram + 2}:], b))" if grams else "false"
+        allowed = f"NOT {again}" + (" AND b <> 1" if n < 3 else "")
+        out.append(f"co{n} AS MATERIALIZED (SELECT l.vec_id, beam, toks, b, s + CASE WHEN list_contains(toks, b) AND lp < 0 THEN lp * 2.5 ELSE lp END AS s FROM li{n} l JOIN tr ON tr.vec_id = l.vec_id AND tr.a = toks[{n}] WHERE {allowed})")
+        out.append(f"ra{n} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, beam, b) AS rk FROM co{n}) WHERE rk <= {2 * beams})")
+        out.append(f"en{n} AS MATERIALIZED (SELECT vec_id, list_append(toks[2:], b) AS toks, s / power({n}, 1.5) AS s, {n} AS n, rk, true AS ended FROM ra{n} WHERE b = 1 AND rk <= {beams})")
+        ended.append(f"SELECT * FROM en{n}")
+        done = f"SELECT vec_id FROM ({' UNION ALL '.join(ended)}) GROUP BY vec_id HAVING count(*) >= {beams}"
+        out.append(f"li{n + 1} AS MATERIALIZED (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY rk) - 1 AS beam, list_append(toks, b) AS toks, s FROM ra{n} WHERE b <> 1 AND vec_id NOT IN ({done}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY rk) <= {beams})")
+    ended.append(f"SELECT vec_id, toks[2:] AS toks, s / power({most - 1}, 1.5) AS s, {most} AS n, beam AS rk, false AS ended FROM li{most}")
+    return with_(*out) + f"SELECT vec_id, array_to_string(toks, ' ') AS tokens, round(s, 6) AS score, ended FROM ({' UNION ALL '.join(ended)}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, n, rk) = 1"
+
+
+@query(_beam_sql(4, 10, 4))
+def m3_beam_search(spark, d):
+    """The 64 numbers of each vector as logits of 8 tokens after each of 8."""
+    given = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("m"))
+    out = decoding.beam_search(given, "vec_id", ["m"], decoding.transition_scores("m", 8), 8, max_length=10)
+    return out.select("vec_id", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"), F.round("score", 6).alias("score"), "ended")
+
+
 @query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position, event_id, event_type FROM events")
 def a13_output_positions(spark, d):
     """The same outputs as rows with their offsets, for groups of any size."""
