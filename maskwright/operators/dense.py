@@ -147,13 +147,23 @@ def semantic_merge(results: DataFrame, label2id: dict[str, int], threshold: floa
 
 
 def _instance_rows(ids: np.ndarray, stack: np.ndarray) -> dict[str, list]:
-    out: dict[str, list] = {"img": [], "id": [], "points": []}
-    for one in sorted(set(np.unique(stack).tolist()) - {0, -1}):
+    out: dict[str, list] = {"img": [], "id": [], "points": [], "present": []}
+
+    def add(img: int, one: int, mask: np.ndarray, present: bool) -> None:
+        for name, value in zip(out, (img, one, kernels.longest_contour(mask).ravel().tolist(), present), strict=True):
+            out[name].append(value)
+
+    most, found = stack.reshape(len(stack), -1).max(1), [set() for _ in ids]
+    for one in np.unique(stack[stack > 0]).tolist():
         some = np.flatnonzero((stack == one).any((1, 2)))
         for i, x in zip(some, kernels.fill_holes(kernels.dilate(stack[some] == one)), strict=True):
-            out["img"].append(ids[i])
-            out["id"].append(int(one))
-            out["points"].append(kernels.longest_contour(x).ravel().tolist())
+            found[i].add(one)
+            add(ids[i], one, x, True)
+    nothing = np.zeros(stack.shape[1:], bool)
+    for i, own in enumerate(found):
+        for one in range(1, int(most[i]) + 1):
+            if one not in own:
+                add(ids[i], one, nothing, False)
     return out
 
 
@@ -173,22 +183,25 @@ def _border_rows(threshold: float, swap: bool):
     return run
 
 
-_POLYGON = pa.schema([("img", pa.int64()), ("id", pa.int32()), ("points", pa.list_(pa.int32()))])
+_POLYGON = pa.schema([("img", pa.int64()), ("id", pa.int32()), ("points", pa.list_(pa.int32())), ("present", pa.bool_())])
 _BORDER = pa.schema([("img", pa.int64()), ("id", pa.int32()), ("ord", pa.int32()), ("points", pa.list_(pa.int32()))])
 
 
 def instance_polygons(masks: DataFrame, inst2class: DataFrame | None = None) -> DataFrame:
-    """img, id, points (flat x, y) for each instance: dilated, small holes filled, longest contour.
+    """img, id, points (flat x, y), present for each id from 1 to an image's greatest: dilated, small holes filled, longest contour.
 
-    With (img, id, class) given, also category_id = class - 1: each image has a map of
-    its own. An instance that the map lacks raises.
+    An id that no pixel has (``present`` false) gets the whole image's rectangle; an image
+    without an id above 0 has no row. With (img, id, class) given, also category_id =
+    class - 1: each image has a map of its own. An instance that the map lacks raises; an
+    id that is not present has no category.
     """
-    out = given(masks).mapInArrow(_each(_instance_rows, _POLYGON), "img long, id int, points array<int>")
+    out = given(masks).mapInArrow(_each(_instance_rows, _POLYGON), "img long, id int, points array<int>, present boolean")
     if inst2class is None:
         return out
     known = out.join(inst2class.select("img", "id", "class"), ["img", "id"], "left")
-    category = F.when(F.col("class").isNull(), F.raise_error(F.concat(F.lit("no class for instance "), F.col("id").cast("string"))).cast("int")).otherwise(F.col("class") - 1)
-    return known.select("img", "id", "points", category.alias("category_id"))
+    raised = F.raise_error(F.concat(F.lit("no class for instance "), F.col("id").cast("string"))).cast("int")
+    category = F.when(F.col("present"), F.when(F.col("class").isNull(), raised).otherwise(F.col("class") - 1))
+    return known.select("img", "id", "points", "present", category.alias("category_id"))
 
 
 def _borders(masks: DataFrame, threshold: float, swap: bool) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import MARKS
+from .batches import numbered
 from .maskstats import if_small
 
 
@@ -172,17 +173,13 @@ def insert_marks(text: Column, key: Column, ratio: float = 0.3) -> Column:
 def drop_share(rows: DataFrame, label: str, key: str, share: float = 0.9, value: int = 0) -> DataFrame:
     """Exactly ``round(share x n)`` of the n rows whose label is ``value`` go, by the order of a hash of the key.
 
-    The rank is taken in two steps, so that no task orders all rows: ranks within
-    256 ranges of the hash, plus the sizes of the ranges before.
+    Those rows are numbered over range partitions of the hash, so that no task orders all of them.
     """
-    hashed = rows.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_b", F.substring("_h", 1, 2))
-    hit = hashed.filter(F.col(label) == value)
-    sizes = hit.groupBy("_b").agg(F.count("*").alias("_n"))
-    all_before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # 256 rows at most
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(all_before), F.lit(0))).withColumn("_all", F.sum("_n").over(W.partitionBy(F.lit(0)))).drop("_n")
-    ranked = hit.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("_h", key))).join(F.broadcast(sizes), "_b")
-    kept = ranked.filter(F.col("_r") + F.col("_before") > F.bround(F.col("_all") * share))
-    return hashed.filter(~F.coalesce(F.col(label) == value, F.lit(False))).select(*rows.columns).unionByName(kept.select(*rows.columns))
+    hit = F.coalesce(F.col(label) == value, F.lit(False))
+    at = numbered(rows.filter(hit).withColumn("_h", F.md5(F.col(key).cast("string"))), ["_h", key], name="_at")
+    gone = at.agg(F.bround(F.count("*") * share).alias("_gone"))  # one row
+    kept = at.join(F.broadcast(gone), F.col("_at") >= F.col("_gone"))
+    return rows.filter(~hit).unionByName(kept.select(*rows.columns))
 
 
 def augment(rows: DataFrame, text: str, key: str, ratio: float = 0.3, label: str | None = None, share: float = 0.9) -> DataFrame:

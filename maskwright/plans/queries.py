@@ -373,10 +373,29 @@ def b8_semantic_mask(spark, d):
     return raster.semantic_mask(polygons(spark, d), HEIGHT, WIDTH)
 
 
+def _instances(spark, d, sparse=False):
+    m = masks(spark, d)
+    if sparse:  # instances of even ids where the image's number is odd, and none above 6 in every third image
+        m = m.withColumn("mask", F.transform("mask", lambda x: F.when((x % 2 == F.col("img") % 2) | ((x > 6) & (F.col("img") % 3 == 0)), 0).otherwise(x).cast("short")))
+    ids = table(spark, d, "part").select(F.col("p_partkey").alias("img"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("id"))
+    return dense.instance_polygons(m, ids.withColumn("class", (F.col("id") + F.col("img") % 3).cast("int")))
+
+
 @query()
 def b9_instance_polygons(spark, d):
-    ids = table(spark, d, "part").select(F.col("p_partkey").alias("img"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("id"))
-    return dense.instance_polygons(masks(spark, d), ids.withColumn("class", (F.col("id") + F.col("img") % 3).cast("int")))
+    return _instances(spark, d)
+
+
+_SPARSE = "sp AS (SELECT DISTINCT img, k FROM px WHERE k > 0 AND k % 2 <> img % 2 AND NOT (k > 6 AND img % 3 = 0)), mo AS (SELECT img, unnest(range(1, max(k) + 1)) AS id FROM sp GROUP BY img)"
+
+
+@query(
+    with_(PX, _SPARSE) + f"SELECT mo.img, CAST(mo.id AS INTEGER) AS id, k IS NOT NULL AS present, CAST(CASE WHEN k IS NOT NULL THEN mo.id + mo.img % 3 - 1 END AS INTEGER) AS category_id, CASE WHEN k IS NULL THEN '0,0,{WIDTH},0,{WIDTH},{HEIGHT},0,{HEIGHT}' END AS whole "
+    "FROM mo LEFT JOIN sp ON sp.img = mo.img AND sp.k = mo.id"
+)
+def b9_missing_instances(spark, d):
+    """Every id up to an image's greatest, those without a pixel as the whole image."""
+    return _instances(spark, d, sparse=True).select("img", "id", "present", "category_id", F.when(~F.col("present"), F.array_join("points", ",")).alias("whole"))
 
 
 @query()

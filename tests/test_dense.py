@@ -80,6 +80,16 @@ def test_instance_maps_are_by_image(spark):
         dense.instance_polygons(frame(spark, [(1, m)]), maps.filter("id = 1")).collect()
 
 
+def test_ids_that_no_pixel_has(spark):
+    m = np.zeros((20, 23), np.int16)
+    m[3:6, 3:6], m[12:15, 12:15], m[0, 22] = 2, 4, -1
+    maps = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 4, 9)], "img long, id int, class int")
+    nothing = [(2, np.zeros((4, 5), np.int16)), (3, np.full((4, 5), -1, np.int16))]
+    got = {(r.img, r.id): r for r in dense.instance_polygons(frame(spark, [(1, m), *nothing]), maps).collect()}
+    assert {k: (r.present, r.category_id) for k, r in got.items()} == {(1, 1): (False, None), (1, 2): (True, 5), (1, 3): (False, None), (1, 4): (True, 8)}
+    assert got[1, 1].points == got[1, 3].points == [0, 0, 23, 0, 23, 20, 0, 20]
+
+
 def test_merge_and_resize(spark):
     rng = np.random.default_rng(4)
     one, two = rng.random((12, 13)) < 0.2, rng.random((12, 13)) < 0.1

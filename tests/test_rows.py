@@ -151,3 +151,12 @@ def test_early_stopping(spark, tmp_path):
         q.stop()
     last = spark.sql("SELECT * FROM stops").collect()[-1]
     assert (last.best, last.counter, last.stopped) == (-3.0, 3, True)
+
+
+def test_exact_share_goes(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 10 < 7, 0).when(F.col("id") % 10 == 7, F.lit(None)).otherwise(1).alias("y")).unionByName(spark.range(5).select("id", F.lit(0).alias("y")))
+    for share, left in ((0.0, 705), (0.9, 71), (1.0, 0)):  # 705 x 0.9 = 634.5, to even
+        got = rows.drop_share(df, "y", "id", share)
+        counts = dict(got.groupBy("y").count().collect())
+        assert got.columns == df.columns and counts.get(0, 0) == left and counts[None] == 100 and counts[1] == 200
+    assert rows.drop_share(df.filter("y = 1"), "y", "id").count() == 200 and rows.drop_share(df.limit(0), "y", "id").count() == 0
