@@ -175,3 +175,23 @@ def test_large_group_of_texts_that_are_not_alike(spark):
     rows = [(i, edited(words, 4, i)) for i in range(400)] + [(1000, " ".join(make(50, 6))), (1001, " ".join(make(50, 6)) + " end")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()} == brute_classes(rows)
+
+
+def test_recall_over_a_whole_table(spark):
+    # by exact document frequencies; every similar pair of different texts must share a class
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    classes = {r.doc_id: r.class_id for r in N.near_duplicates(rows).collect()}
+    texts = {r.doc_id: r.text for r in rows.filter("text IS NOT NULL").collect()}
+    df = Counter(g for t in texts.values() for g in grams(t))
+    first = {t: d for d, t in sorted(texts.items(), reverse=True)}
+    vectors = sorted(((sum(v.values()), d, v) for t, d in first.items() if (v := brute_vector(t, df, len(texts)))), key=lambda x: x[:2])
+    pairs = missed = 0
+    for i, (total, d, x) in enumerate(vectors):
+        for more, e, y in vectors[i + 1 :]:
+            if total < 0.8 * more:  # too unlike in weight
+                break
+            if x.keys() & y.keys() and brute_similarity(x, y) >= 0.8:
+                pairs, missed = pairs + 1, missed + (classes[d] != classes[e])
+    print("similar pairs", pairs, "missed", missed)
+    assert pairs > 0 and missed == 0  # this table has five such pairs and 73 copies
+    assert all(classes[d] == classes[first[t]] for d, t in texts.items())
