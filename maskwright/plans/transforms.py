@@ -69,8 +69,11 @@ def multi_label_images(samples: DataFrame, num_labels: int, aug: bool = False, r
 
 
 def detection_images(samples: DataFrame, aug: bool = False, size: tuple[int, int] = SIZE, noise: float = 0.2) -> DataFrame:
-    """Rows (image_id, h, w, image, category_id, area, bbox): image (channels last, blue first) and annotations; boxes move with the image, areas stay."""
-    out = images.prepare(samples, size if aug else None, channels_first=False, bgr=True, noise=noise, key="image_id")
+    """Rows (image_id, h, w, image, category_id, area, bbox): image (channels last, blue first) and annotations; boxes move with the image, areas stay.
+
+    Noise has a variance of 10 to 50, where the other transforms have 10 to 20.
+    """
+    out = images.prepare(samples, size if aug else None, channels_first=False, bgr=True, noise=noise, variance=(10.0, 50.0), key="image_id")
     return out.select("image_id", "h", "w", "image", rows.coco_annotations(F.col("image_id"), F.col("category_id"), F.col("area"), F.col("bbox")).alias("annotations"))
 
 
