@@ -15,11 +15,12 @@ agree in all samples of a band share a bucket.
 
 Pairs of a bucket grow with the square of its size, so buckets are spanned by a
 number of candidate pairs that is linear in their texts: each text with the
-bucket's leader, the text that shares most buckets with others, and with the
-``NEAREST`` texts before it when the bucket is sorted by the hashes of the next
-bands, where texts that agree in more bands stand together (a bucket of up to
-``NEAREST + 1`` texts gets all its pairs). Texts that are not in the leader's class
-then get a leader of their own, again and again until a round links nothing new.
+bucket's leader, the text that shares most buckets with others, and then, unless
+they are of one class by now, with the ``NEAREST`` texts before it when the bucket is
+sorted by the hashes of the next bands, where texts that agree in more bands stand
+together (a bucket of up to ``NEAREST + 1`` texts gets all its pairs). Texts that are
+not in the leader's class get a leader of their own, again and again until a round
+links nothing new.
 
 What that leaves is joined exactly: of the texts of each bucket that still holds more
 than one class, all similar pairs. Two texts of total weights W <= V are similar only
@@ -292,21 +293,33 @@ def text_key(text: Column) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """key, label: the least key of each key's component, for the pairs (a, b) of ``links``; least labels spread, doubling their reach."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("key"), F.least("a", "b").alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("key") == F.col("a")).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("key").alias("_k"), F.col("label").alias("_l"))
-        step = stored(step.join(jump, F.col("label") == F.col("_k"), "left").select("key", "old", F.least("label", F.coalesce("_l", "label")).alias("label")), "labels")
-        moved = step.filter(F.col("old") != F.col("label")).limit(1).count()
-        discard(labels)
-        labels = step.select("key", "label")
-        labels.stored_at = step.stored_at
-        if not moved:
-            discard(both)
-            return labels
+    """key, label: the least key of each key's component, for the pairs (a, b) of ``links``.
+
+    A round sends each key to the least neighbour of its least neighbour (itself among them),
+    and links to those between the keys sent to: what is linked stays linked. Only links
+    that still tell keys apart reach the next round, so all rounds together read few more than the first.
+    """
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not rounds or not edges.isEmpty():
+        near = edges.union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("key"), F.least("a", "b").alias("near"))
+        near = stored(near, "near")
+        jump = near.select(F.col("key").alias("_k"), F.col("near").alias("label"))
+        sent = stored(near.join(jump, F.col("near") == F.col("_k")).select("key", "label"), "labels")
+        side = lambda n: sent.select(F.col("key").alias(n), F.col("label").alias(f"_{n}"))  # noqa: B023, E731
+        left = edges.join(side("a"), "a").join(side("b"), "b").filter("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        left = stored(left.distinct(), "links")
+        discard(edges, near)
+        edges = left
+        rounds.append(sent)
+    discard(edges)
+    labels = rounds.pop()
+    while rounds:
+        last, before = labels, rounds.pop()
+        ends = last.select(F.col("key").alias("_k"), F.col("label").alias("_l"))
+        labels = stored(before.join(ends, F.col("label") == F.col("_k"), "left").select("key", F.coalesce("_l", "label").alias("label")), "labels")
+        discard(last, before)
+    return labels
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,17 +357,20 @@ def _links(buckets: DataFrame, texts: DataFrame, sketch: np.ndarray, least: floa
         return x.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
 
     order = ["band", "hash", "next", "key"]
-    near = buckets.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "a binary, b binary")
+    near = stored(buckets.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "a binary, b binary").distinct(), "near")
     led = stored(star(buckets), "led")
-    found = verified(ordered(led).union(near).distinct())
+    found = verified(ordered(led))
     while True:
         labels = components(found)
-        mine, theirs = labels.select("key", F.col("label").alias("_mine")), labels.select(F.col("key").alias("leader"), F.col("label").alias("_theirs"))
-        apart = led.join(mine, "key", "left").join(theirs, "leader", "left").filter(F.coalesce("_mine", "key") != F.coalesce("_theirs", "leader"))
-        led = stored(star(apart.select("band", "hash", "key", "weight")), "led")
-        if led.isEmpty():
+        side_of = lambda n: labels.select(F.col("key").alias(n), F.col("label").alias(f"_{n}"))  # noqa: B023, E731
+        apart = lambda rows, x, y: rows.join(side_of(x), x, "left").join(side_of(y), y, "left").filter(F.coalesce(f"_{x}", x) != F.coalesce(f"_{y}", y))  # noqa: B023, E731
+        led = stored(star(apart(led, "key", "leader").select("band", "hash", "key", "weight")), "led")
+        if led.isEmpty():  # then all of a bucket are in one class, neighbours too
             break
-        more = verified(ordered(led).join(found, ["a", "b"], "left_anti"))
+        pairs = ordered(led)
+        if near is not None:  # neighbours that the leaders already brought together need no link of their own
+            pairs, near = pairs.union(apart(near, "a", "b").select("a", "b")).distinct(), None
+        more = verified(pairs.join(found, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
         found = found.unionByName(more)

@@ -195,3 +195,28 @@ def test_recall_over_a_whole_table(spark):
     print("similar pairs", pairs, "missed", missed)
     assert pairs > 0 and missed == 0  # this table has five such pairs and 73 copies
     assert all(classes[d] == classes[first[t]] for d, t in texts.items())
+
+
+def test_one_large_group_is_linked_by_few_rows(spark, monkeypatch):
+    # each text has links to a few others only, and no round reads again what is of one class already
+    words = make(600, 11)
+    rows = [(i, edited(words, 1, i)) for i in range(400)]
+    read, stored = [], N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: (out := stored(df, name), read.append((name, out.count())))[0])
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and len(got) == 400
+    assert sum(n for name, n in read if name == "links") < 6 * 400
+
+
+def test_components_are_those_of_a_loop(spark):
+    rng, pairs = random.Random(8), [(i, i + 1) for i in range(200, 260)]  # a path beside chance pairs
+    pairs += [tuple(rng.sample(range(200), 2)) for _ in range(120)] + [(300, 300 + i) for i in range(1, 40)]
+    name = rng.sample(range(400), 400)
+    key = lambda i: bytes([name[i] // 256, name[i] % 256])
+    least = {key(i): key(i) for p in pairs for i in p}
+    for _ in least:
+        for a, b in pairs:
+            least[key(a)] = least[key(b)] = min(least[key(a)], least[key(b)])
+    links = spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary")
+    assert {bytes(r.key): bytes(r.label) for r in N.components(links).collect()} == least
+    assert N.components(links.limit(0)).collect() == []
