@@ -59,6 +59,8 @@ LEAST_SHARE = 1 / 512
 NEAREST = 3
 #: Shingles that are sampled at once.
 CHUNK = 1024
+#: Words of 64 bits of the filter that spares texts without a bucket mate a shuffle.
+FILTER_WORDS = 1 << 17
 #: Characters whose words are hashed at once.
 PIECE = 1 << 16
 
@@ -421,6 +423,19 @@ def _alike(rest: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (doc_id, key, text) that ``wanted`` (_id, _key) may hold: all that it does, and few others.
+
+    Each wanted row sets a bit of a filter of fixed size, which goes to the executors. A
+    full filter lets all rows pass, so what follows must join exactly.
+    """
+    spot = lambda key, doc: F.xxhash64(key, doc)
+    word, bit = F.pmod(F.shiftright("_spot", 6), F.lit(FILTER_WORDS)), F.expr("shiftleft(1L, cast(_spot & 63 as int))")
+    bits = wanted.select(spot("_key", "_id").alias("_spot")).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_spot", spot("key", "doc_id")).withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word"))
+    return found.filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _classes(documents: DataFrame, least: float) -> DataFrame:
     """doc_id, key, class_id, kept_key: for every row its text's key, the class, and the text that stands for the class."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -433,8 +448,8 @@ def _classes(documents: DataFrame, least: float) -> DataFrame:
     sizes = stored(spread.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     shared = stored(spread.join(sizes, ["band", "hash"]), "shared")
     central = stored(shared.groupBy("key").agg(F.sum("n").alias("weight")), "central")
-    wanted = texts.join(central, "key", "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    there = rows.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text").dropDuplicates(["key"])
+    wanted = stored(texts.join(central, "key", "left_semi").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "wanted")
+    there = likely(rows, wanted).join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("key", "text").dropDuplicates(["key"])
     found = _links(shared.join(central, "key"), stored(there, "there"), sketch, least)
     if found is None:
         return signed.join(texts.select("key", F.col("doc_id").alias("class_id")), "key").select("doc_id", "key", "class_id", F.col("key").alias("kept_key"))

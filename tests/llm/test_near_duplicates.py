@@ -220,3 +220,13 @@ def test_components_are_those_of_a_loop(spark):
     links = spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary")
     assert {bytes(r.key): bytes(r.label) for r in N.components(links).collect()} == least
     assert N.components(links.limit(0)).collect() == []
+
+
+def test_few_texts_but_the_wanted_are_shuffled(spark, monkeypatch):
+    rows = spark.range(20000).selectExpr("CASE WHEN id % 1000 > 0 THEN id END AS doc_id", "unhex(md5(cast(id AS string))) AS key", "concat('text ', id) AS text")
+    wanted = rows.filter("crc32(text) % 40 = 0").selectExpr("doc_id AS _id", "key AS _key")
+    want = {r.text for r in rows.filter("crc32(text) % 40 = 0").collect()}
+    got = [r.text for r in N.likely(rows, wanted).collect()]
+    assert want <= set(got) and len(got) < len(want) + 100 and len(set(got)) == len(got)
+    monkeypatch.setattr(N, "FILTER_WORDS", 1)  # full: all pass
+    assert N.likely(rows, wanted).count() == 20000 and N.likely(rows, wanted.limit(0)).count() == 0
