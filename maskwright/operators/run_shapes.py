@@ -1,21 +1,133 @@
 """Components and clean-up of class masks of any size, over runs (img, r, c0, c1, k).
 
-No task holds an image: rows of an image meet by key, components are joined over the graph
-of touching runs. ``sizes`` (img, h, w) has the images' heights and widths.
+No task holds an image: runs are dealt out to cells, each finds its own components, which
+are called by their first pixels, and only what touches a cell's border meets others, over
+the graph of touching border pixels. ``sizes`` (img, h, w) has the images' heights and widths.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..sources.shared import stored
-from .runs import merge_max
-from .tiles import COLUMN_BITS, least_labels
+from . import cells
+from .cells import PIXELS, SIDE
+from .runs import merge_max, stretches
+
+#: Bits of a first pixel's column in a component's name.
+COLUMN_BITS = 31
+
+
+def least_labels(edges: DataFrame) -> DataFrame:
+    """img, node, label: the least node of each node's component, for edges (img, a, b); what it points at is shortened in each round.
+
+    Joins are told to sort: small files can hold more rows than a driver could send to all.
+    """
+    both = stored(edges.select("img", "a", "b").union(edges.select("img", "b", "a")).distinct(), "edges")
+    labels = stored(both.groupBy("img", "a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    while True:
+        of = labels.select(F.col("img").alias("_img"), F.col("node").alias("_node"), F.col("label").alias("_label")).hint("merge")
+        near = both.join(of, F.col("img").eqNullSafe(F.col("_img")) & (F.col("b") == F.col("_node"))).groupBy("img", F.col("a").alias("node")).agg(F.min("_label").alias("near"))
+        near = near.select(F.col("img").alias("_i"), F.col("node").alias("_n"), "near").hint("merge")
+        step = labels.join(near, F.col("img").eqNullSafe(F.col("_i")) & (F.col("node") == F.col("_n"))).select("img", "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = step.join(of, F.col("img").eqNullSafe(F.col("_img")) & (F.col("label") == F.col("_node")), "left").select("img", "node", "old", F.coalesce(F.least("label", "_label"), "label").alias("label"))
+        step = stored(step, "labels")
+        labels = step.drop("old")
+        if step.filter("label <> old").isEmpty():
+            return labels
+
+
+def _labels_across(border: DataFrame) -> DataFrame:
+    """_img, _node, _label of the components of one class that touch others over their cells' borders, from their pixels there (img, k, node, r, c)."""
+    # half of the neighbours: each touching pair is met once
+    ahead = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    reach = border.select("img", "k", F.col("node").alias("a"), "r", "c", F.explode(ahead).alias("d")).select("img", "k", "a", "r", "c", (F.col("r") + F.col("d.dr")).alias("r1"), (F.col("c") + F.col("d.dc")).alias("c1"))
+    reach = reach.filter(f"r1 DIV {SIDE} <> r DIV {SIDE} OR c1 DIV {SIDE} <> c DIV {SIDE}").drop("r", "c")
+    other = border.select(F.col("img").alias("_img"), F.col("k").alias("_k"), F.col("node").alias("b"), "r", "c").hint("merge")
+    touch = F.col("img").eqNullSafe(F.col("_img")) & (F.col("r1") == F.col("r")) & (F.col("c1") == F.col("c")) & (F.col("k") == F.col("_k"))
+    found = least_labels(reach.join(other, touch).select(F.struct("img", "k").alias("img"), "a", "b").distinct())
+    return found.select(F.col("img.img").alias("_img"), F.col("img.k").alias("_k"), F.col("node").alias("_node"), F.col("label").alias("_label"))
+
+
+def _labelled(parts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``parts`` (img, k, node) with the label of the whole component."""
+    own = F.col("img").eqNullSafe(F.col("_img")) & (F.col("k") == F.col("_k")) & (F.col("node") == F.col("_node"))
+    return parts.join(labels.hint("merge"), own, "left").withColumn("label", F.coalesce("_label", "node")).drop("_img", "_k", "_node", "_label")
+
+
+def _on_border(r: np.ndarray, c: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Whether pixels, counted from their cell's first one, lie at a border that another cell may be behind."""
+    return ((r == 0) & (row > 0)) | (r == SIDE - 1) | ((c == 0) & (col > 0)) | (c == SIDE - 1)
+
+
+def _parts(batch: pa.RecordBatch, first: np.ndarray, which: np.ndarray, r: np.ndarray, c0: np.ndarray, c1: np.ndarray, k: np.ndarray, h: int, w: int) -> pa.RecordBatch:
+    stack, over = cells.painted((len(first), h, w), which, r, c0, c1, k.astype(np.int32))
+    if over:  # classes that lie over each other: a layer for each
+        kinds, kind = np.unique(k, return_inverse=True)
+        own, layer = np.unique(which * len(kinds) + kind, return_inverse=True)
+        first = first[own // len(kinds)]
+        stack, _ = cells.painted((len(own), h, w), layer, r, c0, c1, k.astype(np.int32))
+    n = stack.size
+    at = np.flatnonzero(stack.ravel())
+    label = (kernels.components(stack) + (np.arange(len(stack)) * h * w)[:, None, None]).ravel()[at]
+    r, c, cell = at // w % h, at % w, first[at // (h * w)]
+    row, col = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 2))
+    size = np.bincount(label, minlength=n)
+    seed = np.flatnonzero(size)
+    edge = np.flatnonzero(_on_border(r, c, row[cell], col[cell]))
+    opened = np.zeros(n, bool)
+    opened[label[edge]] = True
+    r, c = row[cell] * SIDE + r, col[cell] * SIDE + c
+    sums = [np.bincount(label, x, n)[seed].astype(np.int64) for x in (r, c)]
+    name = lambda x, own: ((row[own] * SIDE + x // w % h) << COLUMN_BITS) | (col[own] * SIDE + x % w)
+    owner = first[seed // (h * w)]
+    none = np.zeros(len(edge), np.int64)
+    rows = [np.concatenate(x) for x in ((stack.ravel()[seed], stack.ravel()[at[edge]]), (name(seed, owner), name(label[edge], cell[edge])), (size[seed], none), (sums[0], none), (sums[1], none))]
+    null = np.arange(len(seed) + len(edge)) < len(seed)
+    place = [pa.array(np.concatenate([np.zeros(len(seed), np.int64), x[edge]]), mask=null) for x in (r, c)]
+    image = batch.column(0).take(pa.array(np.concatenate([owner, cell[edge]])))
+    return pa.RecordBatch.from_arrays([image, pa.array(rows[0].astype(np.int32)), *map(pa.array, rows[1:]), *place, pa.array(np.concatenate([opened[seed], none == 0]))], names=["img", "k", "node", "n", "sum_r", "sum_c", "r", "c", "opened"])
+
+
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of components of each cell (r is null), ``opened`` if they touch its border, and of their pixels there."""
+    for batch, first in cells.whole_cells(batches):
+        which, r, c0, c1, k = cells.listed(batch, first)
+        h, w = int(r.max()) + 1, int(c1.max()) + 1
+        step = max(1, PIXELS // (h * w))
+        for s in range(0, len(first), step):
+            part = slice(*np.searchsorted(which, (s, s + step)))
+            yield _parts(batch, first[s : s + step], which[part] - s, r[part], c0[part], c1[part], k[part], h, w)
+
+
+def run_components(runs: DataFrame) -> DataFrame:
+    """img, k, first_r, first_c, n, sum_r, sum_c: one row for each 8-connected component of a foreground class.
+
+    A null img is an image like any other. Runs of one class may lie over each other; of
+    several classes each has its own components.
+    """
+    kind = runs.schema["img"].dataType.simpleString()
+    dealt = cells.met(cells.packed(runs.filter("k > 0")))
+    found = stored(dealt.select("img", "row", "col", "r", "c0", "c1", "k").mapInArrow(_components, f"img {kind}, k int, node long, n long, sum_r long, sum_c long, r long, c long, opened boolean"), "components")
+    parts, border = found.filter("r IS NULL"), found.filter("r IS NOT NULL")
+    if border.isEmpty():
+        out = parts.withColumn("label", F.col("node"))
+    else:
+        whole = _labelled(parts.filter("opened"), _labels_across(border)).groupBy("img", "k", "label").agg(*[F.sum(x).alias(x) for x in ("n", "sum_r", "sum_c")])
+        out = parts.filter("NOT opened").select("img", "k", F.col("node").alias("label"), "n", "sum_r", "sum_c").unionByName(whole)
+    # names order as first pixels do, so the least name is the whole component's first pixel
+    return out.select("img", "k", F.shiftright("label", COLUMN_BITS).cast("int").alias("first_r"), F.col("label").bitwiseAND(F.lit((1 << COLUMN_BITS) - 1)).cast("int").alias("first_c"), "n", "sum_r", "sum_c")
+
 
 #: Half widths of the disk of radius 2 by distance in rows.
-DISK = {-2: 0, -1: 1, 0: 2, 1: 1, 2: 0}
+_DISK = {-2: 0, -1: 1, 0: 2, 1: 1, 2: 0}
 #: Columns within which the runs of neighbouring rows are compared.
 BLOCK = 256
 
@@ -37,7 +149,7 @@ def united(runs: DataFrame) -> DataFrame:
 
 def dilated(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Each class grown by a disk of radius 2 within its image."""
-    reach = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(x).alias("x")) for d, x in DISK.items()])
+    reach = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(x).alias("x")) for d, x in _DISK.items()])
     grown = _sized(runs, sizes).select("img", "k", "h", "w", "c0", "c1", "r", F.explode(reach).alias("s"))
     grown = grown.select("img", "k", (F.col("r") + F.col("s.d")).alias("r"), F.greatest(F.lit(0), F.col("c0") - F.col("s.x")).alias("c0"), F.least(F.col("w") - 1, F.col("c1") + F.col("s.x")).alias("c1"), "h")
     return united(grown.filter("r >= 0 AND r < h"))
@@ -79,14 +191,6 @@ def _weighed(runs: DataFrame, diagonal: bool) -> DataFrame:
     return whole.join(sizes, F.col("img").eqNullSafe(F.col("_img")) & (F.col("k") == F.col("_k")) & (F.col("label") == F.col("_label"))).select("img", "r", "c0", "c1", "k", "n")
 
 
-def run_components(runs: DataFrame) -> DataFrame:
-    """img, k, first_r, first_c, n, sum_r, sum_c: one row for each 8-connected component of a foreground class."""
-    found = labelled(united(runs.filter("k > 0")))
-    long = (F.col("c1") - F.col("c0") + 1).cast("long")
-    out = found.groupBy("img", "k", "label").agg(F.sum(long).alias("n"), F.sum(F.col("r") * long).alias("sum_r"), F.sum(F.expr("(c0 + c1) * CAST(c1 - c0 + 1 AS BIGINT) DIV 2")).alias("sum_c"))
-    return out.select("img", "k", F.shiftright("label", COLUMN_BITS).cast("int").alias("first_r"), F.col("label").bitwiseAND(F.lit((1 << COLUMN_BITS) - 1)).cast("int").alias("first_c"), "n", "sum_r", "sum_c")
-
-
 def postprocessed(runs: DataFrame, sizes: DataFrame, threshold: float = 0.001, below: int = 10) -> DataFrame:
     """Runs of each foreground class after dilation, with holes of fewer than ``below`` pixels filled and components under ``threshold`` of the image dropped; of several classes the greatest stays.
 

@@ -1,9 +1,9 @@
 """Components of images of any size, from tiles.
 
 A tile is a dense part of a class mask: img, r0, c0 (its upper left pixel), h, w, mask.
-Each tile finds its own components, which are called by their first pixels; pixels of one
-class that touch across tiles join them. So the graph over tiles' components has as many
-edges as there are touching pixels on the tiles' edges, whatever the images' sizes.
+Tiles shrink to their runs, which meet those of other tiles in the cells of their image:
+small tiles are laid together before components are looked for, and the graph over
+components has edges at the cells' borders alone.
 """
 
 from __future__ import annotations
@@ -13,14 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import kernels
-from ..sources.shared import stored
 from .dense import given, stacks
-
-#: Bits of a first pixel's column in a component's name.
-COLUMN_BITS = 31
+from .run_shapes import run_components
+from .runs import stretches
 
 
 def tiles_of(masks: DataFrame, height: int, width: int) -> DataFrame:
@@ -41,45 +37,14 @@ def tiles_of(masks: DataFrame, height: int, width: int) -> DataFrame:
     return given(masks).mapInArrow(run, f"img {kind}, r0 int, c0 int, h int, w int, mask array<short>")
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of components (r is null) and of the foreground pixels on the tiles' edges."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("img")
         corner = [batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("r0", "c0")]
         for rows, stack in stacks(batch):
-            n, h, w = stack.shape
-            label = kernels.components(stack)
-            tile, r, c = (x.ravel() for x in np.indices(stack.shape))
-            there = stack.ravel() > 0
-            tile, r, c, k, first = tile[there], r[there], c[there], stack.ravel()[there], label.ravel()[there]
-            r0, c0 = corner[0][rows][tile], corner[1][rows][tile]
-            name = ((r0 + first // w) << COLUMN_BITS) | (c0 + first % w)
-            edge = np.flatnonzero((r == 0) | (r == h - 1) | (c == 0) | (c == w - 1))
-            one, at, size = np.unique(tile * (h * w) + first, return_index=True, return_counts=True)
-            where = np.searchsorted(one, tile * (h * w) + first)
-            sums = [np.bincount(where, x, len(one)).astype(np.int64) for x in (r0 + r, c0 + c)]
-            owner = ids.take(pa.array(rows[tile[np.concatenate([at, edge])]]))
-            none = np.zeros(len(edge), np.int64)
-            whole = [pa.array(np.concatenate(x)) for x in ((k[at].astype(np.int64), k[edge]), (name[at], name[edge]), (size, none), (sums[0], none), (sums[1], none))]
-            null = np.concatenate([np.ones(len(at), bool), np.zeros(len(edge), bool)])
-            place = [pa.array(np.concatenate([np.zeros(len(at), np.int64), x[edge]]), mask=null) for x in (r0 + r, c0 + c)]
-            yield pa.RecordBatch.from_arrays([owner, *whole, *place], names=["img", "k", "node", "n", "sum_r", "sum_c", "r", "c"])
-
-
-def least_labels(edges: DataFrame) -> DataFrame:
-    """img, node, label: the least node of each node's component, for edges (img, a, b); what it points at is shortened in each round."""
-    both = stored(edges.select("img", "a", "b").union(edges.select("img", "b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy("img", "a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        of = labels.select(F.col("img").alias("_img"), F.col("node").alias("_node"), F.col("label").alias("_label"))
-        near = both.join(of, F.col("img").eqNullSafe(F.col("_img")) & (F.col("b") == F.col("_node"))).groupBy("img", F.col("a").alias("node")).agg(F.min("_label").alias("near"))
-        near = near.select(F.col("img").alias("_i"), F.col("node").alias("_n"), "near")
-        step = labels.join(near, F.col("img").eqNullSafe(F.col("_i")) & (F.col("node") == F.col("_n"))).select("img", "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = step.join(of, F.col("img").eqNullSafe(F.col("_img")) & (F.col("label") == F.col("_node")), "left").select("img", "node", "old", F.coalesce(F.least("label", "_label"), "label").alias("label"))
-        step = stored(step, "labels")
-        labels = step.drop("old")
-        if step.filter("label <> old").isEmpty():
-            return labels
+            tile, r, c0, c1, k = stretches(stack)
+            owner = rows[tile]
+            r, c0, c1 = corner[0][owner] + r, corner[1][owner] + c0, corner[1][owner] + c1
+            yield pa.RecordBatch.from_arrays([batch.column("img").take(pa.array(owner)), *[pa.array(x.astype(np.int32)) for x in (r, c0, c1, k)]], names=["img", "r", "c0", "c1", "k"])
 
 
 def tiled_components(tiles: DataFrame) -> DataFrame:
@@ -90,16 +55,4 @@ def tiled_components(tiles: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     kind = tiles.schema["img"].dataType.simpleString()
-    found = stored(tiles.select("img", "r0", "c0", "h", "w", "mask").mapInArrow(_local, f"img {kind}, k long, node long, n long, sum_r long, sum_c long, r long, c long"), "tiles")
-    pixels = found.filter("r IS NOT NULL").select("img", "k", "node", "r", "c")
-    # half of the neighbours: each touching pair is met once
-    ahead = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    reach = pixels.select("img", "k", F.col("node").alias("a"), "r", "c", F.explode(ahead).alias("d")).select("img", "k", "a", (F.col("r") + F.col("d.dr")).alias("r"), (F.col("c") + F.col("d.dc")).alias("c"))
-    other = pixels.select(F.col("img").alias("_img"), F.col("k").alias("_k"), F.col("node").alias("b"), F.col("r").alias("_r"), F.col("c").alias("_c"))
-    touch = F.col("img").eqNullSafe(F.col("_img")) & (F.col("r") == F.col("_r")) & (F.col("c") == F.col("_c")) & (F.col("k") == F.col("_k")) & (F.col("a") != F.col("b"))
-    labels = least_labels(reach.join(other, touch).select("img", "a", "b").distinct())
-    labels = labels.select(F.col("img").alias("_img"), F.col("node").alias("_node"), "label")
-    parts = found.filter("r IS NULL").join(labels, F.col("img").eqNullSafe(F.col("_img")) & (F.col("node") == F.col("_node")), "left").withColumn("label", F.coalesce("label", "node"))
-    out = parts.groupBy("img", "k", "label").agg(*[F.sum(x).alias(x) for x in ("n", "sum_r", "sum_c")])
-    # names order as first pixels do, so the least name is the whole component's first pixel
-    return out.select("img", F.col("k").cast("int").alias("k"), F.shiftright("label", COLUMN_BITS).cast("int").alias("first_r"), F.col("label").bitwiseAND(F.lit((1 << COLUMN_BITS) - 1)).cast("int").alias("first_c"), "n", "sum_r", "sum_c")
+    return run_components(tiles.select("img", "r0", "c0", "h", "w", "mask").mapInArrow(_runs, f"img {kind}, r int, c0 int, c1 int, k int"))
