@@ -32,9 +32,15 @@ def test_classes_over_each_other(spark):
     assert got == {(1, 1, 0, 0, 9, 1, 32), (1, 2, 0, 3, 7, 0, 42), (None, 3, 300, 255, 2, 600, 511)}
 
 
+def test_a_cell_of_several_tasks_is_one(spark):
+    df = spark.createDataFrame([(1, r, 0, 299, 1) for r in range(40)], "img long, r int, c0 int, c1 int, k int").repartition(7)
+    assert cells.packed(df).count() > 2
+    assert rows(run_shapes.run_components(df)) == [(1, 1, 0, 0, 12_000, 300 * 780, 40 * 44_850)]
+
+
 def test_components_of_small_images_meet_nothing(spark, sf):
     """Components within a cell cost no join, as a broadcast of what small files hold once took more than a driver has."""
     from maskwright.plans.queries import QUERIES
 
-    for name in ("b1_tiled_components",):
+    for name in ("b1_tiled_components", "b1_run_components"):
         assert "Join" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
