@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -21,6 +20,8 @@ from . import cells
 from .cells import PIXELS, SIDE
 from .runs import merge_max, stretches
 
+#: Reach of the disk of radius 2.
+DISK = 2
 #: Bits of a first pixel's column in a component's name.
 COLUMN_BITS = 31
 
@@ -126,69 +127,106 @@ def run_components(runs: DataFrame) -> DataFrame:
     return out.select("img", "k", F.shiftright("label", COLUMN_BITS).cast("int").alias("first_r"), F.col("label").bitwiseAND(F.lit((1 << COLUMN_BITS) - 1)).cast("int").alias("first_c"), "n", "sum_r", "sum_c")
 
 
-#: Half widths of the disk of radius 2 by distance in rows.
-_DISK = {-2: 0, -1: 1, 0: 2, 1: 1, 2: 0}
-#: Columns within which the runs of neighbouring rows are compared.
-BLOCK = 256
+def _laid(first: np.ndarray, image: pa.Array, kind: int, layer: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
+    """Rows of one kind of ``_cleaned``; columns that are not given are null."""
+    n = len(layer)
+    given = {"img": image.take(pa.array(first[layer])), "kind": pa.array(np.full(n, kind, np.int32))} | {c: pa.array(x.astype(_CLEANED[c].to_pandas_dtype())) for c, x in values.items()}
+    return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in ({"img": image.type, "kind": pa.int32()} | _CLEANED).items()], names=["img", "kind", *_CLEANED])
 
 
-def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``rows`` with their image's h and w."""
-    of = sizes.select(F.col("img").alias("_img"), "h", "w")
-    return rows.join(of, F.col("img").eqNullSafe(F.col("_img"))).drop("_img")
+_CLEANED = {"r": pa.int32(), "c0": pa.int32(), "c1": pa.int32(), "k": pa.int32(), "node": pa.int64(), "n": pa.int64(), "least": pa.float64()}
+#: Kinds of rows: runs of cells that are done, runs to be merged, runs of components that go on beyond their cell, those components, their pixels there.
+DONE, MERGED, OPENED, PARTS, BORDER = range(5)
 
 
-def united(runs: DataFrame) -> DataFrame:
-    """Runs of one class that overlap or touch in a row, laid together."""
-    row = W.partitionBy("img", "k", "r").orderBy("c0", "c1")  # one row of an image
-    seen = F.max("c1").over(row.rowsBetween(W.unboundedPreceding, -1))
-    parted = runs.select("img", "r", "c0", "c1", "k", F.when(F.col("c0") <= seen + 1, 0).otherwise(1).alias("_new"))
-    parted = parted.withColumn("_part", F.sum("_new").over(row.rowsBetween(W.unboundedPreceding, 0)))
-    return parted.groupBy("img", "k", "r", "_part").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1")).select("img", "r", "c0", "c1", "k")
+def _cleaned(threshold: float, below: int):
+    """Cells (img, row, col, r, c0, c1, k, h, w) with what lies within DISK + ``below`` of them to the kinds of rows.
 
-
-def dilated(runs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each class grown by a disk of radius 2 within its image."""
-    reach = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(x).alias("x")) for d, x in _DISK.items()])
-    grown = _sized(runs, sizes).select("img", "k", "h", "w", "c0", "c1", "r", F.explode(reach).alias("s"))
-    grown = grown.select("img", "k", (F.col("r") + F.col("s.d")).alias("r"), F.greatest(F.lit(0), F.col("c0") - F.col("s.x")).alias("c0"), F.least(F.col("w") - 1, F.col("c1") + F.col("s.x")).alias("c1"), "h")
-    return united(grown.filter("r >= 0 AND r < h"))
-
-
-def gaps(runs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The runs of what each class leaves of its image; ``runs`` are united, a class without any has no row."""
-    every = _sized(runs.select("img", "k").distinct(), sizes).select("img", "k", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("r"))
-    ends = every.select("img", "r", F.explode(F.array(F.lit(-1), F.col("w"))).alias("c0"), "k").select("img", "r", "c0", F.col("c0").alias("c1"), "k")
-    following = F.lead("c0").over(W.partitionBy("img", "k", "r").orderBy("c0"))
-    own = runs.select("img", "r", "c0", "c1", "k").unionByName(ends).withColumn("_next", following)
-    return own.filter("_next > c1 + 1").select("img", "r", (F.col("c1") + 1).alias("c0"), (F.col("_next") - 1).alias("c1"), "k")
-
-
-def labelled(runs: DataFrame, diagonal: bool = True) -> DataFrame:
-    """``runs`` (united) with ``label``, the first pixel of their component, as row and column in one number.
-
-    Runs of neighbouring rows are compared within blocks of columns, so that a row of
-    many runs doesn't meet all of another's.
+    A hole of fewer than ``below`` pixels lies within that reach of each of its pixels, so
+    each cell finds its holes alone.
     """
-    reach = int(diagonal)
-    name = F.shiftleft(F.col("r").cast("long"), COLUMN_BITS).bitwiseOR(F.col("c0").cast("long"))
-    nodes = stored(runs.select(F.struct("img", "k").alias("of"), "r", "c0", "c1", name.alias("node")), "runs")
-    block = lambda a, b: F.explode(F.sequence((a / BLOCK).cast("int"), (b / BLOCK).cast("int"))).alias("block")
-    above = nodes.select("of", F.col("r") + 1, F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("node").alias("a"), block(F.greatest(F.lit(0), F.col("c0") - reach), F.col("c1") + reach)).toDF("of", "row", "a0", "a1", "a", "block")
-    below = nodes.select(F.col("of").alias("_of"), F.col("r").alias("_row"), "c0", "c1", F.col("node").alias("b"), block(F.col("c0"), F.col("c1")))
-    below = below.withColumnRenamed("block", "_block")
-    touch = F.col("of").eqNullSafe(F.col("_of")) & (F.col("row") == F.col("_row")) & (F.col("block") == F.col("_block")) & (F.col("a0") <= F.col("c1") + reach) & (F.col("c0") <= F.col("a1") + reach)
-    labels = least_labels(above.join(below, touch).select(F.col("of").alias("img"), "a", "b"))
-    labels = labels.select(F.col("img").alias("_of"), F.col("node").alias("_node"), "label")
-    out = nodes.join(labels, F.col("of").eqNullSafe(F.col("_of")) & (F.col("node") == F.col("_node")), "left")
-    return out.select("of.img", "r", "c0", "c1", "of.k", F.coalesce("label", "node").alias("label"))
-
-
-def _weighed(runs: DataFrame, diagonal: bool) -> DataFrame:
-    """``runs`` with n, the pixels of their component."""
-    whole = labelled(runs, diagonal)
-    sizes = whole.groupBy(F.col("img").alias("_img"), F.col("k").alias("_k"), F.col("label").alias("_label")).agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
-    return whole.join(sizes, F.col("img").eqNullSafe(F.col("_img")) & (F.col("k") == F.col("_k")) & (F.col("label") == F.col("_label"))).select("img", "r", "c0", "c1", "k", "n")
+    reach = DISK + below
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first in cells.whole_cells(batches):
+            which, r, c0, c1, k = cells.listed(batch, first)
+            h, w, row, col = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)[first] for n in ("h", "w", "row", "col"))
+            top, left = np.maximum(row * SIDE - reach, 0), np.maximum(col * SIDE - reach, 0)
+            tall, wide = np.minimum(h, (row + 1) * SIDE + reach) - top, np.minimum(w, (col + 1) * SIDE + reach) - left
+            shape = np.stack([tall, wide, row * SIDE - top, col * SIDE - left, np.minimum(h, (row + 1) * SIDE) - row * SIDE, np.minimum(w, (col + 1) * SIDE) - col * SIDE], 1)
+            # from the window's first pixel on, within the image
+            r, c0, c1 = r + (row * SIDE - top)[which], np.maximum(c0 + (col * SIDE - left)[which], 0), np.minimum(c1 + (col * SIDE - left)[which], wide[which] - 1)
+            inside = (r < tall[which]) & (c0 <= c1)
+            order = np.flatnonzero(inside)[np.lexsort((k[inside], which[inside]))]
+            which, r, c0, c1, k = (x[order] for x in (which, r, c0, c1, k))
+            shapes, same = np.unique(shape, axis=0, return_inverse=True)
+            for i, one in enumerate(shapes.tolist()):
+                if one[4] <= 0 or one[5] <= 0:  # no pixel of the cell is in the image
+                    continue
+                alike, step = np.flatnonzero(same.ravel() == i), max(1, PIXELS // (one[0] * one[1]))
+                for s in range(0, len(alike), step):
+                    some = alike[s : s + step]
+                    number = np.full(len(first), -1)
+                    number[some] = np.arange(len(some))
+                    own = np.flatnonzero(number[which] >= 0)
+                    yield from _windows(one, batch.column(0), first[some], [x[some] for x in (row, col, h, w)], [number[which[own]], *[x[own] for x in (r, c0, c1, k)]])
+
+    def _windows(shape: list[int], image: pa.Array, first: np.ndarray, sides: list[np.ndarray], runs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tall, wide, top, left, h, w = shape
+        row, col, high, broad = sides
+        which, r, c0, c1, k = runs
+        best, unfinished = np.zeros((len(first), h, w), np.int32), np.zeros(len(first), bool)
+        begins = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (k[1:] != k[:-1]))) if len(which) else which
+        cell, value = which[begins], k[begins]  # of each layer: the pixels of a class in a cell
+        ends, step = np.append(begins, len(which)), max(1, PIXELS // (tall * wide))
+        for s in range(0, len(begins), step):
+            n = min(step, len(begins) - s)
+            own = slice(ends[s], ends[s + n])
+            layer = np.repeat(np.arange(n), np.diff(ends[s : s + n + 1]))
+            mask, _ = cells.painted((n, tall, wide), layer, r[own], c0[own], c1[own], np.ones(ends[s + n] - ends[s], bool))
+            mask = np.ascontiguousarray(kernels.fill_holes(kernels.dilate(mask), below)[:, top : top + h, left : left + w])
+            at = np.flatnonzero(mask.ravel())
+            of = s + at // (h * w)
+            label = (kernels.components(mask.astype(np.int8)) + (np.arange(n) * h * w)[:, None, None]).ravel()[at]
+            size = np.bincount(label, minlength=mask.size)
+            y, x, least = at // w % h, at % w, threshold * high[cell[of]] * broad[cell[of]]
+            edge = _beyond(y, x, row[cell[of]], col[cell[of]], high[cell[of]], broad[cell[of]])
+            opened = np.zeros(mask.size, bool)
+            opened[label[edge]] = True
+            kept = ~opened[label] & (size[label] >= least)
+            # layers of a cell ascend by their class, so the greatest is written last
+            best.ravel()[cell[of[kept]] * (h * w) + at[kept] % (h * w)] = value[of[kept]]
+            if not edge.any():
+                continue
+            unfinished[cell[of[edge]]] = True
+            name = lambda seed, c: ((row[c] * SIDE + seed // w % h) << COLUMN_BITS) | (col[c] * SIDE + seed % w)
+            seed = np.flatnonzero(opened)
+            part = s + seed // (h * w)
+            share = threshold * high[cell[part]] * broad[cell[part]]
+            yield _laid(first, image, PARTS, cell[part], k=value[part], node=name(seed, cell[part]), n=size[seed], least=share)
+            e = np.flatnonzero(edge)
+            c = cell[of[e]]
+            yield _laid(first, image, BORDER, c, r=row[c] * SIDE + y[e], c0=col[c] * SIDE + x[e], k=value[of[e]], node=name(label[e], c))
+            going = np.zeros(mask.size, np.int8)
+            going[at[opened[label]]] = 1
+            m, y0, x0, x1, v = stretches(going.reshape(mask.shape))
+            m, y0, x0, x1 = (z[v > 0] for z in (m, y0, x0, x1))
+            whole = np.zeros(mask.size, np.int64)
+            whole[at] = label
+            c = cell[s + m]
+            yield _laid(first, image, OPENED, c, r=row[c] * SIDE + y0, c0=col[c] * SIDE + x0, c1=col[c] * SIDE + x1, k=value[s + m], node=name(whole[(m * h + y0) * w + x0], c))
+        m, y0, x0, x1, v = stretches(best)
+        for kind, those in ((DONE, ~unfinished), (MERGED, unfinished)):
+            i = np.flatnonzero((v > 0) & those[m])
+            if len(i):
+                yield _laid(first, image, kind, m[i], r=row[m[i]] * SIDE + y0[i], c0=col[m[i]] * SIDE + x0[i], c1=col[m[i]] * SIDE + x1[i], k=v[i])
+
+    return run
+
+
+def _beyond(r: np.ndarray, c: np.ndarray, row: np.ndarray, col: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``_on_border`` where the image's end is known."""
+    return ((r == 0) & (row > 0)) | ((r == SIDE - 1) & (row * SIDE + r < h - 1)) | ((c == 0) & (col > 0)) | ((c == SIDE - 1) & (col * SIDE + c < w - 1))
 
 
 def postprocessed(runs: DataFrame, sizes: DataFrame, threshold: float = 0.001, below: int = 10) -> DataFrame:
@@ -196,8 +234,18 @@ def postprocessed(runs: DataFrame, sizes: DataFrame, threshold: float = 0.001, b
 
     An image that ``sizes`` lacks has no rows; a null img is an image like any other.
     """
-    grown = stored(dilated(runs.filter("k > 0"), sizes), "grown")
-    holes = _weighed(gaps(grown, sizes), diagonal=False).filter(F.col("n") < below).drop("n")
-    filled = united(grown.unionByName(holes))
-    large = _sized(_weighed(filled, diagonal=True), sizes).filter(F.col("n") >= F.lit(float(threshold)) * F.col("h") * F.col("w"))
-    return merge_max(large)
+    kind = runs.schema["img"].dataType.simpleString()
+    of = sizes.filter("h IS NOT NULL AND w IS NOT NULL").select(F.col("img").alias("_img"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w")).hint("merge")
+    dealt = cells.packed(runs.filter("k > 0"), DISK + below).join(of, F.col("img").eqNullSafe(F.col("_img"))).drop("_img")
+    found = stored(cells.met(dealt).mapInArrow(_cleaned(float(threshold), below), f"img {kind}, kind int, r int, c0 int, c1 int, k int, node long, n long, least double"), "cleaned")
+    done, border = found.filter(F.col("kind") == DONE).select("img", "r", "c0", "c1", "k"), found.filter(F.col("kind") == BORDER)
+    if border.isEmpty():
+        return done
+    labels = stored(_labels_across(border.select("img", "k", "node", "r", F.col("c0").alias("c"))), "across")
+    parts = _labelled(found.filter(F.col("kind") == PARTS).select("img", "k", "node", "n", "least"), labels)
+    large = parts.groupBy("img", "k", "label").agg(F.sum("n").alias("n"), F.first("least").alias("least")).filter("n >= least")
+    large = large.select(F.col("img").alias("_i"), F.col("k").alias("_c"), F.col("label").alias("_l")).hint("merge")
+    opened = _labelled(found.filter(F.col("kind") == OPENED).select("img", "r", "c0", "c1", "k", "node"), labels)
+    opened = opened.join(large, F.col("img").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_c")) & (F.col("label") == F.col("_l")))
+    rest = merge_max(found.filter(F.col("kind") == MERGED).select("img", "r", "c0", "c1", "k"), opened.select("img", "r", "c0", "c1", "k"))
+    return done.unionByName(rest)

@@ -1,7 +1,9 @@
 """Runs dealt out to cells: images larger than a cell, and joins that small files must not turn into broadcasts."""
 
 import numpy as np
+import pytest
 
+from maskwright.functions import kernels
 from maskwright.operators import cells, dense, run_shapes, runs, tiles
 
 
@@ -44,3 +46,9 @@ def test_components_of_small_images_meet_nothing(spark, sf):
 
     for name in ("b1_tiled_components", "b1_run_components"):
         assert "Join" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clean_up_of_small_images_meets_sizes_alone(spark, sf):
+    from maskwright.plans.queries import QUERIES
+
+    assert "Join" not in QUERIES["b2_postprocess_runs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
