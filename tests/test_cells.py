@@ -48,6 +48,30 @@ def test_components_of_small_images_meet_nothing(spark, sf):
         assert "Join" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def smeared(spark, h=290, w=540):
+    """Noise, borders of cells between a component's parts, and holes over them."""
+    rng = np.random.default_rng(8)
+    noise = rng.integers(1, 4, h * w) * (rng.random(h * w) < 0.02)
+    lines = np.zeros((h, w), int)
+    lines[20:270:40, 30:500] = 2
+    lines[100:200, 255] = lines[250:262, 300:310] = 1
+    holes = np.zeros((h, w), int)
+    holes[200:280, 200:300] = 3
+    for r, c in ((252, 253), (250, 270), (210, 250), (253, 240)):  # what dilation leaves of them: 4 x 1 to 2 x 6, over the cells' borders
+        holes[r : r + 6 + c % 2, c : c + 6 + r % 5] = 0
+    far = np.zeros((h, w), int)
+    far[254:259, 100:420] = far[10:280, 510:515] = 5
+    return spark.createDataFrame([(i, h, w, x.ravel().tolist()) for i, x in enumerate((noise, lines, holes, far))], "img long, h int, w int, mask array<short>")
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.0002, 0.01])
+def test_clean_up_over_several_cells(spark, threshold):
+    masks = smeared(spark)
+    got = runs.to_pixels(run_shapes.postprocessed(runs.runs_of(masks), masks, threshold))
+    want = dense.to_pixels(dense.map_masks(masks, lambda s: kernels.postprocess_classes(s, threshold))).filter("k > 0")
+    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).isEmpty()
+
+
 def test_clean_up_of_small_images_meets_sizes_alone(spark, sf):
     from maskwright.plans.queries import QUERIES
 
