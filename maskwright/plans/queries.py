@@ -903,8 +903,8 @@ def u1_segmentation_transform(spark, d):
 
 @query(with_(PX, DIM, AREA, FLIPPED, f"ca AS ({_caption_sql('en')})") + "SELECT fl.img, caption, string_agg(k, ',' ORDER BY r, c) AS mask FROM fl JOIN ca ON ca.img = fl.img GROUP BY fl.img, caption")
 def u2_image_to_text_transform(spark, d):
-    out = transforms.image_to_text(pixels(spark, d), _captions(spark, d, "en"), HEIGHT, WIDTH, aug=True)
-    return out.groupBy("img", "caption").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", F.col("k").cast("string").alias("k")))), lambda x: x["k"]), ",").alias("mask"))
+    out = transforms.image_to_text(masks(spark, d), _captions(spark, d, "en"), HEIGHT, WIDTH, aug=True)
+    return out.select("img", "caption", _listed("mask"))
 
 
 SIZE = (31, 17)

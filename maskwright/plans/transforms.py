@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import images, maskstats, raster, rows
+from ..operators import dense, images, maskstats, raster, rows
 
 #: Height and width of augmented images.
 SIZE = (512, 512)
@@ -21,8 +21,12 @@ def segmentation(pixels: DataFrame, height: int, width: int, num_labels: int | N
 
 
 def image_to_text(pixels: DataFrame, captions: DataFrame, height: int, width: int, aug: bool = False) -> DataFrame:
-    """Images mirrored if ``aug``; captions pass through."""
-    return segmentation(pixels, height, width, None, aug).drop("target_size").join(captions, "img")
+    """Images mirrored if ``aug``; captions pass through. Dense masks (img, h, w, mask) stay rows of an image each."""
+    if "mask" in pixels.columns:
+        out = dense.mirrored(pixels, rows.coin(F.col("img"), "h"), rows.coin(F.col("img"), "v")) if aug else dense.given(pixels)
+    else:
+        out = segmentation(pixels, height, width, None, aug).drop("target_size")
+    return out.join(captions.hint("merge"), "img")  # made from a small table, but not small
 
 
 def multi_label(images: DataFrame, num_labels: int, reduce_labels: bool = True, label_column: str = "labels") -> DataFrame:
