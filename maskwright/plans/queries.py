@@ -589,7 +589,7 @@ def e10_question_prefix(spark, d):
 @query(with_(PX, BOX, AREA) + "SELECT bx.img AS image_id, bx.k AS category_id, 0 AS \"isCrowd\", area, x, y, w, h FROM bx JOIN ar ON ar.img = bx.img AND ar.k = bx.k")
 def e11_coco_annotations(spark, d):
     px = _runs(spark, d)
-    each = maskstats.bounding_box(px).join(maskstats.area_ratio(px), ["img", "k"])
+    each = maskstats.bounding_box(px).join(maskstats.area_ratio(px).hint("merge"), ["img", "k"])
     lists = each.groupBy(F.col("img").alias("image_id")).agg(F.array_sort(F.collect_list(F.struct("k", "area", F.array("x", "y", "w", "h").alias("bbox")))).alias("z"))
     lists = lists.select("image_id", *[F.col(f"z.{n}").alias(c) for n, c in (("k", "category_id"), ("area", "area"), ("bbox", "bbox"))])
     flat = transforms.detection(lists).select(F.explode("annotations").alias("a")).select("a.*")
