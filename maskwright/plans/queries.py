@@ -942,7 +942,7 @@ def _listed(name: str):
 
 @query(with_(PX, SHOWN, "cl AS (SELECT img, r, c, CASE WHEN k >= 7 THEN 0 ELSE k END AS k FROM px)", _moved_sql("cl")) + "SELECT img, first AS image, mask, '31,17' AS target_size FROM im JOIN ma USING (img)")
 def u1_segmentation_images(spark, d):
-    both = images(spark, d).join(masks(spark, d).select("img", "mask"), "img")
+    both = images(spark, d).join(masks(spark, d).select("img", "mask").hint("merge"), "img")
     return transforms.segmentation_images(both, 7, True, SIZE).select("img", _md5(), _listed("mask"), _listed("target_size"))
 
 

@@ -54,12 +54,20 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, h, w, image: 20 x 23 pixels of three channels for each part, as bytes."""
-    def value(i):
-        r, c = F.floor(i / F.lit(WIDTH * 3)), F.floor(i / F.lit(3)) % WIDTH
-        return (r * 7 + c * 5 + i % 3 * 31 + F.col("p_size") * 3 + F.col("p_partkey") * 11) % 256
+    r, c, channel = np.indices((HEIGHT, WIDTH, 3)).reshape(3, -1)
+    place = r * 7 + c * 5 + channel * 31
 
-    bytes_ = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH * 3 - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
-    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("img"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"), bytes_.alias("image"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, size = (x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.columns)
+            long = len(place) * ~(np.asarray(batch.column(0).is_null()) | np.asarray(batch.column(1).is_null()))  # no byte without a key and a size
+            v = (((key * 11 + size * 3)[:, None] + place) % 256).astype(np.uint8)[long > 0]
+            ends = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
+            sides = [pa.array(np.full(len(key), x), pa.int32()) for x in (HEIGHT, WIDTH)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sides, pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(v))])], names=["img", "h", "w", "image"])
+
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return dealt(part).mapInArrow(run, f"img {part.schema['p_partkey'].dataType.simpleString()}, h int, w int, image binary")
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
