@@ -29,3 +29,14 @@ def test_disk_by_rows():
     assert (K.dilate(stack) == K.dilate(stack, list(K.DISK2))).all()
     for line in (stack[:, :1], stack[:, :, :1]):
         assert (K.dilate(line) == K.dilate(line, list(K.DISK2))).all()
+
+
+def test_polygons_of_classes_walk_borders_together(monkeypatch):
+    from maskwright.operators import dense
+
+    monkeypatch.setattr(K, "external_contours", None)  # one mask at a time, and once too slow
+    rng = np.random.default_rng(3)
+    stack = (rng.integers(1, 3, (50, 32, 40)) * (rng.random((50, 32, 40)) < 0.01)).astype(np.int16)
+    got = dense._border_rows(0.0, False)(np.arange(50), stack)
+    assert len(got["points"]) == len(got["img"]) > 100 and {*got["id"]} == {1, 2}
+    assert all(list(got["ord"][(got["img"] == i) & (got["id"] == 1)]) == list(range(n)) for i, n in enumerate(np.bincount(got["img"][got["id"] == 1], minlength=50)))
