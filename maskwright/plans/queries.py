@@ -431,7 +431,7 @@ def b10_border_pixels_one_percent(spark, d):
 @query(_border_sql("SELECT * FROM px WHERE k > 0", 0.0, "k", "id"))
 def b11_border_pixels(spark, d):
     """The class polygons of ``b11_semantic_polygons``, walked along their lines."""
-    return dense.walked(dense.semantic_polygons(masks(spark, d)), ["img", "id"])
+    return dense.walked(dense.semantic_polygons(masks(spark, d)), ["img", "id"], apart=True)
 
 
 @query(with_(PX) + "SELECT img, CAST(a.r AS INTEGER) AS r, CAST(b.c AS INTEGER) AS c, k FROM unnest(range(0, 31)) a(r), unnest(range(0, 17)) b(c), px WHERE px.r = a.r * 20 // 31 AND px.c = b.c * 23 // 17")
@@ -522,7 +522,7 @@ def _attributes(spark, d):
     comps = found.groupBy("img", "k").agg((F.count("*") + 1).alias("num"), F.min(place).alias("p"))
     centre = F.expr(f"CAST(p.y DIV {H3} * 3 + p.x DIV {W3} AS INT)")
     comps = comps.select("img", "k", "num", F.when(centre <= 8, centre).alias("centre_cell"))
-    both = maskstats.class_statistics(_runs(spark, d), list(NAMES), HEIGHT, WIDTH).join(comps, ["img", "k"], "left")
+    both = maskstats.class_statistics(_runs(spark, d), list(NAMES), HEIGHT, WIDTH).join(comps.hint("merge"), ["img", "k"], "left")
     return both.withColumn("num", F.coalesce("num", F.lit(1)))
 
 

@@ -40,3 +40,16 @@ def test_polygons_of_classes_walk_borders_together(monkeypatch):
     got = dense._border_rows(0.0, False)(np.arange(50), stack)
     assert len(got["points"]) == len(got["img"]) > 100 and {*got["id"]} == {1, 2}
     assert all(list(got["ord"][(got["img"] == i) & (got["id"] == 1)]) == list(range(n)) for i, n in enumerate(np.bincount(got["img"][got["id"] == 1], minlength=50)))
+
+
+def test_borders_apart_need_no_shuffle(spark, sf):
+    from maskwright.operators import dense
+    from maskwright.plans.queries import QUERIES
+
+    data = [(1, "a", [0, 0, 0, 3, 4, 3, 4, 0]), (2, None, [5, 5]), (None, "b", [2, -1, 4, 1, 2, 3, 2, 1, 9]), (3, "c", []), (4, "d", None), (5, "e", [1, 1, 1, 4, 1, 1])]
+    polygons = spark.createDataFrame(data, "img long, name string, points array<int>")
+    for swapped in (False, True):
+        want = dense.walked(polygons, ["img", "name"], swapped)
+        got = dense.walked(polygons, ["img", "name"], swapped, apart=True)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "hashpartitioning" not in QUERIES["b11_border_pixels"](spark, sf)._jdf.queryExecution().executedPlan().toString()
