@@ -8,7 +8,7 @@ from maskwright.plans.queries import QUERIES
 
 
 
-@pytest.mark.parametrize("name", ["u2_image_to_text_transform", "e11_coco_annotations", "u1_segmentation_images", "b9_instance_polygons", "e5_mask_to_qa"])
+@pytest.mark.parametrize("name", ["u2_image_to_text_transform", "b9_instance_polygons", "b9_missing_instances", "e5_mask_to_qa", "e11_coco_annotations", "u1_segmentation_images"])
 def test_rows_made_from_a_small_table_are_not_broadcast(name, spark, sf):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
